@@ -8,9 +8,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import restore_encoding
+from tessera.llm.formatting import same_but_for_format
+from tessera.llm.representative import survivors
 from tessera.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: rows whose payload equals that of another but for its format."""
+    _, members = same_but_for_format(table(spark, sf_dir, "raw_item"), "raw_id", "payload")
+    return members.select(F.col("first").alias("first_raw_id"), F.col("key").alias("raw_id"))
+
+
+def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: one record of each group of equal ones, with its number of copies."""
+    groups, _ = same_but_for_format(table(spark, sf_dir, "raw_item"), "raw_id", "payload", alone=True)
+    return groups.select(F.col("first").alias("raw_id"), "copies")
+
+
+P2_SQL = r"""
+WITH f AS (SELECT raw_id, unnest(json_keys(payload)) AS k, payload FROM raw_item WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+v AS (SELECT raw_id, k, json_type(json_extract(payload, '$."' || k || '"')) AS t, json_extract_string(payload, '$."' || k || '"') AS v FROM f),
+c AS (SELECT raw_id, list_sort(list(k || '=' || CASE WHEN t = 'VARCHAR' THEN 's' || lower(regexp_replace(v, '[^\p{L}\p{N}]+', '', 'g'))
+    WHEN t IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE 'x' || coalesce(v, 'null') END)) AS rec FROM v GROUP BY raw_id),
+g AS (SELECT raw_id, min(raw_id) OVER (PARTITION BY rec) AS first_raw_id, count(*) OVER (PARTITION BY rec) AS copies FROM c)
+"""
+
+
+#: The order of trust in problem 5, and what placeholder art looks like.
+TRUST = ["extracted", "review", "reviewed", "approved"]
+PLACEHOLDER = r"^generic/|^iconsets/|/lib/"
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: the rows that give an entry's description and img, and all its sources."""
+    item = table(spark, sf_dir, "item")
+    stripped = F.trim(F.regexp_replace("system.description", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    rows = item.select(
+        "domain", "id", "row_id", F.length(stripped).cast("bigint").alias("filled"), F.col("meta.extracted_at").alias("at"),
+        F.coalesce(F.array_position(F.array(*map(F.lit, TRUST)), F.col("meta.qa_status")), F.lit(0)).alias("trust"),
+        (F.coalesce(F.col("img"), F.lit("")) != "").alias("has_img"), F.col("img").rlike(PLACEHOLDER).alias("placeholder"), "meta.sources",
+    )
+    paged = F.filter("sources", lambda s: s["page"].isNotNull())
+    return survivors(
+        rows, ["domain", "id"], "row_id",
+        {"description": (F.col("filled") > 0, F.col("filled"), F.col("at")), "img": (F.col("has_img") & ~F.col("placeholder"), F.col("trust"), F.col("at"))},
+        {"sources": F.transform(paged, lambda s: F.concat(F.coalesce(s["book"], F.lit("")), F.lit(":"), s["page"].cast("string")))},
+    )
+
+
+P5_SQL = r"""
+WITH i AS (SELECT *, count(*) OVER (PARTITION BY domain, id) AS n,
+    length(regexp_replace(system.description, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS filled,
+    coalesce(list_position(['extracted', 'review', 'reviewed', 'approved'], meta.qa_status), 0) AS trust FROM item),
+r AS (SELECT domain, id, 'description' AS field, CAST(row_id AS VARCHAR) AS pick,
+    row_number() OVER (PARTITION BY domain, id ORDER BY filled DESC, meta.extracted_at DESC NULLS LAST, row_id) AS k FROM i WHERE n > 1 AND filled > 0
+  UNION ALL SELECT domain, id, 'img', CAST(row_id AS VARCHAR),
+    row_number() OVER (PARTITION BY domain, id ORDER BY trust DESC, meta.extracted_at DESC NULLS LAST, row_id)
+  FROM i WHERE n > 1 AND img <> '' AND NOT starts_with(img, 'generic/') AND NOT starts_with(img, 'iconsets/') AND NOT contains(img, '/lib/'))
+SELECT domain, id, field, pick FROM r WHERE k = 1
+UNION ALL SELECT DISTINCT domain, id, 'sources', coalesce(s.book, '') || ':' || s.page
+FROM (SELECT domain, id, unnest(meta.sources) AS s FROM i WHERE n > 1) WHERE s.page IS NOT NULL
+"""
+
+
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 3: garbled texts with what they said, where it can be restored."""
     items = table(spark, sf_dir, "item").select(F.lit("item").alias("dataset"), F.col("row_id").alias("row_key"), F.col("name").alias("text"))
@@ -24,5 +84,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("dataset", "row_key").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_restored": p3_restored}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_collapsed": p2_collapsed,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p5_found": p5_found,
+}
+SQL: dict[str, str] = {
+    "p2_found": P2_SQL + "SELECT first_raw_id, raw_id FROM g WHERE copies > 1",
+    "p2_collapsed": P2_SQL + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
+    "p5_found": P5_SQL,
+}
