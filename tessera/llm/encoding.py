@@ -52,9 +52,8 @@ def _inverse_table(codec: str) -> dict[str, int]:
     return table
 
 
-def inverse_candidates(run: str, rounds: int = MAX_ROUNDS) -> list[tuple[str, str]]:
+def inverse_candidates(run: str, tables: dict[str, dict[str, int]], rounds: int = MAX_ROUNDS) -> list[tuple[str, str]]:
     """Texts that, misread up to ``rounds`` times, give ``run``, with the encoding they were written in."""
-    tables = {c: _inverse_table(c) for c in READ_AS}
     seen, level = {run: ""}, [run]
     for n in range(rounds):
         following = []
@@ -108,6 +107,8 @@ class PairModel:
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
         n = sum(counts.values()) or 1
+        self.tables = {c: _inverse_table(c) for c in READ_AS}
+        self.inverse: dict[str, list[tuple[str, str]]] = {}
         left, right = Counter(), Counter()
         for (a, b), c in counts.items():
             left[a] += c
@@ -121,6 +122,13 @@ class PairModel:
         chars = [EDGE, *(c if c in self.known else OTHER for c in text), EDGE]
         return [self.score.get(p, self.floor) for p in zip(chars, chars[1:])]
 
+    def candidates(self, run: str) -> list[tuple[str, str]]:
+        if run not in self.inverse:
+            if len(self.inverse) > 10_000:
+                self.inverse.clear()
+            self.inverse[run] = inverse_candidates(run, self.tables)
+        return self.inverse[run]
+
     def restore(self, text: str) -> tuple[str, bool]:
         """The text with its runs restored, and whether a run was."""
         runs: list[list[int]] = []
@@ -143,7 +151,7 @@ class PairModel:
                 return sum(self.score.get(p, self.floor) for p in zip(chars, chars[1:]))
 
             own = bits(text[start:end])
-            gains = [(bits(s) - own - MARGIN[written], s) for s, written in inverse_candidates(text[start:end])]
+            gains = [(bits(s) - own - MARGIN[written], s) for s, written in self.candidates(text[start:end])]
             if gains and max(gains)[0] >= 0:
                 out += [text[at:start], max(gains)[1]]
                 at, found = end, True
