@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.encoding import restore_encoding
 from tessera.llm.formatting import same_but_for_format
 from tessera.llm.representative import survivors
+from tessera.llm.scans import repair_scans
 from tessera.session import table
 
 
@@ -34,6 +35,17 @@ g AS (SELECT raw_id, min(raw_id) OVER (PARTITION BY rec) AS first_raw_id, count(
 """
 
 
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: fields with traces of a scan, the kinds of traces, and the running text."""
+    item = table(spark, sf_dir, "item").select("row_id", "name", F.col("system.description").alias("description"))
+    return repair_scans(item, "row_id", {"name": "name", "description": "description"}).withColumnRenamed("key", "row_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: fields with traces of a scan."""
+    return p4_repaired(spark, sf_dir).select("row_id", "field")
+
+
 #: The order of trust in problem 5, and what placeholder art looks like.
 TRUST = ["extracted", "review", "reviewed", "approved"]
 PLACEHOLDER = r"^generic/|^iconsets/|/lib/"
@@ -89,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_collapsed": p2_collapsed,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p5_found": p5_found,
 }
 SQL: dict[str, str] = {
