@@ -73,8 +73,7 @@ def survivors(
     )
     rows = F.sum(F.when(F.col("field") == "", F.col("n"))).over(Window.partitionBy(*group))
     counted = reduced.withColumn("__rows", rows).filter((F.col("__rows") > 1) & (F.col("field") != "")).select(*group, "field", "d1", "element", F.col("rest.d2").alias("d2"), (-F.col("rest.minus_key")).alias("key"))
-    front = skyline(counted.filter(F.col("element").isNull()), [*group, "field"], "d1", "d2")
-    policy = Window.partitionBy(*group, "field").orderBy(F.col("d1").desc_nulls_last(), F.col("d2").desc_nulls_last(), "key")
-    picked = front.withColumn("__rank", F.row_number().over(policy)).filter("__rank = 1")
-    united = counted.filter(F.col("element").isNotNull())
-    return picked.select(*group, "field", F.col("key").cast("string").alias("pick")).unionByName(united.select(*group, "field", F.col("element").alias("pick")))
+    part = [*group, "field", "element"]
+    policy = Window.partitionBy(*part).orderBy(F.col("d1").desc_nulls_last(), F.col("d2").desc_nulls_last(), "key")
+    picked = skyline(counted, part, "d1", "d2").withColumn("__rank", F.row_number().over(policy)).filter("__rank = 1")
+    return picked.select(*group, "field", F.coalesce("element", F.col("key").cast("string")).alias("pick"))
