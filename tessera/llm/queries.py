@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.encoding import restore_encoding
 from tessera.llm.formatting import same_but_for_format
+from tessera.llm.leaks import leaks
 from tessera.llm.representative import survivors
 from tessera.llm.scans import repair_scans
+from tessera.llm.tokens import encode_corpus
 from tessera.session import table
 
 
@@ -96,6 +98,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("dataset", "row_key").distinct()
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 8: the token identifiers of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9 with the length of the shared run, as far as seen around one sketch."""
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: documents and the test items leaked in them."""
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+P9_SQL = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[k:k + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - 10)) AS k FROM w))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.run = i.run AND d.side = 'd' AND i.side = 'i'
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
@@ -104,9 +129,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
 SQL: dict[str, str] = {
     "p2_found": P2_SQL + "SELECT first_raw_id, raw_id FROM g WHERE copies > 1",
     "p2_collapsed": P2_SQL + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
     "p5_found": P5_SQL,
+    "p9_found": P9_SQL,
 }
