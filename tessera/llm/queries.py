@@ -12,6 +12,7 @@ from tessera.llm.formatting import same_but_for_format
 from tessera.llm.leaks import leaks
 from tessera.llm.representative import survivors
 from tessera.llm.scans import repair_scans
+from tessera.llm.spam import spam_pages
 from tessera.llm.tokens import encode_corpus
 from tessera.session import table
 
@@ -121,6 +122,16 @@ SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.run = i.r
 """
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: spam documents with their robust distance."""
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").withColumnRenamed("key", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: documents made of keywords, links, tags or product entries."""
+    return p10_scores(spark, sf_dir).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
@@ -132,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
 SQL: dict[str, str] = {
     "p2_found": P2_SQL + "SELECT first_raw_id, raw_id FROM g WHERE copies > 1",
