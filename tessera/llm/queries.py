@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import restore_encoding
+from tessera.llm.entities import match_entities
 from tessera.llm.formatting import same_but_for_format
 from tessera.llm.leaks import leaks
 from tessera.llm.representative import survivors
@@ -99,6 +100,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_restored(spark, sf_dir).select("dataset", "row_key").distinct()
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: the item that each correction speaks of, with a confidence."""
+    found = match_entities(
+        table(spark, sf_dir, "correction"), {"id": "correction_id", "category": "category", "name": "ref.name", "book": "ref.book", "page": "ref.page"},
+        table(spark, sf_dir, "item"), {"id": "row_id", "category": "category", "name": "name", "book": "book", "page": "meta.page"},
+        table(spark, sf_dir, "registry"), "slug", "title",
+    )
+    return found.select(F.col("mention").alias("correction_id"), F.col("record").alias("row_id"), "confidence")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: the item that each correction speaks of."""
+    return p7_matches(spark, sf_dir).select("correction_id", "row_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 8: the token identifiers of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -140,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
