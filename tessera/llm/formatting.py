@@ -7,7 +7,8 @@ Values and groups that hold much of all rows are looked up in a bounded broadcas
 a shuffle join, so no hot value or group meets one task.
 
 Defined results
-- Texts compare without case, whitespace, punctuation and symbols: only letters and digits (Unicode L and N) count.
+- Texts compare without case, whitespace, punctuation and symbols: only letters and digits (Unicode L and N) count;
+  ß equals ss.
 - Numbers compare by value (2, 2.0 and 2e0 are equal), a text never equals a number; true, false and null equal
   themselves; a nested array or object compares as its text. A field with null differs from an absent field.
 - A null payload, or one that is no JSON object (or repeats a key), belongs to no group. ``{}`` equals ``{}``.
@@ -24,7 +25,7 @@ from tessera.session import cut, lookup_with_heavy
 
 def canonical_value(kind: Column, value: Column) -> Column:
     """Canonical text of a value; ``kind``: s(tring), n(umber), x (anything else)."""
-    text = F.lower(F.upper(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")))
+    text = F.translate(F.replace(F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
     number = value.try_cast("double")
     whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("decimal(20,0)").cast("string"))
     exact = F.when(value.rlike(r"^-?\d+$"), F.regexp_replace(value, r"^(-?)0+(?=\d)|^-(?=0$)", "$1"))
