@@ -1,0 +1,121 @@
+"""Algorithmic kernels (N*, L15): segmentation, expansion of nested packs, connected components, geometry."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Callable, Iterator, Mapping
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.session import cut
+
+
+def segmenter(counts: Mapping[str, int], longest: int = 24) -> Callable[[str], list[str]]:
+    """The cheapest split of letters into words: log N - log count for a known one, 11 + 2.2 a letter for an unknown one,
+    4 for the single letters a and i and 30 for any other."""
+    total = math.log(sum(counts.values()) or 1)
+
+    def cost(word: str) -> float:
+        if len(word) == 1:
+            return 4.0 if word in "ai" else 30.0
+        return total - math.log(counts[word]) if word in counts else 11.0 + 2.2 * len(word)
+
+    def split(text: str) -> list[str]:
+        best, back = [0.0], [0]
+        for end in range(1, len(text) + 1):
+            options = [(best[start] + cost(text[start:end]), start) for start in range(max(0, end - longest), end)]
+            value, start = min(options)
+            best.append(value)
+            back.append(start)
+        out, end = [], len(text)
+        while end:
+            out.append(text[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
+    return split
+
+
+def demangle(df: DataFrame, key: str, name: str, vocabulary: DataFrame, most_words: int = 50_000) -> DataFrame:
+    """``key, text``: letters between other marks segmented and capitalised as in the input. ``vocabulary``: word, n; the
+    ``most_words`` most frequent words are the model (a bounded table), whatever the corpus."""
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(most_words)
+    shared = df.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in top.collect()})
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = segmenter(shared.value)
+
+        def mend(m: re.Match) -> str:
+            raw, at, out = m.group(), 0, []
+            for word in split(raw.lower()):
+                out.append(raw[at : at + len(word)])
+                at += len(word)
+            return " ".join(out)
+
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "text": [None if t is None else re.sub(r"[A-Za-z]+", mend, t) for t in batch["text"]]})
+
+    out = df.select(F.col(key).alias("key"), F.col(name).alias("text")).mapInPandas(run, f"key {kind}, text string")
+    return out.withColumnRenamed("key", key)
+
+
+def expand_nested(roots: DataFrame, root: str, edges: DataFrame, parent: str, child: str, deepest: int = 4) -> DataFrame:
+    """``root, member, depth``: what is contained in each root over up to ``deepest`` levels; members that contain nothing, or lie at
+    the last level, are reported. A path never visits a node twice, so cycles end."""
+    e = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct()
+    level = roots.select(F.col(root).alias("root"), F.col(root).alias("member"), F.array(F.col(root)).alias("path"), F.lit(0).alias("depth"))
+    done = None
+    for depth in range(deepest + 1):
+        following = level.join(e, F.col("member") == F.col("__p"), "left")
+        grows = F.col("__c").isNotNull() & ~F.array_contains("path", F.col("__c")) & F.lit(depth < deepest)
+        ended = following.filter(~grows).select("root", "member", "depth")
+        inner = following.filter(grows).select("root", "member", "depth").distinct()
+        leaf = ended.join(inner, ["root", "member", "depth"], "left_anti").distinct()
+        done = leaf if done is None else done.unionByName(leaf)
+        level = following.filter(grows).select("root", F.col("__c").alias("member"), F.concat("path", F.array("__c")).alias("path"), (F.col("depth") + 1).alias("depth"))
+    return done.filter("depth > 0").distinct()
+
+
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+    """``node, component`` (its smallest node), by alternating large-star and small-star steps: edges of a node go to its smallest
+    neighbour. Every step is an aggregate and a join, and a hub's list is never collected; the number of steps grows with the logarithm of the size."""
+    def clean(df: DataFrame) -> DataFrame:
+        return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    all_edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    state = cut(clean(all_edges))
+    for _ in range(rounds):
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = clean(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = clean(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+        following = cut(small)
+        same = following.join(state, ["u", "v"], "left_anti").isEmpty() and state.join(following, ["u", "v"], "left_anti").isEmpty()
+        state = following
+        if same:
+            break
+    nodes = all_edges.select(F.col("u").alias("node")).unionByName(all_edges.select(F.col("v").alias("node"))).filter("node is not null").distinct()
+    found = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def spatial_relation(rect: tuple[Column, Column, Column, Column], line: tuple[Column, Column, Column, Column]) -> Column:
+    """Where a line lies to a rectangle (x0, y0, x1, y1): inside if its centre is, below or above if they overlap by a fifth of the
+    narrower width, else beside."""
+    x0, y0, x1, y1 = rect
+    lx0, ly0, lx1, ly1 = line
+    cx, cy = (lx0 + lx1) / 2, (ly0 + ly1) / 2
+    overlap = (F.least(x1, lx1) - F.greatest(x0, lx0)) / F.greatest(F.lit(1e-9), F.least(x1 - x0, lx1 - lx0))
+    return F.when(cx.between(x0, x1) & cy.between(y0, y1), "in").when((overlap > 0.2) & (cy > y1), "below").when((overlap > 0.2) & (cy < y0), "above").otherwise("side")
+
+
+def geometric_score(relation: Column, gap: Column) -> Column:
+    """60 inside; 60 - 0.3 gap below; 40 - 0.25 gap beside; 25 - 0.2 gap above; never under -25."""
+    score = F.when(relation == "in", F.lit(60.0)).when(relation == "below", 60 - 0.3 * gap).when(relation == "side", 40 - 0.25 * gap).otherwise(25 - 0.2 * gap)
+    return F.greatest(F.lit(-25.0), score)

@@ -1,40 +1,10 @@
-"""Queries of the catalogue operators on the driver tables."""
+"""All queries of the catalogue operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import aggregate_queries, change_queries, join_queries, sequence_queries, text_queries
+from tessera.plans.aggregate_queries import type_tree  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.session import table
-
-
-def type_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-level roll-up of part by type and brand with conditional counts."""
-    size = F.col("p_size")
-    return (
-        table(spark, sf_dir, "part")
-        .select(F.coalesce(F.nullif("p_type", F.lit("")), F.lit("UNTYPED")).alias("type"), F.coalesce(F.nullif("p_brand", F.lit("")), F.lit("")).alias("subtype"), "p_size")
-        .rollup("type", "subtype")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(size <= 15, 1)).alias("small"),
-            F.count(F.when((size > 15) & (size <= 35), 1)).alias("medium"),
-            F.count(F.when(size > 35, 1)).alias("large"),
-            F.grouping_id().alias("level"),
-        )
-        .orderBy("type", "subtype", "level")
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"type_tree": type_tree}
-SQL = {
-    "type_tree": """
-SELECT coalesce(nullif(p_type, ''), 'UNTYPED') AS type, coalesce(nullif(p_brand, ''), '') AS subtype, count(*) AS n,
-  count(CASE WHEN p_size <= 15 THEN 1 END) AS small, count(CASE WHEN p_size > 15 AND p_size <= 35 THEN 1 END) AS medium,
-  count(CASE WHEN p_size > 35 THEN 1 END) AS large,
-  CAST(grouping(coalesce(nullif(p_type, ''), 'UNTYPED'), coalesce(nullif(p_brand, ''), '')) AS BIGINT) AS level
-FROM part GROUP BY ROLLUP (coalesce(nullif(p_type, ''), 'UNTYPED'), coalesce(nullif(p_brand, ''), ''))
-""",
-}
+_MODULES = (text_queries, join_queries, aggregate_queries, change_queries, sequence_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
