@@ -53,7 +53,7 @@ def remove_one(rows: DataFrame, tombstones: DataFrame, keys: Sequence[str], orde
     dead = tombstones.select(*keys).distinct()
     hit = rows.join(dead, list(keys), "left_semi")
     first = hit.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__r = 1").select(row_id)
-    return rows.join(first, row_id, "left_anti")
+    return rows.join(first, row_id, "left_anti").select(*rows.columns)
 
 
 def move(rows: DataFrame, moves: DataFrame, keys: Sequence[str], target: Mapping[str, str], unique: Sequence[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def move(rows: DataFrame, moves: DataFrame, keys: Sequence[str], target: Mapping
 
 def reload(rows: DataFrame, fresh: DataFrame, partition: Sequence[str]) -> DataFrame:
     """The partitions that ``fresh`` has are replaced by it; loading it again changes nothing."""
-    return rows.join(fresh.select(*partition).distinct(), list(partition), "left_anti").unionByName(fresh)
+    return rows.join(fresh.select(*partition).distinct(), list(partition), "left_anti").select(*rows.columns).unionByName(fresh)
 
 
 def seed_absent(rows: DataFrame, bundled: DataFrame, keys: Sequence[str]) -> DataFrame:

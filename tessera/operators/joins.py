@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_sorted
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], bucket: Column) -> DataFrame:
     """``left`` with the ``values`` of the latest ``right`` row of the same keys at or before ``at``; nulls if there is none.
@@ -132,19 +134,20 @@ def merge_ordered(rows: DataFrame, key: str, order: str, stats: Sequence[str]) -
     distinct = tagged.groupBy(key, "__sig").agg(F.min(order).alias("__first"), *(F.any_value(F.col(s).cast("string")).alias(f"__s{i}") for i, s in enumerate(stats)))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__first")
-        accepted, out = [], []
-        for r in pdf.itertuples(index=False):
-            own = list(r[3:])
+    def start():
+        accepted: list[tuple] = []
+
+        def step(row):
+            own = row[3:]
             hit = next((f for f, s in accepted if all(a is None or b is None or a == b for a, b in zip(own, s))), None)
             outcome = "reference" if hit is not None else "variant" if accepted else "new"
             if hit is None:
-                accepted.append((r[2], own))
-            out.append((r[0], r[1], r[2], outcome, hit if hit is not None else r[2]))
-        return pd.DataFrame(out, columns=[key, "__sig", "__first", "outcome", "matched"])
+                accepted.append((row[2], own))
+            return [(*row[:3], outcome, hit if hit is not None else row[2])]
+
+        return step, list
 
-    folded = distinct.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, __sig bigint, __first {kinds[order]}, outcome string, matched {kinds[order]}")
+    folded = fold_sorted(distinct, [key], ["__first"], start, f"{key} {kinds[key]}, __sig bigint, __first {kinds[order]}, outcome string, matched {kinds[order]}")
     out = tagged.join(folded, [key, "__sig"])
     outcome = F.when(F.col(order) == F.col("__first"), F.col("outcome")).otherwise(F.lit("reference"))
     return out.select(*rows.columns, outcome.alias("outcome"), "matched")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_sorted
+
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key by a total order (the order must not tie). Combined map-side, so a hot key is no burden."""
@@ -41,18 +42,22 @@ def better_text_fold(df: DataFrame, group: str, order: str, text: str, date: str
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     narrow = df.filter(F.col(text).isNotNull()).select(group, order, F.length(text).alias("__l"), F.coalesce(F.col(date).cast("string"), F.lit("")).alias("__d"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for r in pdf.sort_values(order).itertuples(index=False):
-            if best is None:
-                best = r
-                continue
-            near = min(best[2], r[2]) >= ratio * max(best[2], r[2])
-            if r[3] >= best[3] if near else r[2] > best[2]:
-                best = r
-        return pd.DataFrame([(best[0], best[1], best[2])], columns=[group, order, "length"])
-
-    return narrow.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, length int")
+    def start():
+        best: list = [None]
+
+        def step(row):
+            current = best[0]
+            if current is None:
+                best[0] = row
+                return []
+            near = min(current[2], row[2]) >= ratio * max(current[2], row[2])
+            if row[3] >= current[3] if near else row[2] > current[2]:
+                best[0] = row
+            return []
+
+        return step, lambda: [best[0][:3]]
+
+    return fold_sorted(narrow, [group], [order], start, f"{group} {kinds[group]}, {order} {kinds[order]}, length int")
 
 
 def natural_key(text: Column, digits: int = 12) -> Column:

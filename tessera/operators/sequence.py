@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_sorted
+
 
 def _measure(df: DataFrame, order: str) -> Column:
     """The order column as a number: seconds for timestamps."""
@@ -35,17 +36,19 @@ def anchor_groups(df: DataFrame, keys: Sequence[str], order: str, limit: float,
     stretches = df.select(*keys, key_column, at.alias("__at"), F.when(at - F.lag(at).over(w) > limit, 1).otherwise(0).alias("__new"), order)
     stretches = stretches.withColumn("__stretch", F.sum("__new").over(w)).drop("__new", order)
 
-    def anchor(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__at", key_column])
-        group, start, out = 0, None, []
-        for at_ in pdf["__at"]:
-            if start is None or at_ - start > limit:
-                group, start = group + 1, at_
-            out.append(group)
-        return pdf.assign(__g=out)[[*keys, key_column, "__stretch", "__g"]]
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, key_column]) + ", __stretch bigint, __g int"
-    local = stretches.groupBy(*keys, "__stretch").applyInPandas(anchor, schema)
+    def start():
+        state = {"group": 0, "start": None}
+
+        def step(row):
+            at_ = row[-1]
+            if state["start"] is None or at_ - state["start"] > limit:
+                state["group"], state["start"] = state["group"] + 1, at_
+            return [(*row[: len(keys) + 2], state["group"])]
+
+        return step, list
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", __stretch bigint, {key_column} {kinds[key_column]}, __g int"
+    local = fold_sorted(stretches.select(*keys, "__stretch", key_column, "__at"), [*keys, "__stretch"], ["__at", key_column], start, schema)
     per = local.groupBy(*keys, "__stretch").agg(F.max("__g").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = per.select(*keys, "__stretch", before.alias("__o"))
