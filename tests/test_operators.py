@@ -199,3 +199,46 @@ def test_empty_tables(spark):
     assert sequence.gap_sessions(e, ["k"], "t", F.lit(1.0)).count() == sequence.anchor_groups(e, ["k"], "t", 1.0, "id").count() == 0
     assert kernels.connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
     assert joins.merge_ordered(e, "k", "id", ["t"]).count() == 0 and ranking.better_text_fold(e, "k", "id", "k", "k").count() == 0
+
+
+def test_headings_refuse_ambiguity(spark):
+    from tessera.operators.headings import anchored_rows, heading_matches
+
+    names = spark.createDataFrame([(1, "Iron Lamp", "b", 10), (2, "Iron Lamp Stand", "b", 11), (3, "Old Oil Torch", "b", 12), (4, "New Oil Torch", "b", 13), (5, "Silver Lantern", "b", 90), (6, "Acme Copper Kettle", "b", 10)], "id int, name string, g string, p int")
+    lines = spark.createDataFrame([(1, "IRON LAMPS", "b", 12), (2, "oil torch", "b", 12), (3, "Silver Lantern", "b", 12), (4, "Iron Lamp St", "b", 11), (5, "Copper Kettle", "b", 10), (6, "Iron Lamp", "c", 10), (7, "", "b", 1), (8, None, "b", 1)], "lid int, line string, g string, p int")
+    out = heading_matches(lines, "line", "lid", names, "name", "id", "g", "p")
+    assert rows(out) == [(1, 1, "full"), (4, 2, "prefix"), (5, 6, "tail")]
+    shown = spark.createDataFrame([("g", 1, "Iron Lamp 1,250¥"), ("g", 2, "Oil 1250"), ("g", 3, "9")], "g string, o int, line string")
+    assert rows(anchored_rows(spark.createDataFrame([(7, "g", 1250), (8, "g", 77)], "id int, g string, price int"), "id", "price", shown, "line", "o", "g")) == [(7, "Iron Lamp")]
+
+
+def test_nearest_free_matches_brute_force(spark):
+    from tessera.operators.headings import nearest_free
+
+    rng = random.Random(6)
+    points = [(rng.choice("ab"), rng.randint(0, 300) + i / 1000, i) for i in range(60)]
+    targets = [(rng.choice("ab"), rng.randint(0, 300) + i / 1000 + 0.0005, i) for i in range(60)]
+    free, want = list(targets), []
+    for g, at, p in sorted(points, key=lambda x: (x[0], x[1])):
+        near = [t for t in free if t[0] == g and abs(t[1] - at) < 15]
+        if near:
+            hit = min(near, key=lambda t: (abs(t[1] - at), t[1]))
+            free.remove(hit)
+            want.append((g, p, hit[2]))
+    got = nearest_free(spark.createDataFrame(points, "k string, at double, p int"), spark.createDataFrame(targets, "k string, at double, t int"), ["k"], "at", "p", "t", 15.0)
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_records(spark):
+    from tessera.operators import records
+
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None}), (None, {"x": "y"}), ({"k": "v"}, None)], "b map<string,string>, o map<string,string>")
+    assert [r[0] for r in df.select(records.overlay(F.col("b"), F.col("o"))).collect()] == [{"a": "1", "b": "3", "c": None}, {"x": "y"}, {"k": "v"}]
+    t = spark.createDataFrame([("TRUE",), (" 7",), ("-2.5",), ("x1",), (None,)], "v string")
+    assert [tuple(r[0]) for r in t.select(records.tagged(F.col("v"))).collect()] == [(True, None, None, None), (None, 7, None, None), (None, None, -2.5, None), (None, None, None, "x1"), (None, None, None, None)]
+    bad = records.mapped(t.filter("v is not null"), lambda r: {"n": int(r["v"])}, "n bigint")
+    assert sorted((r["n"] is None, r["error"] is None) for r in bad.collect()) == [(False, True), (True, False), (True, False), (True, False)]
+    nodes = spark.createDataFrame([(1, 0, -1, "a", 5), (1, 1, 0, "choice", 7), (1, 2, 1, "b", 9), (1, 3, 2, "b", 9), (1, 4, 0, "b", 2), (2, 0, -1, "b", 1)], "t int, node_no bigint, parent_no bigint, tag string, n int")
+    assert rows(records.ancestor_sums(nodes, "t", F.col("n"), F.col("tag"), ["choice"])) == [(1, "a", 5.0), (1, "b", 2.0), (2, "b", 1.0)]
+    c = spark.createDataFrame([("x", None), ("x", "own"), ("q", None)], "p string, f string")
+    assert rows(records.inherit(c, spark.createDataFrame([("x", "up")], "p string, f string"), ["p"], ["f"])) == [("q", None), ("x", "own"), ("x", "up")]
