@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common function words. Words shared by two lists, and 'in' (as in 'in stock'), are left out.
+#: Common function words. Words shared by two lists, and those of offers ('in' stock, 'pas' cher), are left out.
 LANGUAGES = {
     "en": """the a an and or but if of to is are was were be been it its this that these those there with without for from by as at on into
         over under when while until unless since because although though so than then not no nor every each all any some most many few
@@ -38,7 +38,7 @@ LANGUAGES = {
         auf nach vor während trotz über unter bis weil obwohl dass nicht kein keine jede jeder jedes alle viele einige er sie es wir ihr
         sein seine welche wer wo wie kann wird werden hat haben""",
     "fr": """le la les un une de du des et ou mais si à au aux est sont était être avec sans pour par sur sous dans dès après avant pendant jusqu
-        parce que qui quoi où comme ne pas plus chaque tout tous toute toutes plusieurs quelques il elle ils elles nous vous son sa ses leur
+        parce que qui quoi où comme ne plus chaque tout tous toute toutes plusieurs quelques il elle ils elles nous vous son sa ses leur
         leurs ce cette ces peut sera ont""",
 }
 LINK = re.compile(r"<[^<>]*>|https?://[^\s)>\]]+|www\.[^\s)>\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|example|test|invalid)\b[^\s)>\]]*", re.I)
