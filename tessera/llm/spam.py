@@ -1,7 +1,7 @@
 """Keyword-stuffed and link-list pages (problem 10).
 
-Six features describe a document: the share of words amid function words (prose), of function words, of characters in links and
-markup, of the three most frequent other words (repetition), of separators, and the words' entropy. Per language a robust
+Six features describe a document: the share of text amid function words (prose) and of function words, links and markup counting as
+text without any, the share of characters in links and markup, of the three most frequent other words (repetition), of separators, and the words' entropy. Per language a robust
 centre and scatter are estimated over all documents: medians and median deviations first, then ``STEPS`` reweighting steps that
 take mean and covariance of the documents within the cut-off, all as aggregates. A document is reported if its robust
 Mahalanobis distance is beyond the cut-off and the deviation points towards spam: its prose share lies far below the centre and the
@@ -76,11 +76,12 @@ def text_features(text: str, stated: str | None, lists: dict[str, frozenset[str]
     counts = Counter(w for w, f in zip(words, flags) if not f)
     share = np.array(list(Counter(words).values()), float) / max(1, n)
     bits = float(-(share * np.log2(share)).sum()) / float(np.log2(n)) if n > 1 else 1.0
+    own = len("".join(rest.split())) / max(1, len("".join(text.split()))) if links else 1.0
     return (
         code,
-        float((near >= min(2, n)).mean()) if n else 0.0,
-        float(flags.mean()) if n else 0.0,
-        1.0 - len(rest.replace(" ", "")) / max(1, len(re.sub(r"\s", "", text))) if links else 0.0,
+        own * float((near >= min(2, n)).mean()) if n else 0.0,
+        own * float(flags.mean()) if n else 0.0,
+        1.0 - own,
         sum(c for _, c in counts.most_common(3)) / n if n > 20 else 0.0,
         min(1.0, len(SEPARATOR.findall(rest)) / max(1, n)),
         bits,
