@@ -55,7 +55,17 @@ b AS (SELECT DISTINCT 'item' AS dataset, row_id AS row_key, CAST(system.price AS
 j AS (SELECT a.dataset AS ad, b.dataset AS bd, coalesce(a.dataset, b.dataset) AS dataset, coalesce(a.row_key, b.row_key) AS row_key,
     a.f1 AS a1, a.f2 AS a2, a.f3 AS a3, a.f4 AS a4, b.f1 AS b1, b.f2 AS b2, b.f3 AS b3, b.f4 AS b4
   FROM a FULL JOIN b ON a.dataset = b.dataset AND a.row_key = b.row_key)
-SELECT dataset, row_key, 'only_first' AS diff FROM j WHERE bd IS NULL
+"""
+P1_SIDES = P1_SQL.replace("CAST(list_sort(meta.conflicts) AS VARCHAR)", "CAST(to_json(list_sort(meta.conflicts)) AS VARCHAR)")
+P1_VALUES_SQL = P1_SIDES + """
+SELECT dataset, row_key, 'only_first' AS diff, NULL AS first_value, NULL AS second_value FROM j WHERE bd IS NULL
+UNION ALL SELECT dataset, row_key, 'only_second', NULL, NULL FROM j WHERE ad IS NULL
+UNION ALL SELECT dataset, row_key, 'system.price', a1, b1 FROM j WHERE ad = bd AND a1 IS DISTINCT FROM b1
+UNION ALL SELECT dataset, row_key, 'system.avail', a2, b2 FROM j WHERE ad = bd AND a2 IS DISTINCT FROM b2
+UNION ALL SELECT dataset, row_key, CASE dataset WHEN 'item' THEN 'meta.qa_status' ELSE 'deleted' END, a3, b3 FROM j WHERE ad = bd AND a3 IS DISTINCT FROM b3
+UNION ALL SELECT dataset, row_key, 'meta.conflicts', a4, b4 FROM j WHERE ad = bd AND a4 IS DISTINCT FROM b4
+"""
+P1_SQL += """SELECT dataset, row_key, 'only_first' AS diff FROM j WHERE bd IS NULL
 UNION ALL SELECT dataset, row_key, 'only_second' FROM j WHERE ad IS NULL
 UNION ALL SELECT dataset, row_key, 'system.price' FROM j WHERE ad = bd AND a1 IS DISTINCT FROM b1
 UNION ALL SELECT dataset, row_key, 'system.avail' FROM j WHERE ad = bd AND a2 IS DISTINCT FROM b2
@@ -82,6 +92,10 @@ P6_SQL = _TREES + """
 SELECT tree_id, node_no, parent_no, tag, '' AS attr FROM l
 UNION ALL SELECT tree_id, node_no, parent_no, tag, unnest(list_distinct(json_keys(node, '$.attrs'))) FROM l WHERE json_type(node, '$.attrs') = 'OBJECT'
 """
+P6_ATTRIBUTES_SQL = _TREES + """
+SELECT tree_id, node_no, attr, json_extract_string(node, '$.attrs."' || attr || '"') AS value
+FROM (SELECT tree_id, node_no, node, unnest(list_distinct(json_keys(node, '$.attrs'))) AS attr FROM l WHERE json_type(node, '$.attrs') = 'OBJECT')
+"""
 P6_NODES_SQL = _TREES + "SELECT tree_id, node_no, parent_no, tag, node->>'$.text' AS text FROM l"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_nodes": p6_nodes,
     "p6_attributes": p6_attributes,
 }
-SQL = {"p1_found": P1_SQL, "p6_found": P6_SQL, "p6_nodes": P6_NODES_SQL}
+SQL = {"p1_found": P1_SQL, "p1_values": P1_VALUES_SQL, "p6_found": P6_SQL, "p6_nodes": P6_NODES_SQL, "p6_attributes": P6_ATTRIBUTES_SQL}
