@@ -66,7 +66,7 @@ def bucket_lines(df: DataFrame, keys: Sequence[str], y: str, x: str, text: str,
 def assign_bands(rows: DataFrame, x: str, bands: DataFrame, start: str, keys: Sequence[str] = (), slack: float = 1.0) -> DataFrame:
     """L4: the band [start - slack, next start - slack) that holds x, the first band if x lies before it. Bands of a key are few (columns of a table)."""
     ordered = bands.groupBy(*keys).agg(F.array_sort(F.collect_set(start)).alias("__bands"))
-    out = rows.join(ordered, list(keys)) if keys else rows.crossJoin(F.broadcast(ordered))
+    out = rows.join(ordered, list(keys)) if keys else rows.crossJoin(ordered)
     within = F.filter("__bands", lambda b: b - slack <= F.col(x))
     return out.withColumn("band", F.greatest(F.size(within) - 1, F.lit(0))).drop("__bands")
 

@@ -242,3 +242,18 @@ def test_records(spark):
     assert rows(records.ancestor_sums(nodes, "t", F.col("n"), F.col("tag"), ["choice"])) == [(1, "a", 5.0), (1, "b", 2.0), (2, "b", 1.0)]
     c = spark.createDataFrame([("x", None), ("x", "own"), ("q", None)], "p string, f string")
     assert rows(records.inherit(c, spark.createDataFrame([("x", "up")], "p string, f string"), ["p"], ["f"])) == [("q", None), ("x", "own"), ("x", "up")]
+
+
+def test_layout(spark):
+    from tessera.operators import layout
+
+    glyphs = spark.createDataFrame([(1, i * 5.0, i * 5.0 + 4.5, 10.0, c) for i, c in enumerate("iron lamp") if c != " "] + [(2, 0.0, 1.0, 10.0, "x")], "l int, a double, b double, h double, c string")
+    assert rows(layout.words_from_glyphs(glyphs, ["l"], "a", "b", "h", "c")) == [(1, 1, "iron"), (1, 2, "lamp"), (2, 1, "x")]
+    lines = spark.createDataFrame([(1, "Lamp 2d6 1,000¥ bright"), (2, "prose only"), (3, "Big Lamp 3D6+1 –")], "i int, t string")
+    assert rows(layout.parse_rows(lines, "t", {"dmg": "dice", "cost": "money"}, tail=True), "name", "dmg", "cost", "rest") == [("Big Lamp", "3D6+1", "–", ""), ("Lamp", "2d6", "1,000¥", "bright")]
+    t = spark.createDataFrame([("p", i, x) for i, x in enumerate(["7 8 before", "HEAD", "Lamp 5 6", "no numbers", "HEAD", "Torch 9 1 2"])], "k string, i int, t string")
+    out = layout.table_rows(t, ["k"], "i", "t", F.col("t") == "HEAD", 2, 3)
+    assert rows(out, "header_at", "cells") == [(1, ["Lamp", "5", "6"]), (4, ["Torch", "9", "1"])]
+    assert rows(layout.rows_after(t, ["k"], "i", F.col("t") == "HEAD"), "t") == [("Lamp 5 6",), ("Torch 9 1 2",)]
+    s = t.select(layout.trailing_stats(F.col("t"), 2).alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in s] == [None, None, ("Lamp", ["5", "6"]), None, None, ("Torch", ["9", "1", "2"])]
