@@ -92,7 +92,7 @@ def quorum_vote(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT book, count(*) AS n, CAST(floor(count(CASE WHEN trim(system.description) <> '' THEN 1 END) * 1000 / count(*)) AS BIGINT) AS described, CAST(floor(count(CASE WHEN img <> '' THEN 1 END) * 1000 / count(*)) AS BIGINT) AS pictured FROM item GROUP BY 1),
+WITH h AS (SELECT book, count(*) AS n, CAST(floor(count(CASE WHEN trim(system.description, ' ') <> '' THEN 1 END) * 1000 / count(*)) AS BIGINT) AS described, CAST(floor(count(CASE WHEN img <> '' THEN 1 END) * 1000 / count(*)) AS BIGINT) AS pictured FROM item GROUP BY 1),
 f AS (SELECT book, count(*) AS n FROM item_copy GROUP BY 1)
 SELECT h.book, h.n, described, pictured, coalesce(h.n >= 0.98 * f.n, true) AS ok, greatest(h.n, coalesce(f.n, h.n)) AS floor_n FROM h LEFT JOIN f USING (book)""")
 def coverage_high_water(spark, sf_dir):

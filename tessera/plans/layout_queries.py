@@ -47,7 +47,7 @@ def rows_after_header(spark, sf_dir):
 
 
 @query(rf"""
-WITH {_LINES}, m AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Avail: ') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS header_at, list_filter(string_split_regex(trim(line), '\s+'), lambda c: c <> '') AS cs FROM l)
+WITH {_LINES}, m AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Avail: ') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS header_at, list_filter(string_split_regex(trim(line, ' '), '\s+'), lambda c: c <> '') AS cs FROM l)
 SELECT doc_id, line_no, header_at, array_to_string(list_concat(cs, ['', '', ''])[:3], '|') AS cells FROM m
 WHERE header_at IS NOT NULL AND NOT regexp_matches(line, '^Avail: ') AND len(list_filter(cs, lambda c: regexp_matches(c, '^[+-]?[\d.,]+[¥$€%]?$'))) >= 1""")
 def stat_table(spark, sf_dir):
@@ -96,9 +96,9 @@ def subtype_tiers(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT lower(name) AS n, system.description AS d, book, row_id FROM item WHERE trim(system.description) <> '' AND name IS NOT NULL AND book IS NOT NULL),
+WITH d AS (SELECT lower(name) AS n, system.description AS d, book, row_id FROM item WHERE trim(system.description, ' ') <> '' AND name IS NOT NULL AND book IS NOT NULL),
 f AS (SELECT n, arg_min(row_id, (book, row_id)) AS source FROM d GROUP BY 1)
-SELECT i.row_id, f.source FROM item i JOIN f ON lower(i.name) = f.n WHERE coalesce(trim(i.system.description), '') = ''""")
+SELECT i.row_id, f.source FROM item i JOIN f ON lower(i.name) = f.n WHERE coalesce(trim(i.system.description, ' '), '') = ''""")
 def description_fill(spark, sf_dir):
     """Blank descriptions filled from the first book that describes the name."""
     item = table(spark, sf_dir, "item").select("row_id", "book", F.lower("name").alias("n"), (F.coalesce(F.trim("system.description"), F.lit("")) != "").alias("described"))

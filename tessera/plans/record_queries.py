@@ -16,7 +16,7 @@ _NORM = "regexp_replace(lower(replace({}, 'ß', 'ss')), '[^a-z0-9]+', '', 'g')"
 
 
 @query(rf"""
-WITH l AS (SELECT correction_id AS lk, ref.book AS g, coalesce(ref.page, 150) AS lp, {_NORM.format("trim(ref.name)")} AS k FROM correction WHERE len(string_split_regex(trim(ref.name), '\s+')) <= 6 AND {_NORM.format("trim(ref.name)")} <> ''),
+WITH l AS (SELECT correction_id AS lk, ref.book AS g, coalesce(ref.page, 150) AS lp, {_NORM.format("trim(ref.name, ' ')")} AS k FROM correction WHERE len(string_split_regex(trim(ref.name, ' '), '\s+')) <= 6 AND {_NORM.format("trim(ref.name, ' ')")} <> ''),
 n AS (SELECT row_id AS nk, book AS g, meta.page AS np, name AS n, {_NORM.format("name")} AS full, regexp_replace(name, '\s*\([^)]*\)', '', 'g') AS bare FROM item WHERE name IS NOT NULL),
 v AS (SELECT nk, g, np, "full", unnest([n, bare, split_part(bare, '/', 1), regexp_replace(bare, '^([^,]+),\s*(.+)$', '\2 \1'), regexp_replace(bare, '\s+(?:\S*\d\S*|[IVX]+)$', '')]) AS v FROM n),
 p AS (SELECT nk, g, np, "full", {_NORM.format("v")} AS k FROM v), f AS (SELECT nk, g, np, "full", 1 AS r, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM p),
@@ -85,8 +85,8 @@ def column_layout(spark, sf_dir):
 
 @query(r"""
 WITH v AS (SELECT raw_id, CASE raw_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN json_extract_string(payload, '$.page') WHEN 2 THEN json_extract_string(payload, '$.essence') ELSE json_extract_string(payload, '$.name') END AS v FROM raw_item)
-SELECT raw_id, CASE WHEN lower(trim(v)) IN ('true', 'false') THEN lower(trim(v)) = 'true' END AS bool, CASE WHEN regexp_matches(trim(v), '^[+-]?\d+$') THEN TRY_CAST(v AS BIGINT) END AS int, CASE WHEN regexp_matches(trim(v), '^[+-]?\d*\.\d+$') THEN TRY_CAST(v AS DOUBLE) END AS number,
-  CASE WHEN NOT (lower(trim(v)) IN ('true', 'false') OR regexp_matches(trim(v), '^[+-]?\d+$') OR regexp_matches(trim(v), '^[+-]?\d*\.\d+$')) THEN v END AS text FROM v""")
+SELECT raw_id, CASE WHEN lower(trim(v, ' ')) IN ('true', 'false') THEN lower(trim(v, ' ')) = 'true' END AS bool, CASE WHEN regexp_matches(trim(v, ' '), '^[+-]?\d+$') THEN TRY_CAST(v AS BIGINT) END AS int, CASE WHEN regexp_matches(trim(v, ' '), '^[+-]?\d*\.\d+$') THEN TRY_CAST(v AS DOUBLE) END AS number,
+  CASE WHEN NOT (lower(trim(v, ' ')) IN ('true', 'false') OR regexp_matches(trim(v, ' '), '^[+-]?\d+$') OR regexp_matches(trim(v, ' '), '^[+-]?\d*\.\d+$')) THEN v END AS text FROM v""")
 def tagged_values(spark, sf_dir):
     """texts as what they read as."""
     get = lambda k: F.get_json_object("payload", f"$.{k}")

@@ -72,7 +72,7 @@ def backward_fill(spark, sf_dir):
 
 
 @query(f"""
-WITH {_LINES}, m AS (SELECT *, max(CASE WHEN trim(line) = '' THEN line_no END) OVER w AS stop, max(CASE WHEN line LIKE '%:' THEN line_no END) OVER w AS anchor FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+WITH {_LINES}, m AS (SELECT *, max(CASE WHEN trim(line, ' ') = '' THEN line_no END) OVER w AS stop, max(CASE WHEN line LIKE '%:' THEN line_no END) OVER w AS anchor FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
 SELECT doc_id, anchor, line_no, line FROM m WHERE anchor IS NOT NULL AND line_no > anchor AND (stop IS NULL OR stop <= anchor) AND line_no - anchor <= 23""")
 def bounded_capture(spark, sf_dir):
     """Up to 23 lines after a line that ends with a colon, up to a blank one."""
@@ -81,7 +81,7 @@ def bounded_capture(spark, sf_dir):
 
 @query(rf"""
 WITH {_LINES}, r AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][a-z]+: ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS record FROM l)
-SELECT doc_id, CAST(record AS BIGINT) AS record, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM r GROUP BY 1, 2""")
+SELECT doc_id, CAST(record AS BIGINT) AS record, string_agg(trim(line, ' '), ' ' ORDER BY line_no) AS text FROM r GROUP BY 1, 2""")
 def wrapped_records(spark, sf_dir):
     """Lines that open no record are glued to the one before."""
     return sequence.merge_wrapped(_lines(spark, sf_dir), "doc_id", "line_no", "line", F.col("line").rlike("^[A-Z][a-z]+: "))
@@ -90,7 +90,7 @@ def wrapped_records(spark, sf_dir):
 @query(rf"""
 WITH {_LINES}, a AS (SELECT *, nullif(regexp_extract(line, '^([A-Z][A-Za-z ]{{0,30}}):', 1), '') AS label, regexp_matches(line, '^[a-z]') AS low FROM l),
 b AS (SELECT *, sum(CASE WHEN label IS NOT NULL OR NOT low THEN 1 ELSE 0 END) OVER w AS part, sum(CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END) OVER w AS field_no FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, CAST(field_no AS BIGINT) AS field_no, max(label) AS label, string_agg(CASE WHEN label IS NOT NULL THEN trim(regexp_replace(line, '^[A-Z][A-Za-z ]{{0,30}}:', '')) ELSE trim(line) END, ' ' ORDER BY line_no) AS text
+SELECT doc_id, CAST(field_no AS BIGINT) AS field_no, max(label) AS label, string_agg(CASE WHEN label IS NOT NULL THEN trim(regexp_replace(line, '^[A-Z][A-Za-z ]{{0,30}}:', '')) ELSE trim(line, ' ') END, ' ' ORDER BY line_no) AS text
 FROM b GROUP BY doc_id, part, field_no HAVING max(label) IS NOT NULL""")
 def labelled_fields(spark, sf_dir):
     """Labelled fields with their small-letter continuations."""

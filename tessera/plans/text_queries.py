@@ -60,7 +60,7 @@ def heading_keys(spark, sf_dir):
 
 
 @query(r"""
-WITH v AS (SELECT row_id, unnest([trim(name), trim(regexp_extract(name, '^([^,/]+)', 1)), trim(regexp_extract(name, '[,/]\s*(.+)$', 1)),
+WITH v AS (SELECT row_id, unnest([trim(name, ' '), trim(regexp_extract(name, '^([^,/]+)', 1)), trim(regexp_extract(name, '[,/]\s*(.+)$', 1)),
   CASE WHEN trim(regexp_extract(name, '[,/]\s*(.+)$', 1)) <> '' THEN regexp_extract(name, '^(\S+)', 1) || ' ' || trim(regexp_extract(name, '[,/]\s*(.+)$', 1)) END]) AS v
   FROM (SELECT correction_id AS row_id, ref.name AS name FROM correction))
 SELECT row_id, string_agg(DISTINCT v, '|' ORDER BY v) AS variants FROM v WHERE v <> '' GROUP BY row_id""")
@@ -83,9 +83,9 @@ WITH p AS (SELECT DISTINCT correction_id, system.price AS p, system.avail AS a F
 f AS (SELECT *, coalesce(regexp_matches(p, '(?i)rating') OR regexp_matches(p, '[×x*]\s*\d|\+'), false) AS formula, coalesce(regexp_matches(a, '(?i)rating'), false) AS rated FROM p)
 SELECT correction_id,
   CASE WHEN formula THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(regexp_replace(regexp_replace(p, '(\d)[ \x{A0}](\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g'), '(\d+)', 1) AS BIGINT), 0) END AS price,
-  CASE WHEN formula THEN trim(p) END AS price_def, formula AS needs_rating,
+  CASE WHEN formula THEN trim(p, ' ') END AS price_def, formula AS needs_rating,
   CASE WHEN rated OR a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(regexp_replace(a, '(\d),(\d)', '\1\2', 'g'), '(\d+)', 1) AS INTEGER), 0) END AS avail,
-  TRY_CAST(CASE WHEN a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN '0' ELSE trim(a) END AS DOUBLE) AS essence
+  TRY_CAST(CASE WHEN a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN '0' ELSE trim(a, ' ') END AS DOUBLE) AS essence
 FROM f""")
 def parsed_prices(spark, sf_dir):
     """Free text to numbers, formulas kept as text."""
@@ -133,7 +133,7 @@ def parsed_specs(spark, sf_dir):
 @query(r"""
 SELECT row_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('the', 'and')))), ' '), '') AS tokens,
   nullif(upper(replace(regexp_extract('Kind: ' || domain || ' ' || category || '; x', '(?i)\bkind:\s*([A-Za-z]+(?: [A-Za-z]+)?)', 1), ' ', '_')), '') AS stated,
-  array_to_string(list_filter(list_transform(string_split_regex(name || ', 1,000 or ' || domain, ',\s|\bor\b'), lambda x: trim(x)), lambda x: x <> ''), '|') AS options,
+  array_to_string(list_filter(list_transform(string_split_regex(name || ', 1,000 or ' || domain, ',\s|\bor\b'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS options,
   trim(regexp_replace(regexp_replace('p. 5 "' || name || ' and then some more words" - see there', '"[^"]{20,}"', '', 'g'), '\s[–—-]\s.*$', '', 'g')) AS citation,
   CASE WHEN name LIKE '%-' OR name LIKE '%/' THEN name || domain ELSE name || ' ' || domain END AS glued
 FROM item WHERE name IS NOT NULL AND domain IS NOT NULL""")
@@ -148,7 +148,7 @@ def text_parts(spark, sf_dir):
 
 @query(r"""
 SELECT row_id, '<img class="render" src="' || coalesce(img, 'none') || '">' || regexp_replace('<img class="render" src="old">' || system.description, '<img class="render"[^>]*>', '', 'g') AS rendered,
-  concat_ws(chr(10), CASE WHEN trim(system.type) <> '' THEN 'Type: ' || system.type END, CASE WHEN trim(system.subtype) <> '' THEN 'Subtype: ' || system.subtype END, system.description) AS composed,
+  concat_ws(chr(10), CASE WHEN trim(system.type, ' ') <> '' THEN 'Type: ' || system.type END, CASE WHEN trim(system.subtype, ' ') <> '' THEN 'Subtype: ' || system.subtype END, system.description) AS composed,
   CASE WHEN domain = 'gear' THEN 'equipment' ELSE regexp_replace(domain, 's$', '', 'g') END AS fixed
 FROM item WHERE system.description IS NOT NULL AND domain IS NOT NULL""")
 def composed_texts(spark, sf_dir):
@@ -167,7 +167,7 @@ for _pattern, _to in ((r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"(?s)<
 
 @query(rf"""
 WITH s AS (SELECT doc_id, {_STRIP} AS plain FROM documents)
-SELECT doc_id, plain, left(regexp_replace(trim(list_filter(string_split(plain, chr(10)), lambda x: length(trim(x)) >= 40 AND NOT regexp_matches(trim(x), '^[=*#|{{!:;<]'))[1]), '\s+', ' ', 'g'), 600) AS lead FROM s""")
+SELECT doc_id, plain, left(regexp_replace(trim(list_filter(string_split(plain, chr(10)), lambda x: length(trim(x, ' ')) >= 40 AND NOT regexp_matches(trim(x, ' '), '^[=*#|{{!:;<]'))[1], ' '), '\s+', ' ', 'g'), 600) AS lead FROM s""")
 def stripped_markup(spark, sf_dir):
     """F68, F69."""
     s = table(spark, sf_dir, "documents").select("doc_id", text.strip_markup(F.col("text")).alias("plain"))
@@ -177,7 +177,7 @@ def stripped_markup(spark, sf_dir):
 @query(r"""
 SELECT row_id, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz',
   CAST((instr('0123456789abcdef', substr(h, CAST(2 * i + 1 AS BIGINT), 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, CAST(2 * i + 2 AS BIGINT), 1)) - 1 AS BIGINT) % 62 + 1, 1)), '') AS doc_id,
-  coalesce(nullif(trim(v), ''), id) AS catalog_id
+  coalesce(nullif(trim(v, ' '), ''), id) AS catalog_id
 FROM (SELECT row_id, id, meta.variant_of AS v, sha1(concat_ws('/', book, domain, id)) AS h FROM item)""")
 def document_ids(spark, sf_dir):
     """F34, N8."""
@@ -186,9 +186,9 @@ def document_ids(spark, sf_dir):
 
 @query(r"""
 WITH m AS (SELECT name, len(list_filter(string_split_regex(name, '\s+'), lambda t: (regexp_matches(t, '^[a-z]') AND t NOT IN ('of', 'the', 'and', 'de', 'von', 'for')) OR regexp_matches(t, '[a-z][A-Z]'))) > 0 AS mangled FROM item WHERE name IS NOT NULL),
-g AS (SELECT mangled, length(name) >= 3 AND len(string_split_regex(trim(name), '\s+')) <= 8 AND regexp_matches(name, '^[A-Z0-9]') AND NOT regexp_matches(name, '[.:]')
+g AS (SELECT mangled, length(name) >= 3 AND len(string_split_regex(trim(name, ' '), '\s+')) <= 8 AND regexp_matches(name, '^[A-Z0-9]') AND NOT regexp_matches(name, '[.:]')
     AND length(regexp_replace(name, '[^(]', '', 'g')) = length(regexp_replace(name, '[^)]', '', 'g')) AND length(regexp_replace(name, '[^A-Za-z]', '', 'g')) >= 3 AND NOT mangled AS valid,
-  len(string_split_regex(trim(name), '\s+')) <= 8 AND NOT regexp_matches(name, '[.!?;¥$]|[-–—]\s*$') AS plausible FROM m)
+  len(string_split_regex(trim(name, ' '), '\s+')) <= 8 AND NOT regexp_matches(name, '[.!?;¥$]|[-–—]\s*$') AS plausible FROM m)
 SELECT mangled, valid, plausible, count(*) AS n FROM g GROUP BY ALL""")
 def name_gate(spark, sf_dir):
     """P8, P9, P11."""
@@ -198,9 +198,9 @@ def name_gate(spark, sf_dir):
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-t AS (SELECT line, list_filter(string_split_regex(trim(line), '\s+'), lambda t: t <> '') AS ts FROM l),
+t AS (SELECT line, list_filter(string_split_regex(trim(line, ' '), '\s+'), lambda t: t <> '') AS ts FROM l),
 s AS (SELECT line, ts, len(list_filter(ts, lambda t: regexp_matches(t, '\d'))) AS digits, len(list_filter(ts, lambda t: regexp_matches(t, '^[\d+\-–—/(\[]'))) AS stats FROM t)
-SELECT trim(line) = '' OR regexp_matches(line, '[¥$€]') OR regexp_matches(line, '^[^a-z]*[A-Z][^a-z]*$') OR regexp_matches(line, '^\s*\d+\s*$') OR regexp_matches(line, '^[\s\d/+\-–—.,()]+$') OR regexp_matches(line, '\b\d+[dD]\d*\b') AS stat,
+SELECT trim(line, ' ') = '' OR regexp_matches(line, '[¥$€]') OR regexp_matches(line, '^[^a-z]*[A-Z][^a-z]*$') OR regexp_matches(line, '^\s*\d+\s*$') OR regexp_matches(line, '^[\s\d/+\-–—.,()]+$') OR regexp_matches(line, '\b\d+[dD]\d*\b') AS stat,
   CASE WHEN len(ts) <= 3 THEN true ELSE digits / len(ts) > 0.4 END AS stat_like, len(ts) <= 14 AND stats >= 4 AND stats * 2 >= len(ts) AS table_row, count(*) AS n FROM s GROUP BY ALL""")
 def stat_lines(spark, sf_dir):
     """P12, P13, P14 on every line of every document."""
@@ -262,7 +262,7 @@ def needs_attention(spark, sf_dir):
 
 @query("""
 SELECT count(CASE WHEN coalesce(name, '') = '' THEN 1 END) AS empty_name, count(CASE WHEN len(coalesce(meta.conflicts, [])) = 0 THEN 1 END) AS empty_conflicts, count(CASE WHEN coalesce(system.price, 0) = 0 THEN 1 END) AS falsy_price,
-  count(CASE WHEN NOT coalesce(meta.hidden, false) THEN 1 END) AS falsy_hidden, count(CASE WHEN coalesce(trim(system.description), '') = '' THEN 1 END) AS unfilled_description, count(CASE WHEN system.price IS NULL THEN 1 END) AS unfilled_price FROM item""")
+  count(CASE WHEN NOT coalesce(meta.hidden, false) THEN 1 END) AS falsy_hidden, count(CASE WHEN coalesce(trim(system.description, ' '), '') = '' THEN 1 END) AS unfilled_description, count(CASE WHEN system.price IS NULL THEN 1 END) AS unfilled_price FROM item""")
 def blank_kinds(spark, sf_dir):
     """three meanings of blank."""
     item = _items(spark, sf_dir)
