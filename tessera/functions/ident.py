@@ -15,6 +15,6 @@ def document_id(*parts: Column, size: int = 16) -> Column:
     return F.array_join(letters, "")
 
 
-def catalog_id(upstream: Column, own: Column, minted: Column) -> Column:
-    """The upstream id, else the own id if it has the upstream form, else the minted one."""
-    return F.coalesce(F.nullif(F.trim(upstream), F.lit("")), F.when(own.startswith("cl6_"), own), minted)
+def catalog_id(upstream: Column, own: Column, minted: Column, prefix: str = "up_") -> Column:
+    """The upstream id, else the own id if it has the upstream form (``prefix``), else the minted one."""
+    return F.coalesce(F.nullif(F.trim(upstream), F.lit("")), F.when(own.startswith(prefix), own), minted)

@@ -123,3 +123,10 @@ def placeholder_art(img: Column) -> Column:
 def prose_leak(text: Column, words: int = 12, length: int = 80) -> Column:
     """A run of twelve words or more, longer than eighty characters."""
     return F.coalesce((F.length(text) > length) & text.rlike(rf"(?:[A-Za-z'’,;]+\s+){{{words - 1}}}[A-Za-z'’]+"), F.lit(False))
+
+
+def malformed(text: Column, share: float = 0.4) -> Column:
+    """A text that a table bled into: more than ``share`` of its tokens hold digits, or a run of three words in capitals follows its first word."""
+    tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    digits = F.size(F.filter(tokens, lambda t: t.rlike(r"\d"))) / F.size(tokens)
+    return F.coalesce((digits > share) | text.rlike(r"\S\s+[A-Z]{2,}\s+[A-Z]{2,}\s+[A-Z]{2,}\b"), F.lit(False))

@@ -118,3 +118,14 @@ def append_reference(rows: DataFrame, references: str, added: DataFrame, key: st
     out = rows.join(new, F.col(key) == F.col("__k"), "left")
     own = F.coalesce(F.col(references), F.array().cast(rows.schema[references].dataType))
     return out.withColumn(references, F.array_union(own, F.coalesce("__new", own))).drop("__k", "__new")
+
+
+def recorded_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """``key, deleted, changed``: a delta for every row that changed and a tombstone for every one that is gone, to be appended to a change table."""
+    gone = old.join(new.select(key), key, "left_anti").select(key, F.lit(True).alias("deleted"), F.create_map().cast("map<string,string>").alias("changed"))
+    return delta(old, new, key, fields).select(key, F.lit(False).alias("deleted"), "changed").unionByName(gone)
+
+
+def append_changes(changes: DataFrame, path: str) -> None:
+    """The change table is only ever appended to."""
+    changes.write.mode("append").parquet(path)

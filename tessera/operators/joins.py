@@ -13,14 +13,15 @@ from tessera.operators.folds import fold_sorted
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], bucket: Column) -> DataFrame:
-    """``left`` with the ``values`` of the latest ``right`` row of the same keys at or before ``at``; nulls if there is none.
+    """``left`` with the ``values`` of the latest ``right`` row of the same keys at or before ``at``; nulls if there is none, or
+    a key is null.
 
     Both sides have a column ``at``; ``bucket`` is a column over it that does not decrease with it. Rows are ordered
     within (keys, bucket) only; what earlier buckets hand over is found on one row per bucket. So a key that has a
     third of all rows is spread over its buckets.
     """
     value = F.struct(F.col(at).alias("__at"), *values)
-    marks = right.select(*keys, at, value.alias("__v")).withColumn("__b", bucket)
+    marks = right.dropna(subset=list(keys)).select(*keys, at, value.alias("__v")).withColumn("__b", bucket)
     rows = left.withColumn("__b", bucket).withColumn("__row", F.struct(*left.columns))
     both = marks.select(*keys, "__b", at, "__v", F.lit(None).cast(rows.schema["__row"].dataType).alias("__row")).unionByName(
         rows.select(*keys, "__b", at, F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), "__row")

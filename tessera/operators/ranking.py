@@ -16,10 +16,26 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
     return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(ranked.alias("__b")).select("__b.__row.*")
 
 
-def suffixed_ids(df: DataFrame, base: str, order: Sequence[Column | str], scope: Sequence[str] = ()) -> DataFrame:
-    """``base`` for its first row, ``base_2``, ``base_3`` for the next ones, in order."""
-    n = F.row_number().over(Window.partitionBy(*scope, base).orderBy(*order))
-    return df.withColumn("new_id", F.when(n > 1, F.concat_ws("_", base, n.cast("string"))).otherwise(F.col(base)))
+def running_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, name: str = "n") -> DataFrame:
+    """Row numbers per key in order, for keys that may have a third of all rows: ``bucket`` is a column over the first order column that does not
+    decrease with it. Rows are numbered within (keys, bucket); what earlier buckets hold is added from one row per bucket."""
+    rows = df.withColumn("__b", bucket)
+    local = rows.withColumn("__l", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    counts = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb")).agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("__o", F.coalesce(before, F.lit(0)))
+    on = [local[k].eqNullSafe(offsets[f"__k{i}"]) for i, k in enumerate(keys)] + [local["__b"].eqNullSafe(offsets["__kb"])]
+    return local.join(offsets, on).select(*df.columns, (F.col("__l") + F.col("__o")).alias(name))
+
+
+def suffixed_ids(df: DataFrame, base: str, order: Sequence[Column | str], scope: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+    """``base`` for its first row, ``base_2``, ``base_3`` for the next ones, in order. ``bucket``: as in running_number, for hot bases."""
+    if bucket is None:
+        numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(*scope, base).orderBy(*order)))
+    else:
+        numbered = running_number(df, [*scope, base], order, bucket, "__n")
+    n = F.col("__n")
+    return numbered.withColumn("new_id", F.when(n > 1, F.concat_ws("_", base, n.cast("string"))).otherwise(F.col(base))).drop("__n")
 
 
 def free_ids(df: DataFrame, base: str, order: Sequence[Column | str], taken: DataFrame, taken_id: str) -> DataFrame:

@@ -144,7 +144,7 @@ WITH s AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_
 SELECT p_partkey, slug, CASE WHEN n > 1 THEN slug || '_' || n ELSE slug END AS new_id FROM n""")
 def suffix_ids(spark, sf_dir):
     """K2, O7."""
-    return ranking.suffixed_ids(table(spark, sf_dir, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("slug")), "slug", ["p_partkey"])
+    return ranking.suffixed_ids(table(spark, sf_dir, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("slug")), "slug", ["p_partkey"], bucket=F.floor(F.col("p_partkey") / 100_000))
 
 
 @query()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import predicates
-from tessera.operators import changes, quality
+from tessera.functions import predicates, text
+from tessera.operators import changes, quality, ranking
 from tessera.plans.registry import registry
 from tessera.session import table
+from tessera.sources.library import dataset_parts
 
 QUERIES, SQL, query = registry()
 
@@ -203,3 +204,51 @@ def export_docs(spark, sf_dir):
     v = table(spark, sf_dir, "item").filter("not coalesce(meta.hidden, false) and meta.qa_status in ('reviewed', 'approved') and id is not null")
     first = F.row_number().over(Window.partitionBy("book", "domain", "id").orderBy("row_id")) == 1
     return v.select("book", "domain", "id", "row_id", first.alias("kept"), F.coalesce("meta.page", F.lit(0)).alias("page"), F.coalesce("system.description", F.lit("")).alias("description"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT row_id, name, system.price AS price FROM item_copy)
+SELECT i.row_id, false AS deleted, concat_ws('|', CASE WHEN c.name IS NOT NULL AND c.name IS DISTINCT FROM i.name THEN 'name=' || c.name END, CASE WHEN c.price IS NOT NULL AND c.price IS DISTINCT FROM i.system.price THEN 'price=' || c.price END) AS changed
+FROM item i JOIN c USING (row_id) WHERE (c.name IS NOT NULL AND c.name IS DISTINCT FROM i.name) OR (c.price IS NOT NULL AND c.price IS DISTINCT FROM i.system.price)
+UNION ALL SELECT row_id, true, '' FROM item WHERE row_id NOT IN (SELECT row_id FROM c)""")
+def recorded_changes(spark, sf_dir):
+    """Deltas and tombstones that lead from the library to its copy."""
+    flat = lambda name: table(spark, sf_dir, name).select("row_id", "name", F.col("system.price").alias("price")).distinct()
+    out = changes.recorded_changes(flat("item"), flat("item_copy"), "row_id", ["name", "price"])
+    return out.select("row_id", "deleted", F.array_join(F.transform(F.map_entries("changed"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("changed"))
+
+
+@query("""
+SELECT row_id, (len(list_filter(ts, lambda t: regexp_matches(t, '\\d'))) / len(ts) > 0.1 OR regexp_matches(d, '\\S\\s+[A-Z]{2,}\\s+[A-Z]{2,}\\s+[A-Z]{2,}\\b')) IS TRUE AS malformed FROM (SELECT row_id, d, list_filter(string_split_regex(trim(d, ' '), '\\s+'), lambda t: t <> '') AS ts
+  FROM (SELECT row_id, system.description AS d FROM item)) WHERE d IS NULL OR len(ts) > 0""")
+def malformed_texts(spark, sf_dir):
+    """Descriptions that a table or heading bled into."""
+    d = F.col("system.description")
+    rows = table(spark, sf_dir, "item").filter(d.isNull() | d.rlike(r"\S"))
+    return rows.select("row_id", predicates.malformed(d, 0.1).alias("malformed"))
+
+
+@query("""
+SELECT 'registry' AS part, count(*) AS n, count(*) FILTER (WHERE published IS NULL) AS undated FROM registry UNION ALL SELECT 'region', count(*), 0 FROM region UNION ALL SELECT 'nation', count(*), 0 FROM nation""")
+def rules_dataset(spark, sf_dir):
+    """K9: three dimension tables as one dataset of JSON records."""
+    parts = {n: table(spark, sf_dir, n) for n in ("registry", "region", "nation")}
+    undated = F.count(F.when((F.col("part") == "registry") & F.get_json_object("record", "$.published").isNull(), 1))
+    return dataset_parts(parts).groupBy("part").agg(F.count(F.lit(1)).alias("n"), undated.alias("undated"))
+
+
+@query(r"""
+WITH r AS (SELECT raw_id, book, json_extract_string(payload, '$.name') AS name, json_extract_string(payload, '$.category') AS category, TRY_CAST(json_extract_string(payload, '$.page') AS INTEGER) AS page, TRY_CAST(json_extract_string(payload, '$.price') AS BIGINT) AS price FROM raw_item),
+k AS (SELECT *, regexp_replace(lower(replace(regexp_replace(name, '(?i)\s*\([^()]*variant[^()]*\)\s*$', ''), 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS base FROM r),
+f AS (SELECT * FROM k WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY book, base, page ORDER BY raw_id) = 1),
+s AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM f), n AS (SELECT *, row_number() OVER (PARTITION BY book, slug ORDER BY raw_id) AS n FROM s)
+SELECT raw_id, book, name, page, price, CASE WHEN n > 1 THEN slug || '_' || n ELSE slug END AS id, concat_ws(',', CASE WHEN price IS NULL THEN 'price' END, CASE WHEN page > 300 THEN 'page' END) AS issues FROM n""")
+def one_pass_ingest(spark, sf_dir):
+    """Incoming records read, keyed, deduplicated, given ids and checked, as one plan."""
+    get = lambda k: F.get_json_object("payload", f"$.{k}")
+    raw = table(spark, sf_dir, "raw_item").select("raw_id", "book", get("name").alias("name"), get("page").try_cast("int").alias("page"), get("price").try_cast("bigint").alias("price"))
+    keyed = raw.filter("name is not null").withColumn("base", text.norm_base(F.col("name")))
+    first = ranking.first_per(keyed, ["book", "base", "page"], ["raw_id"]).withColumn("slug", text.slugify(F.col("name")))
+    named = ranking.suffixed_ids(first, "slug", ["raw_id"], scope=["book"])
+    issues = F.concat_ws(",", F.when(F.col("price").isNull(), "price"), F.when(F.col("page") > 300, "page"))
+    return named.select("raw_id", "book", "name", "page", "price", F.col("new_id").alias("id"), issues.alias("issues"))

@@ -143,3 +143,12 @@ def sniff(content: Column) -> Column:
         F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif")
         .when(head.startswith("52494646") & (head.substr(17, 8) == "57454250"), "webp").when(head.startswith("424D"), "bmp")
     )
+
+
+def dataset_parts(parts: dict[str, DataFrame]) -> DataFrame:
+    """K9: several tables as one: ``part, record``, each row a JSON object without its null fields, to be written as one dataset."""
+    out = None
+    for name, df in parts.items():
+        rows = df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

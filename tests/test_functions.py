@@ -63,7 +63,7 @@ def test_ids(spark):
     letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     want = "".join(letters[b % 62] for b in hashlib.sha1(b"a/b/c").digest()[:16])
     assert one(spark, ident.document_id(F.lit("a"), F.lit("b"), V()), "c") == want
-    assert one(spark, ident.catalog_id(F.lit(" "), V(), F.lit("m")), "cl6_x") == "cl6_x" and one(spark, ident.catalog_id(F.lit(None), V(), F.lit("m")), "y") == "m"
+    assert one(spark, ident.catalog_id(F.lit(" "), V(), F.lit("m")), "up_x") == "up_x" and one(spark, ident.catalog_id(F.lit(None), V(), F.lit("m")), "y") == "m"
 
 
 def test_blank_kinds(spark):

@@ -257,3 +257,16 @@ def test_layout(spark):
     assert rows(layout.rows_after(t, ["k"], "i", F.col("t") == "HEAD"), "t") == [("Lamp 5 6",), ("Torch 9 1 2",)]
     s = t.select(layout.trailing_stats(F.col("t"), 2).alias("s")).collect()
     assert [r["s"] and tuple(r["s"]) for r in s] == [None, None, ("Lamp", ["5", "6"]), None, None, ("Torch", ["9", "1", "2"])]
+
+
+def test_running_numbers_over_buckets(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "b", None]), i) for i in range(200)]
+    want, seen = [], {}
+    for k, i in data:
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, i, seen[k]))
+    df = spark.createDataFrame(data, "k string, i int")
+    assert rows(ranking.running_number(df, ["k"], ["i"], F.floor(F.col("i") / 17))) == sorted(want, key=repr)
+    got = ranking.suffixed_ids(df.filter("k is not null"), "k", ["i"], bucket=F.floor(F.col("i") / 17))
+    assert rows(got) == rows(ranking.suffixed_ids(df.filter("k is not null"), "k", ["i"]))
