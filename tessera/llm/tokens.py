@@ -16,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,10 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 500_000
+SLICE_BYTES = 8_000_000
+BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: A blank beside other white space, in texts of ASCII letters and in others.
+BESIDE = [[x for c in cs for x in (f" {c}", f"{c} ")] for cs in (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", [chr(c) for c in range(0x3001) if chr(c).isspace()])]
 
 ENCODE_SQL = """
 WITH RECURSIVE t(w, pos, tok, step) AS (
@@ -73,6 +78,13 @@ def read_tokenizer(path: str) -> dict[str, list[int]]:
     }
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text cut at every blank that has no white space beside it."""
+    if text[0] != " " and text[-1] != " " and not any(x in text for x in BESIDE[not text.isascii()]):
+        return text.split(" ")
+    return BLANK.split(text)
+
+
 class Encoder:
     """Word cache and DuckDB connection of one worker process."""
 
@@ -83,6 +95,7 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.bytes = tokenizer["bytes"]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         n = len(tokenizer["l"])
         merges = pa.table({"l": pa.array(tokenizer["l"], pa.int32()), "r": pa.array(tokenizer["r"], pa.int32()), "rank": pa.array(range(n), pa.int32()), "merged": pa.array(tokenizer["merged"], pa.int32())})
@@ -115,17 +128,32 @@ class Encoder:
             self.cache[words[n]] = tuple(ids)
         self.db.unregister("start")
 
-    def encode(self, texts: list[str | None]) -> list[array]:
-        """The identifiers of each text."""
-        split = [self.split(t) if t else [] for t in texts]
-        # ``learn`` may empty the cache, so it gets all words that are missing without those kept before.
+    def _pieces(self, pieces: list[str], lead: str) -> list[tuple[int, ...]]:
+        """The identifiers of each piece with ``lead`` before it."""
+        split = [self.split(lead + p) for p in pieces]
+        # ``learn`` may empty the cache, so it then gets all words.
         missing = {w for ws in split for w in ws if w not in self.cache}
         if missing:
             if len(self.cache) > CACHE_WORDS:
                 missing = {w for ws in split for w in ws}
             self.learn(sorted(missing))
         known = self.cache.__getitem__
-        return [array("i", chain.from_iterable(map(known, ws))) for ws in split]
+        return [tuple(chain.from_iterable(map(known, ws))) for ws in split]
+
+    def encode(self, texts: list[str | None]) -> list[array]:
+        """The identifiers of each text.
+
+        Texts are cut at single blanks between other characters, where no token of the pattern reaches across; pieces, which recur, are
+        looked up whole.
+        """
+        cut = [pieces_of(t) if t else [] for t in texts]
+        heads = self._pieces([ps[0] for ps in cut if ps], "")
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        new = sorted({p for ps in cut for p in ps[1:] if p not in self.pieces})
+        self.pieces.update(zip(new, self._pieces(new, " ")))
+        known, head = self.pieces.__getitem__, iter(heads)
+        return [array("i", chain(next(head), chain.from_iterable(map(known, ps[1:])))) if ps else array("i") for ps in cut]
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -139,8 +167,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = DEFAULT_T
         if encoder is None:
             encoder = kept[tokenizer] = Encoder(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            # Few large calls, as every DuckDB query costs some time of its own, but of a bounded size.
+            step = max(1, int(batch.num_rows * min(1.0, SLICE_BYTES / max(1, batch.nbytes))))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 ids = encoder.encode(part.column(1).to_pylist())
                 offsets = array("i", [0])
                 for x in ids:
