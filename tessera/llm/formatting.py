@@ -2,7 +2,8 @@
 
 Records are JSON objects. Every (field, kind, value) is dictionary-encoded: each distinct value is canonicalised once,
 each distinct canonical value gets an integer, records become sorted integer tuples, and the tuples are grouped.
-The dictionary is written to the shared checkpoint folder, so an identifier stays what it is if an executor is lost.
+The dictionary is written to the shared checkpoint folder, so an identifier stays what it is if an executor is lost. Texts of more than
+``LONG`` characters are looked up by their SHA-256, so neither the broadcast of hot values nor a shuffle of records carries long texts.
 Values and groups that hold much of all rows are looked up in a bounded broadcast (``lookup_with_heavy``), the rest by
 a shuffle join, so no hot value or group meets one task.
 
@@ -23,6 +24,14 @@ from pyspark.sql import functions as F
 from tessera.session import cut, lookup_with_heavy
 
 
+LONG = 256
+
+
+def short(text: Column) -> Column:
+    """A text itself, or its digest if it is long; the two can't be mistaken for each other."""
+    return F.when(F.length(text) > LONG, F.concat(F.lit("\x00"), F.sha2(text, 256))).otherwise(text)
+
+
 def canonical_value(kind: Column, value: Column) -> Column:
     """Canonical text of a value; ``kind``: s(tring), n(umber), x (anything else)."""
     text = F.translate(F.replace(F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
@@ -33,7 +42,7 @@ def canonical_value(kind: Column, value: Column) -> Column:
 
 
 def record_fields(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key, field, kind, value``: one row per field of each record, and one with field null per record."""
+    """``key, field, kind, value``: one row per field of each record, and one of kind r per record."""
     one = df.select(F.col(key).alias("key"), F.try_parse_json(F.col(payload)).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
     fields = F.col("v").cast("map<string,variant>")
     entries = F.concat(
@@ -47,13 +56,15 @@ def record_fields(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def dictionary(entries: DataFrame) -> DataFrame:
-    """``field, kind, value, n, id``: the identifier of each distinct value; equal canonical values share it."""
-    values = entries.groupBy("field", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    canon = values.withColumn("canon", canonical_value(F.col("kind"), F.col("value"))).select("field", "kind", "value", "n", "canon").persist()
-    ids = cut(canon.select("field", "kind", "canon").distinct().withColumn("id", F.monotonically_increasing_id()))
-    coded = cut(canon.join(ids, ["field", "kind", "canon"]).select("field", "kind", "value", "n", "id"))
-    canon.unpersist()
-    return coded
+    """``field, kind, look, n, id``: the identifier of each distinct value, by its short form; equal canonical values share it."""
+    long = F.when(F.length("value") > LONG, F.col("value"))
+    values = entries.select("field", "kind", short(F.col("value")).alias("look"), long.alias("long")).groupBy("field", "kind", "look", "long").agg(F.count(F.lit(1)).alias("n"))
+    canon = short(canonical_value(F.col("kind"), F.coalesce("long", "look"))).alias("canon")
+    coded = values.select("field", "kind", "look", "n", canon).persist()
+    ids = cut(coded.select("field", "kind", "canon").distinct().withColumn("id", F.monotonically_increasing_id()))
+    out = cut(coded.join(ids, ["field", "kind", "canon"]).select("field", "kind", "look", "n", "id"))
+    coded.unpersist()
+    return out
 
 
 def encoded_records(df: DataFrame, key: str, payload: str) -> DataFrame:
@@ -61,7 +72,8 @@ def encoded_records(df: DataFrame, key: str, payload: str) -> DataFrame:
     entries = record_fields(df, key, payload)
     coded = dictionary(entries)
     total = coded.agg(F.sum("n")).first()[0] or 0
-    rows = lookup_with_heavy(entries, coded, ["field", "kind", "value"], ["id"], "n", total, F.xxhash64("key"))
+    looked = entries.select("key", "field", "kind", short(F.col("value")).alias("look"))
+    rows = lookup_with_heavy(looked, coded, ["field", "kind", "look"], ["id"], "n", total, F.xxhash64("key"))
     return rows.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("tuple"))
 
 
