@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 
-def segmenter(counts: Mapping[str, int], longest: int = 24) -> Callable[[str], list[str]]:
+def segmenter(counts: Mapping[str, int], longest: int | None = None, total: int | None = None) -> Callable[[str], list[str]]:
     """The cheapest split of letters into words: log N - log count for a known one, 11 + 2.2 a letter for an unknown one,
-    4 for the single letters a and i and 30 for any other."""
-    total = math.log(sum(counts.values()) or 1)
+    4 for the unknown single letters a and i and 30 for any other. Where ``counts`` holds only the words that can occur, ``longest`` and
+    ``total`` are the letters of the longest word and the sum of the counts of the whole vocabulary."""
+    log_total = math.log(total or sum(counts.values()) or 1)
+    longest = longest or max(map(len, counts), default=18)
 
     def cost(word: str) -> float:
+        if word in counts:
+            return log_total - math.log(counts[word])
         if len(word) == 1:
             return 4.0 if word in "ai" else 30.0
-        return total - math.log(counts[word]) if word in counts else 11.0 + 2.2 * len(word)
+        return 11.0 + 2.2 * len(word)
 
     def split(text: str) -> list[str]:
         best, back = [0.0], [0]
@@ -39,28 +43,44 @@ def segmenter(counts: Mapping[str, int], longest: int = 24) -> Callable[[str], l
     return split
 
 
-def demangle(df: DataFrame, key: str, name: str, vocabulary: DataFrame, most_words: int = 50_000) -> DataFrame:
-    """``key, text``: letters between other marks segmented and capitalised as in the input. ``vocabulary``: word, n; the
-    ``most_words`` most frequent words are the model (a bounded table), whatever the corpus."""
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(most_words)
-    shared = df.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in top.collect()})
-    kind = df.schema[key].dataType.simpleString()
+def _segmented(df: DataFrame, key: str, name: str, letters: Column, vocabulary: DataFrame, mend: Callable[[str, Callable], str]) -> DataFrame:
+    """``key, text``: ``mend(text, split)`` of each text. ``letters``: of the column ``text``, the text whose letter runs are to be split. Their distinct
+    substrings are joined with the whole vocabulary, so each text meets exactly the counts that a split of it can ask for."""
+    words = cut(vocabulary.select("word", "n"))
+    longest, total = words.agg(F.max(F.length("word")), F.sum("n")).first()
+    rows = df.select(F.col(key).alias("key"), F.col(name).alias("text"))
+    texts = cut(rows.select("text").filter("text is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+    runs = texts.select("id", F.explode(F.regexp_extract_all(letters, F.lit("([A-Za-z]+)"), 1)).alias("run")).select("id", F.lower("run").alias("run"))
+    starts = runs.select("id", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
+    parts = starts.select("id", "run", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest or 1), F.length("run") - F.col("at") + 1))).alias("size"))
+    parts = parts.select("id", F.substring("run", F.col("at"), F.col("size")).alias("word")).distinct()
+    counts = parts.join(words, "word").groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = segmenter(shared.value)
+        for batch in batches:
+            out = []
+            for text, known, n in zip(batch["text"], batch["words"], batch["counts"]):
+                out.append(mend(text, segmenter({} if known is None else dict(zip(known, map(int, n))), longest, total)))
+            yield pd.DataFrame({"text": batch["text"], "mended": out})
+
+    mended = texts.join(counts, "id", "left").select("text", "words", "counts").mapInPandas(run, "text string, mended string")
+    return rows.join(mended, "text", "left").select(F.col("key").alias(key), F.col("mended").alias("text"))
+
 
-        def mend(m: re.Match) -> str:
+def demangle(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
+    """``key, text``: letters between other marks segmented and capitalised as in the input. ``vocabulary``: word, n; all of it is the model."""
+
+    def mend(text: str, split: Callable[[str], list[str]]) -> str:
+        def run(m: re.Match) -> str:
             raw, at, out = m.group(), 0, []
             for word in split(raw.lower()):
                 out.append(raw[at : at + len(word)])
                 at += len(word)
             return " ".join(out)
 
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "text": [None if t is None else re.sub(r"[A-Za-z]+", mend, t) for t in batch["text"]]})
+        return re.sub(r"[A-Za-z]+", run, text)
 
-    out = df.select(F.col(key).alias("key"), F.col(name).alias("text")).mapInPandas(run, f"key {kind}, text string")
-    return out.withColumnRenamed("key", key)
+    return _segmented(df, key, name, F.col("text"), vocabulary, mend)
 
 
 def expand_nested(roots: DataFrame, root: str, edges: DataFrame, parent: str, child: str, deepest: int = 4) -> DataFrame:

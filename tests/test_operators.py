@@ -174,6 +174,23 @@ def test_segmenter_and_components(spark):
     assert rows(got) == sorted(((n, find(n)) for n in parent), key=repr)
 
 
+def test_segments_with_the_whole_vocabulary(spark):
+    def spelt(i):
+        return "".join(chr(97 + i // 26**p % 26) for p in range(4))
+
+    long = "pneumonoultramicroscopicsilico"
+    rare = [("zzyxo", 1), ("wqkvu", 1), (long, 3), ("t", 40)]
+    words = [("the", 1_000_000)] + [(f"{spelt(i)}q", 2) for i in range(50_000)] + rare
+    vocabulary = spark.createDataFrame(words, "word string, n long")
+    texts = [(1, "Thezzyxowqkvu"), (2, f"the{long}the, THEZZYXO"), (3, None), (4, "..."), (5, "Thezzyxowqkvu"), (6, "thet"), (7, "")]
+    got = rows(kernels.demangle(spark.createDataFrame(texts, "id int, name string"), "id", "name", vocabulary), "id", "text")
+    assert got == [(1, "The zzyxo wqkvu"), (2, f"the {long} the, THE ZZYXO"), (3, None), (4, "..."), (5, "The zzyxo wqkvu"), (6, "the t"), (7, "")]
+    split = kernels.segmenter(dict(words))
+    assert [" ".join(split(t)) for t in ("thezzyxowqkvu", f"the{long}the", "thet")] == ["the zzyxo wqkvu", f"the {long} the", "the t"]
+    none = spark.createDataFrame([], "word string, n long")
+    assert rows(kernels.demangle(spark.createDataFrame([(1, "Iron lamp")], "id int, name string"), "id", "name", none), "id", "text") == [(1, "Iron lamp")]
+
+
 def test_nested_packs_end_at_cycles(spark):
     e = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("r", "x"), ("x", "y")], "p string, c string")
     assert rows(kernels.expand_nested(spark.createDataFrame([("r",)], "root string"), "root", e, "p", "c"), "member") == [("b",), ("y",)]
