@@ -68,7 +68,7 @@ def _segmented(df: DataFrame, key: str, name: str, letters: Column, vocabulary:
 
 
 def demangle(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
-    """``key, text``: letters between other marks segmented and capitalised as in the input. ``vocabulary``: word, n; all of it is the model."""
+    """``key, text``: letters between other marks segmented and capitalised as in the input. ``vocabulary``: word, n; all of it is the model."""
 
     def mend(text: str, split: Callable[[str], list[str]]) -> str:
         def run(m: re.Match) -> str:
@@ -83,6 +83,45 @@ def demangle(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataF
     return _segmented(df, key, name, F.col("text"), vocabulary, mend)
 
 
+#: Where a name is split, and the words that stay small in it.
+SEPARATOR = re.compile(r"([,/()\[\]]|\s*[-–]\s*)")
+PARTICLES = {"of", "the", "and", "or", "a", "per", "with", "for", "to", "in"}
+
+
+def demangled(name: str, split: Callable[[str], list[str]]) -> str:
+    """A name split at punctuation; the letters A to Z that start a piece, without their blanks, segmented and recased: particles small, acronyms
+    kept, else a capital first; the rest of a piece follows them. Glued with single blanks, none before , ) ] or after ( [."""
+
+    def recased(word: str) -> str:
+        if len(word) > 1 and word.isupper():
+            return word
+        return word.lower() if word.lower() in PARTICLES else word[:1].upper() + word[1:].lower()
+
+    def respaced(letters: str) -> str:
+        at, out = 0, []
+        for word in split(letters.lower()):
+            out.append(recased(letters[at : at + len(word)]))
+            at += len(word)
+        return " ".join([out[0][:1].upper() + out[0][1:], *out[1:]])
+
+    text, glued = "", True
+    for i, piece in enumerate(SEPARATOR.split(name)):
+        piece = piece.strip()
+        if not piece:
+            continue
+        if not i % 2 and (m := re.match(r"([A-Za-z][A-Za-z ]*)(.*)$", piece)):
+            tail = m.group(2).strip()
+            piece = respaced(m.group(1).replace(" ", "")) + (f" {tail}" if tail else "")
+        text += piece if glued or piece in (",", ")", "]") else f" {piece}"
+        glued = piece in ("(", "[")
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def demangle_names(df: DataFrame, key: str, name: str, vocabulary: DataFrame) -> DataFrame:
+    """``key, text``: names whose blanks and capitals are wrong, mended. ``vocabulary``: word, n; all of it is the model."""
+    return _segmented(df, key, name, F.replace("text", F.lit(" "), F.lit("")), vocabulary, demangled)
+
+
 def expand_nested(roots: DataFrame, root: str, edges: DataFrame, parent: str, child: str, deepest: int = 4) -> DataFrame:
     """``root, member, depth``: what is contained in each root over up to ``deepest`` levels; members that contain nothing, or lie at
     the last level, are reported. A path never visits a node twice, so cycles end."""

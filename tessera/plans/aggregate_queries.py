@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import predicates, text
 from tessera.operators import aggregates, ranking
-from tessera.operators.kernels import demangle
+from tessera.operators.kernels import demangle, demangle_names
 from tessera.plans.registry import registry
 from tessera.session import table
 
@@ -212,7 +212,17 @@ def natural_order(spark, sf_dir):
 
 @query()
 def word_segment(spark, sf_dir):
-    """Benchmark texts without their blanks segmented again with the corpus vocabulary; tested on held-out accuracy."""
+    """Benchmark texts without their blanks segmented again with the corpus vocabulary; tested on held-out accuracy."""
     vocabulary = aggregates.word_counts(table(spark, sf_dir, "documents"), "text")
     squeezed = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("")).alias("text"))
     return demangle(squeezed, "item_id", "text", vocabulary)
+
+
+@query()
+def demangled_names(spark, sf_dir):
+    """Names that look mangled (P9) mended with the words of names, descriptions and documents, all others as they are. Tested on the reference's cases."""
+    i = table(spark, sf_dir, "item").filter("name is not null").select("row_id", "name", F.col("system.description").alias("text"))
+    texts = i.select(F.col("name").alias("text")).unionByName(i.select("text")).unionByName(table(spark, sf_dir, "documents").select("text"))
+    mangled = predicates.mangled_name(F.col("name"), ("of", "the", "and", "or", "a", "x", "de", "la", "von", "van", "el"))
+    mended = demangle_names(i.filter(mangled), "row_id", "name", aggregates.word_counts(texts, "text"))
+    return mended.unionByName(i.filter(~mangled).select("row_id", F.col("name").alias("text")))

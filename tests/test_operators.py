@@ -191,6 +191,30 @@ def test_segments_with_the_whole_vocabulary(spark):
     assert rows(kernels.demangle(spark.createDataFrame([(1, "Iron lamp")], "id int, name string"), "id", "name", none), "id", "text") == [(1, "Iron lamp")]
 
 
+def test_mangled_names_are_mended(spark):
+    said = """prosthetic cyberlimb crude generic custom clean metabolism adapsin therapy radiation tolerance neurochemical regulator high altitude adaptation
+    matrix defense suite aluminum titanium exoframe exhalation spray strength increase enhanced movement good times chill btl toxin resistance specific"""
+    cases = {
+        "Cleanm etabolism": "Clean Metabolism", "AdapsinTh erapy": "Adapsin Therapy", "RadiationTo lerance": "Radiation Tolerance", "EnhancedMo vement": "Enhanced Movement",
+        "ProstheticCy berlimb,Cr ude": "Prosthetic Cyberlimb, Crude", "ToxinRe sistance(s pecific)": "Toxin Resistance (Specific)", "ChillB TL": "Chill BTL",
+        "StrengthIn crease": "Strength Increase", "Matrix Defense Suite": "Matrix Defense Suite", "MatrixDe fense - Su ite 2/Cr ude [cl ean]": "Matrix Defense - Suite 2 / Crude [Clean]",
+        "4x Cl ean": "4x Cl ean", "": "", " - ": "-",
+    }
+    vocabulary = spark.createDataFrame([(w, 3) for w in said.split()], "word string, n long")
+    names = spark.createDataFrame([*cases.items(), (None, None)], "raw string, wanted string").withColumn("id", F.col("wanted"))
+    assert [r for r in rows(kernels.demangle_names(names, "id", "raw", vocabulary)) if r[0] != r[1]] == []
+
+
+def test_held_out_texts_are_segmented(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(400)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.01)), 399)] for _ in range(12)) for _ in range(300)]
+    known = spark.createDataFrame([(t,) for t in texts[:250]], "text string")
+    held = spark.createDataFrame([(i, t.replace(" ", "")) for i, t in enumerate(texts[250:])], "id int, text string")
+    got = dict(rows(kernels.demangle(held, "id", "text", aggregates.word_counts(known, "text"))))
+    assert sum(got[i] == t for i, t in enumerate(texts[250:])) >= 45
+
+
 def test_nested_packs_end_at_cycles(spark):
     e = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("r", "x"), ("x", "y")], "p string, c string")
     assert rows(kernels.expand_nested(spark.createDataFrame([("r",)], "root string"), "root", e, "p", "c"), "member") == [("b",), ("y",)]
