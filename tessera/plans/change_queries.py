@@ -93,6 +93,17 @@ def idempotent_reload(spark, sf_dir):
     return changes.reload(once, fresh, ["o_orderpriority"]).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query("""
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1999-01-01')
+UNION ALL SELECT o_orderkey, 'X', o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1999-01-01'""")
+def reloaded_priorities(spark, sf_dir):
+    """Two priorities replaced by a delivery of all their orders from 1999 on, loaded twice; the other priorities stay."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate")
+    fresh = o.filter("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderdate >= timestamp '1999-01-01'").withColumn("o_orderstatus", F.lit("X"))
+    once = changes.reload(o, fresh, ["o_orderpriority"])
+    return changes.reload(once, fresh, ["o_orderpriority"]).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("""
 SELECT row_id, name, false AS added FROM item UNION ALL SELECT DISTINCT row_id, name, true FROM item_copy c WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.row_id = c.row_id)""")
 def seeded_rows(spark, sf_dir):

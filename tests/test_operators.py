@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, changes, joins, kernels, quality, ranking, sequence
+from tessera.plans import catalogue
 
 
 def rows(df, *columns):
@@ -215,6 +216,14 @@ def test_held_out_texts_are_segmented(spark):
     assert sum(got[i] == t for i, t in enumerate(texts[250:])) >= 45
 
 
+def test_reload_keeps_and_replaces_partitions(spark, tmp_path):
+    data = [(1, "O", 5.0, "1-URGENT", "2000-01-01"), (2, "O", 6.0, "1-URGENT", "1994-01-01"), (3, "F", 7.0, "5-LOW", "2000-01-01"), (4, "F", 8.0, "2-HIGH", "1993-01-01"), (5, "P", 9.0, None, "2000-01-01")]
+    orders = spark.createDataFrame(data, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = rows(catalogue.QUERIES["reloaded_priorities"](spark, str(tmp_path)))
+    assert got == [(1, "X", 5.0), (3, "F", 7.0), (4, "F", 8.0), (5, "P", 9.0)]
+
+
 def test_nested_packs_end_at_cycles(spark):
     e = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("r", "x"), ("x", "y")], "p string, c string")
     assert rows(kernels.expand_nested(spark.createDataFrame([("r",)], "root string"), "root", e, "p", "c"), "member") == [("b",), ("y",)]
