@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -208,15 +209,17 @@ class Repairer:
         """The kinds of traces found, and the text without them."""
         traces: set[str] = set()
         paragraphs: list[str] = []
-        for block in BLANK_LINES.split(LINE_END.sub("\n", text)):
-            lines = [x for x in block.split("\n") if x.strip()]
-            labels = viterbi(self.models[field], line_features(lines)) if len(lines) > 1 else [BODY] * len(lines)
-            if HEADER in labels:
-                traces.add("header")
-            if BREAK in labels:
-                traces.add("page number")
+        blocks = [[x for x in block.split("\n") if x.strip()] for block in BLANK_LINES.split(LINE_END.sub("\n", text))]
+        lines = [x for block in blocks for x in block]
+        labels = viterbi(self.models[field], line_features(lines)) if len(lines) > 1 else [BODY] * len(lines)
+        if HEADER in labels:
+            traces.add("header")
+        if BREAK in labels:
+            traces.add("page number")
+        labelled = iter(zip(lines, labels))
+        for block in blocks:
             parts: list[str] = []
-            for line, label in zip(lines, labels):
+            for line, label in islice(labelled, len(block)):
                 if label != BODY:
                     continue
                 if not parts or ITEM.match(line):

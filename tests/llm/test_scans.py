@@ -48,6 +48,16 @@ def test_traces_are_found_and_repaired(spark):
     assert got[n + 4, "name"][1] == got[n + 5, "name"][1] == got[n + 6, "name"][1] == "Big Lantern"
 
 
+def test_lines_set_off_by_blank_lines_are_labelled(spark):
+    rng = random.Random(7)
+    first, second = clean(rng), clean(rng)
+    one, two = "\n".join(wrap(first)), "\n".join(wrap(second))
+    base = [(f"Lamp {i}", clean(rng)) for i in range(400)] + [("Lamp", f"{one}\n\n{two}")]
+    got = run(spark, [*base, ("Lamp", f"{one}\n\n- 128 -\n\n{two}"), ("Lamp", f"{one}\n \nSTREET GEAR | TOOLS\n\n{two}")])
+    whole = f"{first}\n\n{second}"
+    assert got == {(401, "description"): (["page number"], whole), (402, "description"): (["header"], whole)}
+
+
 def test_nothing_to_find(spark):
     assert run(spark, [(None, None), ("", ""), (" ", "\n \n"), ("R-7", "ok")]) == {}
     assert run(spark, []) == {}
