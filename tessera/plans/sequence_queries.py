@@ -136,5 +136,15 @@ def triangular_cost(spark, sf_dir):
 SELECT doc_id, left(regexp_replace(CASE WHEN regexp_matches(t, '^[a-z]') THEN regexp_replace(t, '^[^.!?]*[.!?]\s*', '') ELSE t END, '([.!?])[^.!?]*$', '\1'), 3500) AS block FROM (SELECT doc_id,
   trim(regexp_replace(replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)""")
 def clean_blocks(spark, sf_dir):
-    """running text from the first sentence start to the last sentence end."""
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.clean_block(F.split("text", "\n")).alias("block"))
+    """running text from the first sentence start to the last sentence end, cut at 3,500 letters as its SQL is."""
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.substring(text.clean_block(F.split("text", "\n"), None), 1, 3500).alias("block"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '^[a-z]') THEN regexp_replace(t, '^[^.!?]*[.!?]\s*', '') ELSE t END AS t FROM d), h AS (SELECT doc_id, t, regexp_extract(left(t, 3500), '(?s)^(.+\.) ', 1) AS h FROM s)
+SELECT doc_id, regexp_replace(t, '([.!?])[^.!?]*$', '\1') AS whole, regexp_replace(CASE WHEN length(t) > 3500 AND h <> '' THEN h ELSE t END, '([.!?])[^.!?]*$', '\1') AS block FROM h""")
+def whole_clean_blocks(spark, sf_dir):
+    """clean running text without a bound, and ended at the last sentence end within 3,500 letters."""
+    lines = F.split("text", "\n")
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.clean_block(lines, None).alias("whole"), text.clean_block(lines).alias("block"))

@@ -57,6 +57,13 @@ def test_arrays(spark):
     assert one(spark, text.clean_block(V()), ["tail. The lamp", "shines. It al"], "array<string>") == "The lamp shines."
 
 
+def test_clean_block_ends_at_a_sentence(spark):
+    long = "The lamp shines. " * 300
+    assert one(spark, text.clean_block(V()), [long], "array<string>") == ("The lamp shines. " * 205).strip()
+    assert one(spark, text.clean_block(V(), None), [long], "array<string>") == long.strip()
+    assert one(spark, text.clean_block(V()), ["lamp " * 900 + "end"], "array<string>") == "lamp " * 900 + "end"
+
+
 def test_ids(spark):
     import hashlib
 
