@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.encoding import restore_encoding
 from tessera.llm.entities import match_entities
 from tessera.llm.formatting import same_but_for_format
-from tessera.llm.leaks import leaks
+from tessera.llm.leaks import leaks, shared_runs
 from tessera.llm.representative import survivors
 from tessera.llm.scans import repair_scans
 from tessera.llm.spam import spam_pages
@@ -121,13 +121,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 9 with the length of the shared run, as far as seen around one sketch."""
+    """Problem 9 with the longest shared run and the number of the item's shingles in shared runs."""
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 9: documents and the test items leaked in them."""
-    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return shared_runs(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select("doc_id", "item_id").distinct()
 
 
 P9_SQL = r"""
@@ -137,6 +137,17 @@ g AS (SELECT DISTINCT side, id, array_to_string(ws[k:k + 11], ' ') AS run FROM (
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.run = i.run AND d.side = 'd' AND i.side = 'i'
 """
 
+P9_LEAKS_SQL = r"""
+WITH w AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+g AS (SELECT side, id, k, array_to_string(ws[k:k + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(ws) - 10)) AS k FROM w)),
+m AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.k AS dk, i.k AS ik FROM g d JOIN g i ON d.run = i.run AND d.side = 'd' AND i.side = 'i'),
+r AS (SELECT *, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS island FROM m),
+l AS (SELECT doc_id, item_id, max(n) AS run_words FROM (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, dk - ik, island) GROUP BY doc_id, item_id),
+s AS (SELECT doc_id, item_id, count(DISTINCT ik + o) AS shared_shingles FROM (SELECT *, unnest(range(0, 8)) AS o FROM m) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, run_words, shared_shingles FROM l JOIN s USING (doc_id, item_id)
+"""
+
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 10: spam documents with their robust distance."""
@@ -169,4 +180,5 @@ SQL: dict[str, str] = {
     "p2_collapsed": P2_SQL + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
     "p5_found": P5_SQL,
     "p9_found": P9_SQL,
+    "p9_leaks": P9_LEAKS_SQL,
 }

@@ -1,7 +1,9 @@
 import random
 import re
 
-from tessera.llm.leaks import leaks
+import numpy as np
+
+from tessera.llm.leaks import leaks, shared_runs, window_sketches
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -46,3 +48,33 @@ def test_edges(spark):
     items = [(1, item), (2, item + " extra"), (3, None), (4, ""), (5, repeated), (6, "short")]
     assert found(spark, docs, items) == brute(docs, items) == [(1, 1), (1, 2), (6, 1), (6, 2), (7, 5)]
     assert found(spark, [], items) == [] and found(spark, docs, []) == []
+
+
+def test_whole_runs_and_containment(spark):
+    item = [f"w{i}" for i in range(60)]
+    part = " ".join(item[5:45])
+    docs = [(1, f"a b {part} c d " + " ".join(item[30:50])), (2, " ".join(item[:11])), (3, "z " * 3000 + part + " z" * 3000)]
+    d = spark.createDataFrame([(i, t) for i, t in docs], "doc bigint, text string")
+    i = spark.createDataFrame([(9, " ".join(item))], "item bigint, text string")
+    rows = shared_runs(d, "doc", "text", i, "item", "text").collect()
+    assert sorted((r["doc"], r["doc_word"], r["item_word"], r["run_words"]) for r in rows) == [(1, 2, 5, 40), (1, 44, 30, 20), (3, 3000, 5, 40)]
+    got = {r["doc"]: (r["run_words"], r["shared_shingles"]) for r in leaks(d, "doc", "text", i, "item", "text").collect()}
+    assert got == {1: (40, 41), 3: (40, 36)}  # shingles at 5-40 and 30-45
+
+
+def test_boilerplate_is_split(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    monkeypatch.setattr("tessera.llm.leaks.SALTS", 4)
+    docs = [(i, f"x{i} {item} y{i}") for i in range(3000)] + [(5000, "nothing of it")]
+    assert found(spark, docs, [(1, item), (2, item + " more")]) == [(i, k) for i in range(3000) for k in (1, 2)]
+
+
+def test_every_window_has_its_minhash():
+    rng = random.Random(4)
+    words = np.array([f"w{rng.randint(0, 9)}" for _ in range(300)], dtype=object)
+    text = np.repeat([0, 1, 2], [100, 11, 189])
+    places = set(window_sketches(words, text)[0].tolist())
+    for start in range(300 - 11):
+        if text[start] == text[start + 11]:
+            assert any(p in places for p in range(start, start + 8))
+    assert all(text[p] == text[p + 4] for p in places) and not any(100 <= p < 111 for p in places)
