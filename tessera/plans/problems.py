@@ -45,6 +45,12 @@ def p6_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("tree_id", "node_no", F.explode("attrs").alias("attr", "value"))
 
 
+def p6_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: the fields of nodes that are neither tag, text, attrs nor children."""
+    flat = flat_tables(table(spark, sf_dir, "deep_tree"), "tree_id", "tree")
+    return flat.select("tree_id", "node_no", F.explode("others").alias("field", "value"))
+
+
 P1_SQL = """
 WITH a AS (SELECT DISTINCT 'item' AS dataset, row_id AS row_key, CAST(system.price AS VARCHAR) AS f1, CAST(system.avail AS VARCHAR) AS f2,
     nullif(meta.qa_status, '') AS f3, CASE WHEN len(meta.conflicts) > 0 THEN CAST(list_sort(meta.conflicts) AS VARCHAR) END AS f4 FROM item
@@ -96,6 +102,12 @@ P6_ATTRIBUTES_SQL = _TREES + """
 SELECT tree_id, node_no, attr, json_extract_string(node, '$.attrs."' || attr || '"') AS value
 FROM (SELECT tree_id, node_no, node, unnest(list_distinct(json_keys(node, '$.attrs'))) AS attr FROM l WHERE json_type(node, '$.attrs') = 'OBJECT')
 """
+P6_OTHERS_SQL = _TREES + """
+SELECT tree_id, node_no, field, json_extract_string(node, '$."' || field || '"') AS value
+FROM (SELECT tree_id, node_no, node, unnest(list_distinct(json_keys(node))) AS field FROM l) WHERE field NOT IN ('tag', 'text', 'attrs', 'children')
+UNION ALL SELECT tree_id, node_no, 'attrs', json_extract_string(node, '$.attrs') FROM l WHERE list_contains(json_keys(node), 'attrs') AND json_type(node, '$.attrs') <> 'OBJECT'
+UNION ALL SELECT tree_id, node_no, 'children', NULL FROM l WHERE list_contains(json_keys(node), 'children') AND json_type(node, '$.children') = 'NULL'
+"""
 P6_NODES_SQL = _TREES + "SELECT tree_id, node_no, parent_no, tag, node->>'$.text' AS text FROM l"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_nodes": p6_nodes,
     "p6_attributes": p6_attributes,
+    "p6_others": p6_others,
 }
-SQL = {"p1_found": P1_SQL, "p1_values": P1_VALUES_SQL, "p6_found": P6_SQL, "p6_nodes": P6_NODES_SQL, "p6_attributes": P6_ATTRIBUTES_SQL}
+SQL = {"p1_found": P1_SQL, "p1_values": P1_VALUES_SQL, "p6_found": P6_SQL, "p6_nodes": P6_NODES_SQL, "p6_attributes": P6_ATTRIBUTES_SQL, "p6_others": P6_OTHERS_SQL}

@@ -4,7 +4,7 @@ import sys
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.operators.nested import events, node_attribute_rows, record_triples, triples
+from tessera.operators.nested import flat_tables, nested_triples, node_attribute_rows, pivoted, record_triples, triples
 
 
 def walk(root):
@@ -57,11 +57,8 @@ def test_validity_is_that_of_json(text):
         valid = True
     except ValueError:
         valid = False
-    try:
-        list(events(text))
-        assert valid
-    except ValueError:
-        assert not valid
+    assert (nested_triples('{"a": ' + text + "}") is not None) == valid
+    assert (nested_triples('{"a": [' + text + "]}") is not None) == (valid or not text.strip(" \n"))
 
 
 def test_very_deep_and_cut_off():
@@ -80,3 +77,28 @@ def test_rows(spark):
     values = {r["path"]: r["value"] for r in record_triples(df.filter("id = 1"), "id", "tree").collect() if r["node_no"] == 1}
     assert values["attrs.attrs.y"] == '{"z": [1]}'
     assert node_attribute_rows(df.limit(0), "id", "tree").count() == 0
+
+
+def test_tables_of_any_shape(spark):
+    """Objects in arrays are rows of a table named by the path; all else is a path within its row."""
+    text = """{"id": 7, "meta": {"a": {"b": 1}, "tags": ["x", null, [2, {"y": 3}]]},
+      "orders": [{"no": 1, "lines": [{"sku": "p", "note": null}, {"sku": "q", "size": {"w": 2}}]}, {"no": 2, "lines": {"sku": "alone"}}, 5]}"""
+    df = spark.createDataFrame([(1, text), (2, '{"orders": []}'), (3, '{"orders": [{"no": 3}]'), (4, '{"a" : {}, "b": [ ]} ')], "id bigint, t string")
+    t = record_triples(df, "id", "t", (), ())
+    root = {r["id"]: r for r in pivoted(t, "id", "", {"no": "id"}, {"meta": "meta."}).collect()}
+    assert set(root) == {1, 2, 4} and root[1]["no"] == "7" and root[1]["meta"]["a.b"] == "1" and root[1]["others"] == {"orders[]": "5"}
+    assert [r["value"] for r in t.filter("path = 'meta.tags[]'").orderBy("ordinal").collect()] == ["x", None, '[2, {"y": 3}]']
+    orders = [(r["id"], r["node_no"], r["parent_no"], r["no"], r["others"]) for r in pivoted(t, "id", "/orders", {"no": "no"}, {}).orderBy("node_no").collect()]
+    assert orders == [(1, 0, 0, "1", {}), (1, 1, 0, "2", {"lines.sku": "alone"})]
+    lines = [(r["parent_no"], r["node_no"], r["sku"], r["others"]) for r in pivoted(t, "id", "/orders/lines", {"sku": "sku"}, {}).orderBy("node_no").collect()]
+    assert lines == [(0, 0, "p", {"note": None}), (0, 1, "q", {"size.w": "2"})]
+    trees = record_triples(df, "id", "t", ("orders",), ())
+    assert pivoted(trees, "id", "", {"no": "no"}, {}).filter("id = 1").count() == 3
+
+
+def test_no_field_is_lost(spark):
+    text = '{"tag": "a", "line": 3, "more": {"x": true}, "list": [{"k": 1}], "children": [{"tag": "b", "attrs": [1]}]}'
+    df = spark.createDataFrame([(1, text)], "id bigint, tree string")
+    got = {r["node_no"]: r["others"] for r in flat_tables(df, "id", "tree").collect()}
+    assert got == {0: {"line": "3", "more.x": "true"}, 1: {"attrs": "[1]"}}
+    assert pivoted(record_triples(df, "id", "tree"), "id", "/list", {"k": "k"}, {}).first()["k"] == "1"
