@@ -84,22 +84,28 @@ def inverse_candidates(run: str, tables: dict[str, dict[str, int]], rounds: int
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
-    """All maximal scoring segments [start, end), from left to right."""
-    parts: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments [start, end), from left to right.
+
+    Each segment links to the last one before it whose left sum is smaller, so a search passes no segment twice and time is linear.
+    """
+    parts: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
     total = 0.0
     for i, s in enumerate(scores):
-        before, total = total, total + s
+        start, before = i, total
+        total += s
         if s <= 0:
             continue
-        part = (i, i + 1, before, total)
+        j = len(parts) - 1
         while True:
-            j = next((k for k in range(len(parts) - 1, -1, -1) if parts[k][2] < part[2]), None)
-            if j is None or parts[j][3] >= part[3]:
-                parts.append(part)
+            while j >= 0 and parts[j][2] >= before:
+                j = parts[j][4]
+            if j < 0 or parts[j][3] >= total:
+                parts.append((start, i + 1, before, total, j))
                 break
-            part = (parts[j][0], part[1], parts[j][2], part[3])
+            start, _, before, _, following = parts[j]
             del parts[j:]
-    return [(a, b) for a, b, _, _ in parts]
+            j = following
+    return [p[:2] for p in parts]
 
 
 class PairModel:

@@ -1,5 +1,7 @@
 import random
+import time
 
+from tessera.llm import encoding
 from tessera.llm.encoding import maximal_segments, restore_encoding
 
 NAMES = ["Fjällhöhle", "Señora Cruz", "Über Grund", "NÃO Sistemas", "Ångström & Co", "O’Brien Lamp", "Vael–Torsk", "Plain Lantern", "Iron Door"]
@@ -59,3 +61,27 @@ def test_segments_are_those_of_brute_force():
     for _ in range(200):
         scores = [rng.choice([-3, -2, -1, 1, 2, 4]) + rng.random() / 100 for _ in range(rng.randint(0, 12))]
         assert maximal_segments(scores) == brute(scores)
+
+
+def test_segments_decide(spark, monkeypatch):
+    """A right text whose pairs are frequent is left alone though an inverse mapping scores better; without segments it would be changed."""
+    rng = random.Random(1)
+    odd = "S" + garble("é", "utf-8", "cp1252")
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    texts = [f"{rng.choice([odd, 'Sé Grand', 'Café', 'Thé'])} {word()} {word()}" for _ in range(3000)]
+    assert run(spark, [*texts, "Café Lamp".encode().decode("cp1252")]) == {3000: ("Café Lamp", True)}
+    monkeypatch.setattr(encoding, "maximal_segments", lambda scores: [(0, len(scores))])
+    assert run(spark, texts)[next(i for i, t in enumerate(texts) if odd in t)][0].startswith("Sé ")
+
+
+def test_segments_take_linear_time():
+    def seconds(n):
+        rng = random.Random(5)
+        scores = [rng.choice([-1.0, 0.9]) for _ in range(n)]
+        began = time.perf_counter()
+        maximal_segments(scores)
+        maximal_segments([-1.0, 0.5] * (n // 2))
+        return time.perf_counter() - began
+
+    seconds(20_000)
+    assert seconds(1_000_000) < 150 * max(0.004, seconds(20_000))
