@@ -10,8 +10,8 @@ a shuffle join, so no hot value or group meets one task.
 Defined results
 - Texts compare without case, whitespace, punctuation and symbols: only letters and digits (Unicode L and N) count;
   ß equals ss.
-- Numbers compare by value (2, 2.0 and 2e0 are equal), a text never equals a number; true, false and null equal
-  themselves; a nested array or object compares as its text. A field with null differs from an absent field.
+- Numbers compare by value (2, 2.0 and 2e0 are equal, so are 1e20 and its integer) as exact decimals of any size; those with an exponent or more
+  than 38 digits are first read as doubles. A text never equals a number; true, false and null equal themselves; a nested array or object compares as its text. A field with null differs from an absent field.
 - A null payload, or one that is no JSON object (or repeats a key), belongs to no group. ``{}`` equals ``{}``.
 - Rows repeated with the same key and payload count once. An empty table gives no rows. Other columns are not read.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut, lookup_with_heavy
+from tessera.session import lookup_with_heavy, stored
 
 
 LONG = 256
@@ -35,10 +35,17 @@ def short(text: Column) -> Column:
 def canonical_value(kind: Column, value: Column) -> Column:
     """Canonical text of a value; ``kind``: s(tring), n(umber), x (anything else)."""
     text = F.translate(F.replace(F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
-    number = value.try_cast("double")
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("decimal(20,0)").cast("string"))
-    exact = F.when(value.rlike(r"^-?\d+$"), F.regexp_replace(value, r"^(-?)0+(?=\d)|^-(?=0$)", "$1"))
-    return F.when(kind == "s", text).when(kind == "n", F.coalesce(F.when(F.abs(number) >= 1e15, exact), whole, number.cast("string"))).otherwise(value)
+    return F.when(kind == "s", text).when(kind == "n", canonical_number(value)).otherwise(value)
+
+
+def canonical_number(value: Column) -> Column:
+    """Sign, digits without zeros at either end, and the exponent of the last one; of a number in JSON's form."""
+    fraction = F.regexp_extract(value, r"\.(\d+)", 1)
+    exponent = F.coalesce(F.regexp_extract(value, r"[eE]\+?(-?\d+)$", 1).try_cast("bigint"), F.lit(0))
+    digits = F.ltrim(F.concat(F.regexp_extract(value, r"^-?(\d+)", 1), fraction), F.lit("0"))
+    shown = F.rtrim(digits, F.lit("0"))
+    last = exponent - F.length(fraction) + F.length(digits) - F.length(shown)
+    return F.when(shown == "", F.lit("0")).otherwise(F.concat(F.when(value.startswith("-"), F.lit("-")).otherwise(F.lit("")), shown, F.lit("e"), last.cast("string")))
 
 
 def record_fields(df: DataFrame, key: str, payload: str) -> DataFrame:
@@ -60,16 +67,14 @@ def dictionary(entries: DataFrame) -> DataFrame:
     long = F.when(F.length("value") > LONG, F.col("value"))
     values = entries.select("field", "kind", short(F.col("value")).alias("look"), long.alias("long")).groupBy("field", "kind", "look", "long").agg(F.count(F.lit(1)).alias("n"))
     canon = short(canonical_value(F.col("kind"), F.coalesce("long", "look"))).alias("canon")
-    coded = values.select("field", "kind", "look", "n", canon).persist()
-    ids = cut(coded.select("field", "kind", "canon").distinct().withColumn("id", F.monotonically_increasing_id()))
-    out = cut(coded.join(ids, ["field", "kind", "canon"]).select("field", "kind", "look", "n", "id"))
-    coded.unpersist()
-    return out
+    coded = stored(values.select("field", "kind", "look", "n", canon))
+    ids = stored(coded.select("field", "kind", "canon").distinct().withColumn("id", F.monotonically_increasing_id()))
+    return stored(coded.join(ids, ["field", "kind", "canon"]).select("field", "kind", "look", "n", "id"))
 
 
 def encoded_records(df: DataFrame, key: str, payload: str) -> DataFrame:
     """``key, tuple``: each record as the sorted identifiers of its fields."""
-    entries = record_fields(df, key, payload)
+    entries = stored(record_fields(df, key, payload))  # parsed once, read for the dictionary and for the look-up
     coded = dictionary(entries)
     total = coded.agg(F.sum("n")).first()[0] or 0
     looked = entries.select("key", "field", "kind", short(F.col("value")).alias("look"))
@@ -83,7 +88,7 @@ def same_but_for_format(df: DataFrame, key: str, payload: str, alone: bool = Fal
     ``alone``: also records that have no equal.
     """
     unique = df.select(key, payload).dropDuplicates([key, payload])
-    records = encoded_records(unique, key, payload).persist()
+    records = stored(encoded_records(unique, key, payload))
     groups = records.groupBy("tuple").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
     if not alone:
         groups = groups.filter("copies > 1")

@@ -57,3 +57,10 @@ def test_empty(spark):
     assert found(spark, []) == []
     groups, _ = same_but_for_format(spark.createDataFrame([(1, '{"a": 1}', "", 0, "")], SCHEMA), "id", "payload", alone=True)
     assert [(r["first"], r["copies"]) for r in groups.collect()] == [(1, 1)]
+
+
+def test_numbers_of_any_size(spark):
+    equal = ["1e15", "1000000000000000", "1000000000000000.0", "1.0E15", "100e13"], ["1e20", "100000000000000000000"], ["0", "-0", "0.0", "0e5", "-0.00"], ["0.1", "1e-1", "0.10"], ["-2.50", "-25e-1"]
+    other = ["999999999999999", "1000000000000001", "99999999999999999999", "0.01", "2.5", "123456789012345678901", "123456789012345678902", "0.1000000000000000001", "1e19"]
+    rows = [(100 * g + i, '{"n": %s}' % n) for g, numbers in enumerate(equal) for i, n in enumerate(numbers)] + [(1000 + i, '{"n": %s}' % n) for i, n in enumerate(other)]
+    assert found(spark, rows) == [(100 * g, 100 * g + i) for g, numbers in enumerate(equal) for i in range(len(numbers))]
