@@ -99,12 +99,12 @@ def sketch_rows(df: DataFrame, key: str, text: str, bitmap=None) -> DataFrame:
                 owner = doc[places]
                 left = np.maximum(starts[owner], places - reach)
                 right = np.minimum(starts[owner] + size[owner], places + RUN)
-                around = pd.Series([" ".join(words[a:b]) for a, b in zip(left, right)], dtype=object)
+                around = pd.Series([words[a:b] for a, b in zip(left, right)], dtype=object)
                 keys = rows["key"].to_numpy()[owner]
                 yield pd.DataFrame(dict(zip(names, (keys, hashes, places - starts[owner], places - left, around))))
 
     words = df.select(F.col(key).alias("key"), normal_words(text).alias("words")).filter("words <> '' and key is not null")
-    return words.mapInPandas(run, f"key {kind}, hash bigint, at bigint, place int, around string")
+    return words.mapInPandas(run, f"key {kind}, hash bigint, at bigint, place int, around array<string>")
 
 
 def shared_runs(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
@@ -126,7 +126,7 @@ def shared_runs(documents: DataFrame, doc_key: str, doc_text: str, items: DataFr
     d = found.join(hot, "hash", "left").withColumn("salt", salt).drop("hot").alias("d")
     i = item_rows.join(hot, "hash", "left").withColumn("salt", F.explode(salts)).drop("hot").alias("i")
     pairs = d.join(i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.salt") == F.col("i.salt")))
-    dw, iw = F.split("d.around", " "), F.split("i.around", " ")
+    dw, iw = F.col("d.around"), F.col("i.around")
     dp, ip = F.col("d.place"), F.col("i.place")
     same = F.transform(F.sequence(F.lit(-(RUN - SHINGLE)), F.lit(RUN - 1)), lambda o: F.when((dp + o >= 0) & (ip + o >= 0) & (F.get(dw, dp + o) == F.get(iw, ip + o)), F.lit("1")).otherwise(F.lit("0")))
     # The verified stretch holds the shingle itself, so it starts behind the last unequal word before it.
