@@ -5,10 +5,13 @@ case, marks and place in a sentence, taken as independent given the label. Start
 expectation maximisation over all texts with line breaks fits the model to the corpus. The labels are decoded by
 Viterbi, headers and page numbers are taken out, and body lines are joined into paragraphs; a hyphen at a line's end is
 dropped unless the corpus knows the hyphenated compound and not the joined word. Words are compared with the
-corpus vocabulary: a word is misread if undoing known confusions gives a word at least ``RATIO`` times as frequent.
+corpus vocabulary: a word is misread if undoing known confusions gives a word at least ``RATIO`` times as frequent. Names are compared with the
+words of names and descriptions, descriptions with those of descriptions.
 
-Both the vocabulary and the expected counts are gathered over all rows in one pass (locally per task, then added up). What
-is sent to the workers is bounded: words that make up at least 1 / ``VOCABULARY`` of all words, so at most that many.
+The vocabulary and the expected counts are gathered over all rows in one pass (locally per task, then added up). Words that confusions can turn into each other
+share a key (``confusion_key``), so misread words meet what they may mean in a join over the distinct words of the corpus, with no bound on
+length, variants or frequency. The answers (misread words and known compounds) are broadcast if they are at most ``MOST``; if they are more, each
+text gets the answers to its own questions by joins. The result is the same.
 
 Defined results
 - Null, empty and blank texts have no trace. Lines are split at LF, CR LF and CR; blank lines and list items end a paragraph.
@@ -20,14 +23,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 200_000
+from tessera.session import stored
+
+MOST = 200_000
 RATIO = 10
 LINES = 40
 LEAST_COUNT = 5
@@ -38,6 +43,8 @@ CONFUSIONS = {
     "c": ["e"], "o": ["a"], "f": ["t"], "b": ["h"], "ii": ["u"], "cl": ["d"], "rn": ["m"], "m": ["rn"], "n": ["ri"], "vv": ["w"], "h": ["li"], "d": ["cl"],
 }
 SYMBOLS = "01256789!|€@"
+#: Other confusions that a word may have beside misread symbols, and without any.
+LETTERS, LETTERS_ALONE = 2, 1
 
 LINE_END = re.compile(r"\r\n|\r|\n")
 BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
@@ -45,6 +52,7 @@ TOKEN = re.compile(r"[^\s.,;:?\"()\[\]<>«»“”…/]+")
 PAGE = re.compile(r"\W*(?:p(?:age|g)?\.?\s*)?\d{1,4}\W*", re.I)
 MARKS = re.compile(r"\||//|<<|>>|::|^\d+\s|\s\d+$|\s[-–—]\s")
 ITEM = re.compile(r"\s*(?:[-•*·–—]|\d{1,2}[.)])\s+\S")
+HYPHEN_END = re.compile(r"[-‐­]\s*$")
 HYPHEN = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)[-‐­]\s*$")
 WORD_START = re.compile(r"\s*([^\W\d_][^\W_]*)")
 #: In a name, a digit or symbol amid letters; designations such as X4 or R-7 have at most one letter before it.
@@ -170,110 +178,164 @@ def tokens(text: str) -> Iterator[str]:
             yield t
 
 
-def corrected(word: str, vocabulary: dict[str, int], depth: int = 3) -> str | None:
-    """The word meant, if ``word`` is misread, else None."""
-    least = max(LEAST_COUNT, RATIO * vocabulary.get(word, 0))
-    if len(word) < 3 or len(word) > 40 or not any(c.isalpha() for c in word):
-        return None
-    level = {word}
-    for _ in range(depth):
-        following = set()
-        for w in level:
-            for i in range(len(w)):
-                for bad, meant in CONFUSIONS.items():
-                    if w.startswith(bad, i):
-                        following.update(w[:i] + m + w[i + len(bad) :] for m in meant)
-        hits = [w for w in following if vocabulary.get(w, 0) >= least]
-        if hits:
-            return max(hits, key=lambda w: (vocabulary[w], w))
-        # A further step only for symbols, which surely are misread.
-        level = {w for w in following if any(c in SYMBOLS for c in w)} if len(following) < 200 else set()
-    return None
+def confusion_key(word: Column) -> Column:
+    """The same text for all words that ``CONFUSIONS`` can turn into each other, however many of them."""
+    out = F.translate(word, "0@o1|!l59€c2f", "aaaiiiisgeezt")
+    for letters, spelled in (("[68bhu]", "ii"), ("d", "ei"), ("m", "rri"), ("n", "ri"), ("w", "vv")):
+        out = F.regexp_replace(out, letters, spelled)
+    return out
 
 
-class Repairer:
-    """Finds and repairs the traces of a scan with a fitted model and the corpus vocabulary."""
+def confusions_between(bad: str, good: str) -> int | None:
+    """How many confusions, at least, make ``bad`` of ``good``; None if it takes more letters than allowed, or can't be."""
+    best: list[dict[tuple[int, int], int]] = [{} for _ in range(len(bad) + 1)]  # (place in good, letters) to symbols
+    best[0][0, 0] = 0
+    for i, ch in enumerate(bad):
+        for (j, letters), symbols in best[i].items():
+            steps = [(i + 1, j + 1, letters, symbols)] if good[j : j + 1] == ch else []
+            for piece, meanings in CONFUSIONS.items():
+                if bad.startswith(piece, i):
+                    symbol = piece in SYMBOLS
+                    steps += [(i + len(piece), j + len(m), letters + (not symbol), symbols + symbol) for m in meanings if good.startswith(m, j)]
+            for i2, j2, n, k in steps:
+                if n <= LETTERS and best[i2].get((j2, n), k + 1) > k:
+                    best[i2][j2, n] = k
+    ends = [n + k for (j, n), k in best[len(bad)].items() if j == len(good) and n <= (LETTERS if k else LETTERS_ALONE)]
+    return min(ends, default=None)
+
+
+def misread_words(words: DataFrame) -> DataFrame:
+    """``word, meant`` of the misread ones among the distinct words (word, n) of a corpus."""
+    keyed = words.filter((F.length("word") > 2) & F.col("word").rlike(r"\p{L}")).withColumn("k", confusion_key(F.col("word")))
+    meant = keyed.filter(F.col("n") >= LEAST_COUNT).select(F.col("k").alias("gk"), F.col("word").alias("meant"), F.col("n").alias("frequency"))
+    pairs = keyed.join(meant, F.col("k") == F.col("gk")).filter((F.col("frequency") >= RATIO * F.col("n")) & (F.col("word") != F.col("meant"))).select("word", "meant", "frequency")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            steps = [confusions_between(b, g) for b, g in zip(batch["word"], batch["meant"])]
+            yield batch.assign(steps=pd.Series(steps, index=batch.index, dtype="float64")).dropna(subset=["steps"]).astype({"steps": int})
+
+    known = pairs.mapInPandas(check, "word string, meant string, frequency double, steps int")
+    best = F.max(F.struct((-F.col("steps")).alias("s"), F.col("frequency"), F.col("meant"))).alias("best")
+    return known.groupBy("word").agg(best).select("word", F.col("best.meant").alias("meant"))
+
+
+def answers(counts: DataFrame) -> DataFrame:
+    """``q, a``: what is known of the corpus: 'description' or 'name', a blank and a misread word, to the word meant; '-' and a compound that keeps its hyphen."""
+    in_texts = counts.filter("kind = 'word'").select(F.col("item").alias("word"), "n")
+    in_names = counts.filter("kind = 'name word'").select(F.col("item").alias("word"), "n")
+    both = in_texts.unionByName(in_names).groupBy("word").agg(F.sum("n").alias("n"))
+    own = misread_words(both).join(in_names.select("word"), "word", "left_semi")
+    compounds = in_texts.filter((F.col("n") >= LEAST_COUNT) & F.col("word").contains("-"))
+    parts = compounds.select("word", F.regexp_extract("word", r"([^-]+)-([^-]+)$", 1).alias("left"), F.regexp_extract("word", r"([^-]+)-([^-]+)$", 2).alias("right"))
+    kept = parts.withColumn("joined", F.concat("left", "right")).join(in_texts.select(F.col("word").alias("joined")), "joined", "left_anti")
+    return (
+        misread_words(in_texts).select(F.concat(F.lit("description "), "word").alias("q"), F.col("meant").alias("a"))
+        .unionByName(own.select(F.concat(F.lit("name "), "word").alias("q"), F.col("meant").alias("a")))
+        .unionByName(kept.select(F.concat(F.lit("-"), "word").alias("q"), F.lit("").alias("a")))
+    )
 
-    def __init__(self, models: dict[str, dict], vocabulary: dict[str, int]) -> None:
-        self.models, self.vocabulary = models, vocabulary
-        self.words: dict[str, str | None] = {}
 
-    def meant(self, word: str) -> str | None:
-        if word not in self.words:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            self.words[word] = corrected(word, self.vocabulary)
-        return self.words[word]
+class Repairer:
+    """Finds and repairs the traces of a scan with fitted line models and what is known of the corpus."""
 
-    def repair(self, text: str, field: str) -> tuple[set[str], str]:
-        """The kinds of traces found, and the text without them."""
-        traces: set[str] = set()
-        paragraphs: list[str] = []
+    def __init__(self, models: dict[str, dict]) -> None:
+        self.models = models
+
+    def labelled(self, text: str, field: str) -> list[list[tuple[str, int]]]:
+        """Blocks between blank lines of (line, label); the lines are labelled as one sequence."""
         blocks = [[x for x in block.split("\n") if x.strip()] for block in BLANK_LINES.split(LINE_END.sub("\n", text))]
         lines = [x for block in blocks for x in block]
-        labels = viterbi(self.models[field], line_features(lines)) if len(lines) > 1 else [BODY] * len(lines)
-        if HEADER in labels:
-            traces.add("header")
-        if BREAK in labels:
-            traces.add("page number")
-        labelled = iter(zip(lines, labels))
+        labels = iter(viterbi(self.models[field], line_features(lines)) if len(lines) > 1 else [BODY] * len(lines))
+        return [[(x, label) for x, label in zip(block, islice(labels, len(block)))] for block in blocks]
+
+    @staticmethod
+    def paragraphs(blocks: list[list[tuple[str, int]]], joint: Callable[[str, str], str]) -> str:
+        """The body lines as running text; ``joint``: what stands between a line that ends with a hyphen, without it, and the next one."""
+        out: list[str] = []
         for block in blocks:
             parts: list[str] = []
-            for line, label in islice(labelled, len(block)):
-                if label != BODY:
-                    continue
+            last = ""
+            for line in (x for x, label in block if label == BODY):
                 if not parts or ITEM.match(line):
                     if parts:
-                        paragraphs.append("".join(parts))
+                        out.append("".join(parts))
                     parts = [line.rstrip()]
-                    continue
-                last = parts[-1]
-                head, tail = HYPHEN.search(last), WORD_START.match(line)
-                if head and tail:
-                    left, right = head.group(1).lower(), tail.group(1).lower()
-                    known = self.vocabulary.get
-                    if known(f"{left}-{right}", 0) >= LEAST_COUNT and not known(left.rsplit("-", 1)[-1] + right, 0):
-                        parts[-1:] = [last[: head.end(1)], "-", line.strip()]
-                    else:
-                        traces.add("hyphen")
-                        parts[-1:] = [last[: head.end(1)] + line.strip()]
                 else:
-                    parts += ["" if last.endswith(("-", "/")) else " ", line.strip()]
+                    head, tail = HYPHEN.search(last), WORD_START.match(line)
+                    if head and tail:
+                        parts[-1] = HYPHEN_END.sub("", parts[-1])
+                        parts += [joint(head.group(1).lower(), tail.group(1).lower()), line.strip()]
+                    else:
+                        parts += ["" if last.endswith(("-", "/")) else " ", line.strip()]
+                last = line.rstrip()
             if parts:
-                paragraphs.append("".join(parts))
-        out = "\n".join(paragraphs) if len(paragraphs) < 2 else "\n".join(p if ITEM.match(p) else ("\n" if i else "") + p for i, p in enumerate(paragraphs))
-        if field == "name":
-            if NAME_SYMBOL.search(out):
-                traces.add("character")
-            return traces, out
-        wrong = {w: m for w in set(tokens(out)) if (m := self.meant(w)) is not None}
+                out.append("".join(parts))
+        return "\n".join(out) if len(out) < 2 else "\n".join(p if ITEM.match(p) else ("\n" if i else "") + p for i, p in enumerate(out))
+
+    def questions(self, text: str, field: str, known: Mapping[str, str] | None) -> set[str]:
+        """What the repair looks up: compounds first; with what is ``known`` of them, words."""
+        asked: set[str] = set()
+
+        def joint(left: str, right: str) -> str:
+            asked.add(f"-{left}-{right}")
+            return "-" if f"-{left}-{right}" in (known or {}) else ""
+
+        out = self.paragraphs(self.labelled(text, field), joint)
+        return asked if known is None else {f"{field} {w}" for w in tokens(out)}
+
+    def repair(self, text: str, field: str, known: Mapping[str, str]) -> tuple[set[str], str]:
+        """The kinds of traces found, and the text without them."""
+        traces: set[str] = set()
+        blocks = self.labelled(text, field)
+        labels = {label for block in blocks for _, label in block}
+        if HEADER in labels:
+            traces.add("header")
+        if BREAK in labels:
+            traces.add("page number")
+
+        def joint(left: str, right: str) -> str:
+            if f"-{left}-{right}" in known:
+                return "-"
+            traces.add("hyphen")
+            return ""
+
+        out = self.paragraphs(blocks, joint)
+        if field == "name" and NAME_SYMBOL.search(out):
+            traces.add("character")
+        wrong = {w: m for w in set(tokens(out)) if (m := known.get(f"{field} {w}")) is not None}
         if wrong:
             traces.add("character")
 
             def mend(m: re.Match) -> str:
-                fixed = wrong.get(m.group().lower().strip("-'’•!*"))
-                return m.group() if fixed is None else fixed.capitalize() if m.group()[:1].isupper() else fixed
+                word = m.group()
+                bare = word.strip("-'’•!*") if word.lower() not in wrong else word
+                fixed = wrong.get(bare.lower())
+                if fixed is None:
+                    return word
+                capital = next((c.isupper() for c in bare if c.isalpha()), False) if field == "description" else bare[:1].isupper() or not bare[:1].isalpha()
+                at = word.find(bare)
+                return word[:at] + (fixed.capitalize() if capital else fixed) + word[at + len(bare) :]
 
             out = TOKEN.sub(mend, out)
         return traces, out
 
 
 def corpus_counts(df: DataFrame) -> DataFrame:
-    """``kind, item, n``: words of descriptions and expected counts of both line models, over all rows of (field, text)."""
+    """``kind, item, n``: words of descriptions and of names, and expected counts of both line models, over all rows of (field, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {f: start_model(f == "name") for f in ("name", "description")}
-        words: Counter = Counter()
+        words = (Counter(), Counter())
         expected: dict[str, Counter] = {f: Counter() for f in models}
 
         def rows() -> pd.DataFrame:
-            out = [("word", w, float(n)) for w, n in words.items()] + [(f, k, n) for f, c in expected.items() for k, n in c.items()]
+            out = [(kind, w, float(n)) for kind, c in zip(("word", "name word"), words) for w, n in c.items()] + [(f, k, n) for f, c in expected.items() for k, n in c.items()]
             return pd.DataFrame(out, columns=["kind", "item", "n"])
 
         for batch in batches:
             for field, text in zip(batch["field"], batch["text"]):
-                if field == "description":
-                    words.update(tokens(text))
+                words[field == "name"].update(tokens(text))
                 if "\n" in text or "\r" in text:
                     features = line_features([x for x in LINE_END.split(text) if x.strip()])
                     c = expected[field]
@@ -289,9 +351,10 @@ def corpus_counts(df: DataFrame) -> DataFrame:
                         for p in pairs:
                             for t in range(3):
                                 c[f"next:{s}:{t}"] += share * p[s][t]
-            if len(words) > 500_000:
+            if sum(map(len, words)) > 500_000:
                 yield rows()
-                words.clear()
+                words[0].clear()
+                words[1].clear()
                 expected = {f: Counter() for f in models}
         yield rows()
 
@@ -305,23 +368,44 @@ def repair_scans(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """
     entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in fields.items()))
     texts = df.select(F.col(key).alias("key"), F.explode(entries).alias("e")).select("key", "e.*").filter(F.trim("text") != "")
-    counts = corpus_counts(texts.filter((F.col("field") == "description") | F.col("text").rlike(r"[\n\r]")).select("field", "text")).persist()
+    counts = stored(corpus_counts(texts.select("field", "text")))
     models = {f: fitted(start_model(f == "name"), {r["item"]: r["n"] for r in counts.filter(F.col("kind") == f).collect()}) for f in fields}
-    total = counts.filter("kind = 'word'").agg(F.sum("n")).first()[0] or 0.0
-    frequent = counts.filter("kind = 'word'").filter(F.col("n") >= max(LEAST_COUNT, total / VOCABULARY)).select("item", "n")
-    shared = df.sparkSession.sparkContext.broadcast((models, {r["item"]: int(r["n"]) for r in frequent.collect()}))
-    counts.unpersist()
+    known = stored(answers(counts))
+    if known.count() <= MOST:
+        everywhere = df.sparkSession.sparkContext.broadcast({r["q"]: r["a"] for r in known.collect()})
+        rows = texts.withColumn("known", F.lit(None).cast("map<string,string>"))
+    else:
+        everywhere = None
+        rows = with_own_answers(texts, models, known)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairer = Repairer(*shared.value)
+        repairer = Repairer(models)
         for batch in batches:
-            rows = []
-            for k, f, t in zip(batch["key"], batch["field"], batch["text"]):
-                traces, text = repairer.repair(t, f)
+            out = []
+            for k, f, t, own in zip(batch["key"], batch["field"], batch["text"], batch["known"]):
+                traces, text = repairer.repair(t, f, everywhere.value if everywhere else dict(own or {}))
                 if traces:
-                    rows.append((k, f, sorted(traces), text))
-            yield pd.DataFrame(rows, columns=["key", "field", "traces", "text"])
+                    out.append((k, f, sorted(traces), text))
+            yield pd.DataFrame(out, columns=["key", "field", "traces", "text"])
+
+    return rows.select("key", "field", "text", "known").mapInPandas(run, f"key {kind}, field string, traces array<string>, text string").dropDuplicates(["key", "field"])
+
+
+def with_own_answers(texts: DataFrame, models: dict[str, dict], known: DataFrame) -> DataFrame:
+    """``texts`` with ``known``: the answers (q, a) to the questions of each text, first on compounds, then on words."""
+    rows = stored(texts.withColumn("__u", F.monotonically_increasing_id()).withColumn("known", F.lit(None).cast("map<string,string>")))
+    for compounds in (True, False):
+
+        def ask(batches: Iterator[pd.DataFrame], compounds: bool = compounds) -> Iterator[pd.DataFrame]:
+            repairer = Repairer(models)
+            for batch in batches:
+                asked = [(u, q) for u, f, t, own in zip(batch["__u"], batch["field"], batch["text"], batch["known"]) for q in repairer.questions(t, f, None if compounds else dict(own or {}))]
+                yield pd.DataFrame(asked, columns=["__u", "q"])
 
-    suspects = texts.filter((F.col("field") == "description") | F.col("text").rlike(rf"[\n\r{SYMBOLS}]"))
-    return suspects.mapInPandas(run, f"key {kind}, field string, traces array<string>, text string").dropDuplicates(["key", "field"])
+        asked = rows.select("__u", "field", "text", "known").mapInPandas(ask, "__u bigint, q string")
+        got = asked.join(known, "q").groupBy("__u").agg(F.map_from_entries(F.collect_set(F.struct("q", "a"))).alias("__got"))
+        empty = F.expr("cast(map() as map<string,string>)")
+        joined = rows.join(got, "__u", "left").withColumn("known", F.map_concat(F.coalesce("known", empty), F.coalesce("__got", empty)))
+        rows = stored(joined.drop("__got"))
+    return rows.drop("__u")

@@ -1,5 +1,6 @@
 import random
 
+from tessera.llm import scans
 from tessera.llm.scans import repair_scans
 
 WORDS = "garage turret lantern courier engine harbor mechanic delivery session clinic every under quietly carries".split()
@@ -68,3 +69,48 @@ def test_very_long_text_is_read_whole(spark):
     text = clean(rng, 4000)
     got = run(spark, [("a", text), ("b", "\n".join([*wrap(text), "- 9 -"]))])
     assert got == {(1, "description"): (["page number"], text)}
+
+
+def test_names_and_long_words_are_repaired(spark):
+    """'rn' for 'm' in a name, words of any length and with any number of misread symbols."""
+    rng = random.Random(3)
+    long = "unterwassernavigationsbeleuchtungseinrichtungen"
+    base = [(f"Summer Lamp {i % 7}", clean(rng) + f" The {long} carries billiolli.") for i in range(400)]
+    cases = [
+        ("Surnmer Lamp", None), ("5ummer Lamp", None), ("SummerLamp", None),
+        ("Lamp", f"The {long.replace('e', 'c', 1)} carries it."), ("Lamp", "The b1|!!o|1i carries it."), ("Lamp", f"The {long.replace('u', 'ii', 1)} carries."),
+    ]
+    got = run(spark, base + cases)
+    assert got == {
+        (400, "name"): (["character"], "Summer Lamp"), (401, "name"): (["character"], "Summer Lamp"), (403, "description"): (["character"], f"The {long} carries it."),
+        (404, "description"): (["character"], "The billiolli carries it."), (405, "description"): (["character"], f"The {long} carries."),
+    }
+
+
+def test_own_answers_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    known = [(f"Big Lantern {i}", clean(rng) + " A long-range double-walled lantern.") for i in range(60)]
+    text = clean(rng)
+    cases = [
+        ("Big Lan-\ntern", text.replace("garage", "garoge", 1).replace("e", "€", 1)), ("Big Lantem", "A long-\nrange lan-\ntern of dou-\nble-\nwalled t0rrets"), ("Big Lantern", "\n".join([*wrap(text), "12"])),
+        ("Big Lantern", "\n".join(wrap(text.replace(" ", "- ", 0).replace("lantern", "lan-\ntern")))), (None, None),
+    ]
+    want = run(spark, known + cases)
+    monkeypatch.setattr(scans, "MOST", 0)
+    assert run(spark, known + cases) == want
+    assert "long-range lantern" in want[61, "description"][1]
+
+
+def test_confusions():
+    assert scans.confusions_between("lantem", "lantern") == 1 and scans.confusions_between("l@nt€m", "lantern") == 3 and scans.confusions_between("lantern", "lantern") == 0
+    assert scans.confusions_between("garoge", "garage") == 1 and scans.confusions_between("goroge", "garage") is None and scans.confusions_between("lamp", "lamb") is None
+
+
+def test_the_line_model_decides(spark, monkeypatch):
+    """With every line labelled body, headers and page numbers stay in the text."""
+    rng = random.Random(7)
+    lines = wrap(clean(rng))
+    rows = [(f"Lamp {i}", clean(rng)) for i in range(200)] + [("Lamp", "\n".join([*lines[:2], "STREET GEAR | TOOLS", *lines[2:], "117"]))]
+    assert run(spark, rows)[200, "description"][0] == ["header", "page number"]
+    monkeypatch.setattr(scans, "viterbi", lambda model, features: [scans.BODY] * len(features))
+    assert run(spark, rows) == {}
