@@ -320,3 +320,13 @@ def test_running_numbers_over_buckets(spark):
     assert rows(ranking.running_number(df, ["k"], ["i"], F.floor(F.col("i") / 17))) == sorted(want, key=repr)
     got = ranking.suffixed_ids(df.filter("k is not null"), "k", ["i"], bucket=F.floor(F.col("i") / 17))
     assert rows(got) == rows(ranking.suffixed_ids(df.filter("k is not null"), "k", ["i"]))
+
+
+def test_folds_keep_large_integers(spark):
+    """Integers above 2^53 pass beside nulls as they are."""
+    from tessera.operators.folds import fold_sorted
+
+    rows = [("a", 9007199254740993), ("a", None), ("a", 9007199254740995), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    out = fold_sorted(df, ["k"], ["v"], lambda: ((lambda row: [(row[0], row[1])]), list), "k string, v bigint")
+    assert sorted((r["k"], r["v"] or 0) for r in out.collect()) == sorted((k, v or 0) for k, v in rows)
