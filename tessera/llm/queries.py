@@ -11,7 +11,7 @@ from tessera.llm.encoding import restore_encoding
 from tessera.llm.entities import match_entities
 from tessera.llm.formatting import same_but_for_format
 from tessera.llm.leaks import leaks, shared_runs
-from tessera.llm.representative import survivors
+from tessera.llm.representative import merged_records, survivors
 from tessera.llm.scans import repair_scans
 from tessera.llm.spam import spam_pages
 from tessera.llm.tokens import encode_corpus
@@ -72,6 +72,43 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: one surviving record per entry listed several times, each field from the first dominance layer that fills it."""
+    item = table(spark, sf_dir, "item")
+    text = lambda c: F.when(F.trim(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")) != "", F.col(c))
+    fields = {c: text(c) for c in ("book", "category", "name")}
+    fields |= {c: text(f"system.{c}") for c in ("type", "subtype", "description")}
+    fields |= {"price": F.col("system.price"), "avail": F.col("system.avail"), "page": F.col("meta.page"), "img": F.when(~F.col("img").rlike(PLACEHOLDER), text("img"))}
+    trust = F.coalesce(F.array_position(F.array(*map(F.lit, TRUST)), F.col("meta.qa_status")), F.lit(0))
+    return merged_records(item, ["domain", "id"], "row_id", fields, trust, F.col("meta.extracted_at"))
+
+
+P5_FIELDS = ["book", "category", "name", "type", "subtype", "description", "price", "avail", "page", "img"]
+P5_SURVIVORS_SQL = r"""
+WITH RECURSIVE i AS (SELECT domain, id, row_id, %s, coalesce(list_position(['extracted', 'review', 'reviewed', 'approved'], meta.qa_status), 0) AS t,
+    meta.extracted_at AS ts, coalesce(CAST(meta.extracted_at AS DATE), DATE '0001-01-01') AS d, count(*) OVER (PARTITION BY domain, id) AS copies FROM item),
+r AS (SELECT *, %s AS c FROM i WHERE copies > 1),
+p AS (SELECT DISTINCT domain, id, c, d, t FROM r),
+chain AS (SELECT *, 1 AS layer FROM p UNION SELECT b.domain, b.id, b.c, b.d, b.t, chain.layer + 1 FROM chain JOIN p b
+    ON b.domain IS NOT DISTINCT FROM chain.domain AND b.id IS NOT DISTINCT FROM chain.id AND b.c <= chain.c AND b.d <= chain.d AND b.t <= chain.t
+    AND (b.c < chain.c OR b.d < chain.d OR b.t < chain.t)),
+l AS (SELECT domain, id, c, d, t, max(layer) AS layer FROM chain GROUP BY domain, id, c, d, t),
+o AS (SELECT r.*, l.layer FROM r JOIN l ON r.domain IS NOT DISTINCT FROM l.domain AND r.id IS NOT DISTINCT FROM l.id AND r.c = l.c AND r.d = l.d AND r.t = l.t)
+SELECT domain, id, max(copies) AS copies, max(layer) AS layers, %s FROM o GROUP BY domain, id
+""" % (
+    ", ".join(
+        f"CASE WHEN regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') <> ''{extra} THEN {c} END AS v_{c.split('.')[-1]}"
+        for c, extra in [("book", ""), ("category", ""), ("name", ""), ("system.type", ""), ("system.subtype", ""), ("system.description", ""),
+                         ("img", " AND NOT starts_with(img, 'generic/') AND NOT starts_with(img, 'iconsets/') AND NOT contains(img, '/lib/')")]
+    ) + ", system.price AS v_price, system.avail AS v_avail, meta.page AS v_page",
+    " + ".join(f"CAST(v_{f} IS NOT NULL AS INTEGER)" for f in P5_FIELDS),
+    ", ".join(
+        f"first(v_{f} ORDER BY layer, t DESC, c DESC, ts DESC NULLS LAST, row_id) FILTER (v_{f} IS NOT NULL) AS {f}, "
+        f"first(row_id ORDER BY layer, t DESC, c DESC, ts DESC NULLS LAST, row_id) FILTER (v_{f} IS NOT NULL) AS {f}_row" for f in P5_FIELDS
+    ),
+)
+
+
 P5_SQL = r"""
 WITH i AS (SELECT *, count(*) OVER (PARTITION BY domain, id) AS n,
     length(regexp_replace(system.description, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS filled,
@@ -167,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
     "p8_ids": p8_ids,
@@ -179,6 +217,7 @@ SQL: dict[str, str] = {
     "p2_found": P2_SQL + "SELECT first_raw_id, raw_id FROM g WHERE copies > 1",
     "p2_collapsed": P2_SQL + "SELECT raw_id, copies FROM g WHERE raw_id = first_raw_id",
     "p5_found": P5_SQL,
+    "p5_survivors": P5_SURVIVORS_SQL,
     "p9_found": P9_SQL,
     "p9_leaks": P9_LEAKS_SQL,
 }

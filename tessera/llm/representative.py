@@ -1,18 +1,24 @@
 """Best representative of each duplicate group (problem 5).
 
-Per group and field, the eligible rows are points with two or more dimensions, larger being better (completeness, trust,
-recency). The Pareto-undominated ones form the skyline, the policy orders it lexicographically, and the first one gives
-the value. Rows without a value are no candidates, so a field is filled from the first dominance layer that has one.
+Records are points in three dimensions, larger being better: completeness (how many fields are filled), recency (the day) and trust. The Pareto-undominated
+ones of a group form its first layer, those undominated without it the second, and so on (``dominance_layers``). The surviving record takes
+each field from the first layer that has a value; within a layer the policy orders lexicographically: trust, completeness, exact time, smallest row key
+(``merged_records``).
 
-Hot groups: points are first reduced by a map-side combined aggregate that keeps, per group, field and first
-dimension, the best rest of the point; it holds no more rows than a group has distinct values in that dimension. The skyline
-is then found by one ordered pass with a running maximum, which needs no memory that grows with the group.
+Fields with a policy of their own (``survivors``: the longest description, the most trusted picture) are the skyline over the field's own
+dimensions, ordered lexicographically by the policy. A lexicographic maximum is never dominated, so for these the skyline only leaves fewer candidates.
+
+Hot groups: ``survivors`` first reduces points by a map-side combined aggregate that keeps, per group, field and first
+dimension, the best rest of the point; the skyline is then found by one ordered pass with a running maximum. ``merged_records``
+reduces records map-side to their distinct points, of which a group has at most (fields + 1) x (levels of trust) x (days in the calendar), however many
+rows it has; layers are found by one ordered fold over these that keeps one number for each completeness and trust.
 
 Defined results
 - Groups of one row give nothing. Null group keys are a group as any other.
 - A null dimension is the smallest. Ties on all dimensions go to the smallest row key.
 - A row repeated with the same key counts as another row of its group, but cannot be picked twice.
 - Sets (sources) are united over the group; each distinct element gives one row.
+- A field that no record of the group fills is null, and so is the row it came from. Empty and blank texts count as not filled if ``fields`` maps them to null.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import fold_sorted
+
 
 def skyline(points: DataFrame, group: Sequence[str], first: str, second: str) -> DataFrame:
     """``points`` without those that another of the group dominates in (first, second).
@@ -77,3 +85,52 @@ def survivors(
     policy = Window.partitionBy(*part).orderBy(F.col("d1").desc_nulls_last(), F.col("d2").desc_nulls_last(), "key")
     picked = skyline(counted, part, "d1", "d2").withColumn("__rank", F.row_number().over(policy)).filter("__rank = 1")
     return picked.select(*group, "field", F.coalesce("element", F.col("key").cast("string")).alias("pick"))
+
+
+def dominance_layers(points: DataFrame, group: str, completeness: str, day: str, trust: str) -> DataFrame:
+    """``group, completeness, day, trust, layer`` of distinct points (bigint, not null): 1 for the undominated ones, else one more than the largest layer of
+    those that dominate the point."""
+    kind = points.schema[group].dataType.simpleString()
+
+    def start():
+        best: dict[tuple[int, int], int] = {}  # (completeness, trust) to the largest layer so far
+
+        def step(row: tuple) -> list[tuple]:
+            # Rows come by day, completeness and trust descending: what dominates a point has passed before it.
+            g, c, d, t = row
+            layer = 1 + max((n for (c2, t2), n in best.items() if c2 >= c and t2 >= t), default=0)
+            best[c, t] = layer
+            return [(g, c, d, t, layer)]
+
+        return step, list
+
+    rows = points.select(group, completeness, day, trust)
+    order = [F.col(day).desc(), F.col(completeness).desc(), F.col(trust).desc()]
+    return fold_sorted(rows, [group], order, start, f"{group} {kind}, {completeness} bigint, {day} bigint, {trust} bigint, layer bigint")
+
+
+def merged_records(df: DataFrame, group: Sequence[str], row_key: str, fields: Mapping[str, Column], trust: Column, at: Column) -> DataFrame:
+    """``group..., copies, layers`` and for each field its value and ``<field>_row``, the row it comes from: one record for each group of two or more.
+
+    ``fields``: name to value, null if not filled; ``trust``: larger is better; ``at``: a timestamp. ``row_key`` must be a bigint.
+    """
+    filled = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in fields.values()), F.lit(0))
+    rows = df.select(
+        F.to_json(F.struct(*(F.col(g) for g in group)), {"ignoreNullFields": "false"}).alias("__g"), *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)),
+        F.col(row_key).alias("__row"), filled.cast("bigint").alias("__c"), F.coalesce(F.unix_date(F.to_date(at)).cast("bigint"), F.lit(-(1 << 40))).alias("__d"),
+        F.coalesce(trust.cast("bigint"), F.lit(-1)).alias("__t"), F.unix_micros(at).alias("__at"), *(v.alias(f"__v{i}") for i, v in enumerate(fields.values())),
+    )
+    keys = [f"__g{i}" for i in range(len(group))]
+    late = F.struct((-F.coalesce(F.col("__at"), F.lit(-(1 << 60)))).alias("a"), F.col("__row").alias("r"))
+    by_point = rows.groupBy("__g", *keys, "__c", "__d", "__t").agg(
+        F.count(F.lit(1)).alias("__n"), *(F.min(F.when(F.col(f"__v{i}").isNotNull(), F.struct(late.alias("o"), F.col(f"__v{i}").alias("v")))).alias(f"__b{i}") for i in range(len(fields)))
+    )
+    copies = F.sum("__n").over(Window.partitionBy("__g"))
+    points = by_point.withColumn("copies", copies).filter("copies > 1")
+    layers = dominance_layers(points, "__g", "__c", "__d", "__t")
+    ranked = points.join(layers, ["__g", "__c", "__d", "__t"])
+    order = F.struct(F.col("layer").alias("l"), (-F.col("__t")).alias("t"), (-F.col("__c")).alias("c"))
+    picks = [F.min(F.when(F.col(f"__b{i}").isNotNull(), F.struct(order.alias("p"), F.col(f"__b{i}.o").alias("o"), F.col(f"__b{i}.v").alias("v")))).alias(f"__b{i}") for i in range(len(fields))]
+    out = ranked.groupBy("__g", *keys).agg(F.max("copies").alias("copies"), F.max("layer").alias("layers"), *picks)
+    values = [x for i, f in enumerate(fields) for x in (F.col(f"__b{i}.v").alias(f), F.col(f"__b{i}.o.r").alias(f"{f}_row"))]
+    return out.select(*(F.col(k).alias(g) for k, g in zip(keys, group)), "copies", "layers", *values)

@@ -49,6 +49,7 @@ LETTERS, LETTERS_ALONE = 2, 1
 LINE_END = re.compile(r"\r\n|\r|\n")
 BLANK_LINES = re.compile(r"\n[^\S\n]*\n\s*")
 TOKEN = re.compile(r"[^\s.,;:?\"()\[\]<>«»“”…/]+")
+AROUND = "-'’•!*"
 PAGE = re.compile(r"\W*(?:p(?:age|g)?\.?\s*)?\d{1,4}\W*", re.I)
 MARKS = re.compile(r"\||//|<<|>>|::|^\d+\s|\s\d+$|\s[-–—]\s")
 ITEM = re.compile(r"\s*(?:[-•*·–—]|\d{1,2}[.)])\s+\S")
@@ -172,10 +173,9 @@ def viterbi(model: dict, features: list[tuple[int, ...]]) -> list[int]:
     return labels[::-1]
 
 
-def tokens(text: str) -> Iterator[str]:
-    for t in TOKEN.findall(text.lower()):
-        if t := t.strip("-'’•!*"):
-            yield t
+def tokens(text: str) -> set[str]:
+    """The distinct words in lower case."""
+    return {t.strip(AROUND) for t in set(TOKEN.findall(text.lower()))} - {""}
 
 
 def confusion_key(word: Column) -> Column:
@@ -221,7 +221,7 @@ def misread_words(words: DataFrame) -> DataFrame:
 
 
 def answers(counts: DataFrame) -> DataFrame:
-    """``q, a``: what is known of the corpus: 'description' or 'name', a blank and a misread word, to the word meant; '-' and a compound that keeps its hyphen."""
+    """``about, q, a``: what is known of the corpus: 'description' or 'name', a misread word, and the word meant; '-' and a compound that keeps its hyphen."""
     in_texts = counts.filter("kind = 'word'").select(F.col("item").alias("word"), "n")
     in_names = counts.filter("kind = 'name word'").select(F.col("item").alias("word"), "n")
     both = in_texts.unionByName(in_names).groupBy("word").agg(F.sum("n").alias("n"))
@@ -230,9 +230,9 @@ def answers(counts: DataFrame) -> DataFrame:
     parts = compounds.select("word", F.regexp_extract("word", r"([^-]+)-([^-]+)$", 1).alias("left"), F.regexp_extract("word", r"([^-]+)-([^-]+)$", 2).alias("right"))
     kept = parts.withColumn("joined", F.concat("left", "right")).join(in_texts.select(F.col("word").alias("joined")), "joined", "left_anti")
     return (
-        misread_words(in_texts).select(F.concat(F.lit("description "), "word").alias("q"), F.col("meant").alias("a"))
-        .unionByName(own.select(F.concat(F.lit("name "), "word").alias("q"), F.col("meant").alias("a")))
-        .unionByName(kept.select(F.concat(F.lit("-"), "word").alias("q"), F.lit("").alias("a")))
+        misread_words(in_texts).select(F.lit("description").alias("about"), F.col("word").alias("q"), F.col("meant").alias("a"))
+        .unionByName(own.select(F.lit("name").alias("about"), F.col("word").alias("q"), F.col("meant").alias("a")))
+        .unionByName(kept.select(F.lit("-").alias("about"), F.col("word").alias("q"), F.lit("").alias("a")))
     )
 
 
@@ -273,21 +273,21 @@ class Repairer:
                 out.append("".join(parts))
         return "\n".join(out) if len(out) < 2 else "\n".join(p if ITEM.match(p) else ("\n" if i else "") + p for i, p in enumerate(out))
 
-    def questions(self, text: str, field: str, known: Mapping[str, str] | None) -> set[str]:
+    def questions(self, text: str, field: str, known: Mapping[tuple[str, str], str] | None) -> set[tuple[str, str]]:
         """What the repair looks up: compounds first; with what is ``known`` of them, words."""
-        asked: set[str] = set()
+        asked: set[tuple[str, str]] = set()
 
         def joint(left: str, right: str) -> str:
-            asked.add(f"-{left}-{right}")
-            return "-" if f"-{left}-{right}" in (known or {}) else ""
+            asked.add(("-", f"{left}-{right}"))
+            return "-" if ("-", f"{left}-{right}") in (known or {}) else ""
 
         out = self.paragraphs(self.labelled(text, field), joint)
-        return asked if known is None else {f"{field} {w}" for w in tokens(out)}
+        return asked if known is None else {(field, w) for w in tokens(out)}
 
-    def repair(self, text: str, field: str, known: Mapping[str, str]) -> tuple[set[str], str]:
+    def repair(self, text: str, field: str, known: Mapping[tuple[str, str], str]) -> tuple[set[str], str]:
         """The kinds of traces found, and the text without them."""
         traces: set[str] = set()
-        blocks = self.labelled(text, field)
+        blocks = self.labelled(text, field) if "\n" in text or "\r" in text else [[(text, BODY)]]
         labels = {label for block in blocks for _, label in block}
         if HEADER in labels:
             traces.add("header")
@@ -295,7 +295,7 @@ class Repairer:
             traces.add("page number")
 
         def joint(left: str, right: str) -> str:
-            if f"-{left}-{right}" in known:
+            if ("-", f"{left}-{right}") in known:
                 return "-"
             traces.add("hyphen")
             return ""
@@ -303,13 +303,13 @@ class Repairer:
         out = self.paragraphs(blocks, joint)
         if field == "name" and NAME_SYMBOL.search(out):
             traces.add("character")
-        wrong = {w: m for w in set(tokens(out)) if (m := known.get(f"{field} {w}")) is not None}
+        wrong = {w: m for w in tokens(out) if (m := known.get((field, w))) is not None}
         if wrong:
             traces.add("character")
 
             def mend(m: re.Match) -> str:
                 word = m.group()
-                bare = word.strip("-'’•!*") if word.lower() not in wrong else word
+                bare = word.strip(AROUND) if word.lower() not in wrong else word
                 fixed = wrong.get(bare.lower())
                 if fixed is None:
                     return word
@@ -330,12 +330,12 @@ def corpus_counts(df: DataFrame) -> DataFrame:
         expected: dict[str, Counter] = {f: Counter() for f in models}
 
         def rows() -> pd.DataFrame:
-            out = [(kind, w, float(n)) for kind, c in zip(("word", "name word"), words) for w, n in c.items()] + [(f, k, n) for f, c in expected.items() for k, n in c.items()]
+            out = [(kind, t, float(n)) for kind, c in zip(("word", "name word"), words) for w, n in c.items() if (t := w.strip(AROUND))] + [(f, k, n) for f, c in expected.items() for k, n in c.items()]
             return pd.DataFrame(out, columns=["kind", "item", "n"])
 
         for batch in batches:
             for field, text in zip(batch["field"], batch["text"]):
-                words[field == "name"].update(tokens(text))
+                words[field == "name"].update(TOKEN.findall(text.lower()))
                 if "\n" in text or "\r" in text:
                     features = line_features([x for x in LINE_END.split(text) if x.strip()])
                     c = expected[field]
@@ -372,8 +372,8 @@ def repair_scans(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     models = {f: fitted(start_model(f == "name"), {r["item"]: r["n"] for r in counts.filter(F.col("kind") == f).collect()}) for f in fields}
     known = stored(answers(counts))
     if known.count() <= MOST:
-        everywhere = df.sparkSession.sparkContext.broadcast({r["q"]: r["a"] for r in known.collect()})
-        rows = texts.withColumn("known", F.lit(None).cast("map<string,string>"))
+        everywhere = df.sparkSession.sparkContext.broadcast({(r["about"], r["q"]): r["a"] for r in known.collect()})
+        rows = texts.withColumn("known", F.lit(None).cast(ANSWERS))
     else:
         everywhere = None
         rows = with_own_answers(texts, models, known)
@@ -384,7 +384,7 @@ def repair_scans(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
         for batch in batches:
             out = []
             for k, f, t, own in zip(batch["key"], batch["field"], batch["text"], batch["known"]):
-                traces, text = repairer.repair(t, f, everywhere.value if everywhere else dict(own or {}))
+                traces, text = repairer.repair(t, f, everywhere.value if everywhere else own_answers(own))
                 if traces:
                     out.append((k, f, sorted(traces), text))
             yield pd.DataFrame(out, columns=["key", "field", "traces", "text"])
@@ -392,20 +392,27 @@ def repair_scans(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return rows.select("key", "field", "text", "known").mapInPandas(run, f"key {kind}, field string, traces array<string>, text string").dropDuplicates(["key", "field"])
 
 
+ANSWERS = "array<struct<about:string,q:string,a:string>>"
+
+
+def own_answers(rows) -> dict[tuple[str, str], str]:
+    return {} if rows is None else {(r["about"], r["q"]): r["a"] for r in rows}
+
+
 def with_own_answers(texts: DataFrame, models: dict[str, dict], known: DataFrame) -> DataFrame:
     """``texts`` with ``known``: the answers (q, a) to the questions of each text, first on compounds, then on words."""
-    rows = stored(texts.withColumn("__u", F.monotonically_increasing_id()).withColumn("known", F.lit(None).cast("map<string,string>")))
+    rows = stored(texts.withColumn("__u", F.monotonically_increasing_id()).withColumn("known", F.lit(None).cast(ANSWERS)))
     for compounds in (True, False):
 
         def ask(batches: Iterator[pd.DataFrame], compounds: bool = compounds) -> Iterator[pd.DataFrame]:
             repairer = Repairer(models)
             for batch in batches:
-                asked = [(u, q) for u, f, t, own in zip(batch["__u"], batch["field"], batch["text"], batch["known"]) for q in repairer.questions(t, f, None if compounds else dict(own or {}))]
-                yield pd.DataFrame(asked, columns=["__u", "q"])
+                asked = [(u, *q) for u, f, t, own in zip(batch["__u"], batch["field"], batch["text"], batch["known"]) for q in repairer.questions(t, f, None if compounds else own_answers(own))]
+                yield pd.DataFrame(asked, columns=["__u", "about", "q"])
 
-        asked = rows.select("__u", "field", "text", "known").mapInPandas(ask, "__u bigint, q string")
-        got = asked.join(known, "q").groupBy("__u").agg(F.map_from_entries(F.collect_set(F.struct("q", "a"))).alias("__got"))
-        empty = F.expr("cast(map() as map<string,string>)")
-        joined = rows.join(got, "__u", "left").withColumn("known", F.map_concat(F.coalesce("known", empty), F.coalesce("__got", empty)))
+        asked = rows.select("__u", "field", "text", "known").mapInPandas(ask, "__u bigint, about string, q string")
+        got = asked.join(known, ["about", "q"]).groupBy("__u").agg(F.collect_set(F.struct("about", "q", "a")).alias("__got"))
+        none = F.expr(f"cast(array() as {ANSWERS})")
+        joined = rows.join(got, "__u", "left").withColumn("known", F.concat(F.coalesce("known", none), F.coalesce("__got", none)))
         rows = stored(joined.drop("__got"))
     return rows.drop("__u")
