@@ -3,7 +3,7 @@
 Records are JSON objects. Every (field, kind, value) is dictionary-encoded: each distinct value is canonicalised once,
 each distinct canonical value gets an integer, records become sorted integer tuples, and the tuples are grouped.
 The dictionary is written to the shared checkpoint folder, so an identifier stays what it is if an executor is lost. Texts of more than
-``LONG`` characters are looked up by their SHA-256, so neither the broadcast of hot values nor a shuffle of records carries long texts.
+``LONG`` characters count by their SHA-256, and values meet their identifiers by 128 bits of hash, so neither the broadcast of hot values nor a shuffle of records carries texts.
 Values and groups that hold much of all rows are looked up in a bounded broadcast (``lookup_with_heavy``), the rest by
 a shuffle join, so no hot value or group meets one task.
 
@@ -48,38 +48,44 @@ def canonical_number(value: Column) -> Column:
     return F.when(shown == "", F.lit("0")).otherwise(F.concat(F.when(value.startswith("-"), F.lit("-")).otherwise(F.lit("")), shown, F.lit("e"), last.cast("string")))
 
 
+def named(*columns: Column | str) -> list[Column]:
+    """``h1, h2``: 128 bits of hash that stand for the columns in joins, so that texts are neither shuffled nor sorted."""
+    return [F.xxhash64(F.lit(i), *columns).alias(f"h{i}") for i in (1, 2)]
+
+
 def record_fields(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key, field, kind, value``: one row per field of each record, and one of kind r per record."""
-    one = df.select(F.col(key).alias("key"), F.try_parse_json(F.col(payload)).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    """``key, digest, field, kind, value``: one row per field of each record, and one of kind r per record; ``digest`` stands for the payload."""
+    parsed = df.select(F.col(key).alias("key"), F.xxhash64(payload).alias("digest"), F.try_parse_json(F.col(payload)).alias("v"))
+    one = parsed.filter(F.schema_of_variant("v").startswith("OBJECT"))
     fields = F.col("v").cast("map<string,variant>")
     entries = F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))), F.map_entries(fields)
     )
-    exploded = one.select("key", F.explode(entries).alias("e")).select("key", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
+    exploded = one.select("key", "digest", F.explode(entries).alias("e")).select("key", "digest", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
     kind = F.schema_of_variant("v")
     code = F.when(kind == "STRING", F.lit("s")).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit("n")).otherwise(F.lit("x"))
     text = F.when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json("v")).otherwise(F.col("v").try_cast("string"))
-    return exploded.select("key", F.coalesce("field", F.lit("")).alias("field"), F.when(F.col("field").isNull(), F.lit("r")).otherwise(code).alias("kind"), F.coalesce(text, F.lit("null")).alias("value"))
+    return exploded.select("key", "digest", F.coalesce("field", F.lit("")).alias("field"), F.when(F.col("field").isNull(), F.lit("r")).otherwise(code).alias("kind"), F.coalesce(text, F.lit("null")).alias("value"))
 
 
 def dictionary(entries: DataFrame) -> DataFrame:
-    """``field, kind, look, n, id``: the identifier of each distinct value, by its short form; equal canonical values share it."""
+    """``h1, h2, n, id``: the identifier of each distinct value (field, kind, short form); equal canonical values share it."""
     long = F.when(F.length("value") > LONG, F.col("value"))
     values = entries.select("field", "kind", short(F.col("value")).alias("look"), long.alias("long")).groupBy("field", "kind", "look", "long").agg(F.count(F.lit(1)).alias("n"))
     canon = short(canonical_value(F.col("kind"), F.coalesce("long", "look"))).alias("canon")
-    coded = stored(values.select("field", "kind", "look", "n", canon))
-    ids = stored(coded.select("field", "kind", "canon").distinct().withColumn("id", F.monotonically_increasing_id()))
-    return stored(coded.join(ids, ["field", "kind", "canon"]).select("field", "kind", "look", "n", "id"))
+    coded = stored(values.select(*named("field", "kind", "look"), "n", "field", "kind", canon).select("h1", "h2", "n", *(c.alias(f"c{i}") for i, c in enumerate(named("field", "kind", "canon"), 1))))
+    ids = stored(coded.select("c1", "c2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    return stored(coded.join(ids, ["c1", "c2"]).select("h1", "h2", "n", "id"))
 
 
 def encoded_records(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key, tuple``: each record as the sorted identifiers of its fields."""
-    entries = stored(record_fields(df, key, payload))  # parsed once, read for the dictionary and for the look-up
+    """``key, tuple``: each record as the sorted identifiers of its fields; a row repeated with the same key and payload counts once."""
+    entries = record_fields(df, key, payload)
     coded = dictionary(entries)
     total = coded.agg(F.sum("n")).first()[0] or 0
-    looked = entries.select("key", "field", "kind", short(F.col("value")).alias("look"))
-    rows = lookup_with_heavy(looked, coded, ["field", "kind", "look"], ["id"], "n", total, F.xxhash64("key"))
-    return rows.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("tuple"))
+    looked = entries.select("key", "digest", *named("field", "kind", short(F.col("value"))))
+    rows = lookup_with_heavy(looked, coded, ["h1", "h2"], ["id"], "n", total, F.xxhash64("key"))
+    return rows.groupBy("key", "digest").agg(F.array_sort(F.collect_set("id")).alias("tuple")).select("key", "tuple")
 
 
 def same_but_for_format(df: DataFrame, key: str, payload: str, alone: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +93,7 @@ def same_but_for_format(df: DataFrame, key: str, payload: str, alone: bool = Fal
 
     ``alone``: also records that have no equal.
     """
-    unique = df.select(key, payload).dropDuplicates([key, payload])
-    records = stored(encoded_records(unique, key, payload))
+    records = stored(encoded_records(df, key, payload))
     groups = records.groupBy("tuple").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"))
     if not alone:
         groups = groups.filter("copies > 1")
