@@ -53,6 +53,9 @@ AROUND = "-'’•!*"
 PAGE = re.compile(r"\W*(?:p(?:age|g)?\.?\s*)?\d{1,4}\W*", re.I)
 MARKS = re.compile(r"\||//|<<|>>|::|^\d+\s|\s\d+$|\s[-–—]\s")
 ITEM = re.compile(r"\s*(?:[-•*·–—]|\d{1,2}[.)])\s+\S")
+HYPHENS = "-‐\xad"
+LETTER = re.compile(r"[^\W\d_]")
+INITIAL = re.compile(r"(?:^|\s)\S*?([^\W\d_])")
 HYPHEN_END = re.compile(r"[-‐­]\s*$")
 HYPHEN = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)[-‐­]\s*$")
 WORD_START = re.compile(r"\s*([^\W\d_][^\W_]*)")
@@ -81,25 +84,23 @@ NEXT = [[0.9, 0.05, 0.05], [0.88, 0.02, 0.1], [0.88, 0.1, 0.02]]
 def line_features(lines: list[str]) -> list[tuple[int, ...]]:
     """The feature values of each line that is not blank."""
     out = []
-    for i, line in enumerate(lines):
-        text = line.strip()
-        words = [w for w in text.split() if any(c.isalpha() for c in w)]
-        letters = [c for c in text if c.isalpha()]
+    texts = [line.strip() for line in lines]
+    for i, text in enumerate(texts):
+        initials = INITIAL.findall(text)  # of the words with a letter
         page = int(PAGE.fullmatch(text) is not None)
-        count = 0 if not words else 1 if len(words) < 3 else 2 if len(words) < 6 else 3
-        end = 2 if HYPHEN.search(line) else 1 if text[-1:] in ".!?:;," else 0
-        initials = [next(c for c in w if c.isalpha()) for w in words]
-        if len(letters) > 2 and all(c.isupper() for c in letters):
+        count = 0 if not initials else 1 if len(initials) < 3 else 2 if len(initials) < 6 else 3
+        end = 2 if text[-1:] in HYPHENS and HYPHEN.search(text) else 1 if text[-1:] in ".!?:;," else 0
+        if text.isupper() and len(LETTER.findall(text)) > 2:
             case = 3
-        elif len(words) > 1 and all(c.isupper() for c in initials):
+        elif len(initials) > 1 and all(map(str.isupper, initials)):
             case = 2
         else:
             case = 1 if initials and initials[0].isupper() else 0
-        marks = int(MARKS.search(text) is not None and not ITEM.match(line))
-        before = lines[i - 1].strip() if i else ""
-        after = lines[i + 1].strip() if i + 1 < len(lines) else ""
+        marks = int(MARKS.search(text) is not None and not ITEM.match(lines[i]))
+        before = texts[i - 1] if i else ""
+        after = texts[i + 1] if i + 1 < len(texts) else ""
         cut_before = bool(before) and before[-1] not in ".!?:" and not page
-        starts_low = bool(letters) and text[:1].islower()
+        starts_low = bool(initials) and text[:1].islower()
         resumes = bool(after) and after[:1].islower()
         place = 3 if cut_before and resumes and not starts_low else 2 if starts_low else 1 if not before or not after else 0
         out.append((page, count, end, case, marks, place))
@@ -116,7 +117,11 @@ def start_model(name: bool) -> dict:
 
 def posteriors(model: dict, features: list[tuple[int, ...]]) -> tuple[list[list[float]], list[list[list[float]]]]:
     """Forward-backward: label shares of each line and of each pair of neighbours."""
-    emit = [[math.prod(model["emit"][s][f][v] for f, v in enumerate(x)) for s in range(3)] for x in features]
+    known = model.setdefault("shares", {})
+    for x in features:
+        if x not in known:
+            known[x] = [math.prod(model["emit"][s][f][v] for f, v in enumerate(x)) for s in range(3)]
+    emit = [known[x] for x in features]
     step = model["next"]
     ahead = []
     for i, e in enumerate(emit):
@@ -157,10 +162,13 @@ def fitted(model: dict, counts: dict[str, float], weight: float = 0.02) -> dict:
 def viterbi(model: dict, features: list[tuple[int, ...]]) -> list[int]:
     if not features:
         return []
-    log = [[math.log(x) for x in r] for r in model["next"]]
+    log = model.setdefault("steps", [[math.log(x) for x in r] for r in model["next"]])
+    known = model.setdefault("logs", {})  # there are few kinds of lines
     best, paths = None, []
     for x in features:
-        e = [sum(math.log(model["emit"][s][f][v]) for f, v in enumerate(x)) for s in range(3)]
+        e = known.get(x)
+        if e is None:
+            e = known[x] = [sum(math.log(model["emit"][s][f][v]) for f, v in enumerate(x)) for s in range(3)]
         if best is None:
             best = [math.log(model["first"][s]) + e[s] for s in range(3)]
         else:
