@@ -1,8 +1,10 @@
-"""Parsers of formatted values to structs (F12-F31, F36, F42, F55) and the registry that resolves column keys."""
+"""Parsers of formatted values to structs (F12-F31, F36, F42, F55) and the registry that resolves column keys.
+
+What a value does not match gives null; a value that depends on a rating gives 0 and ``needs_rating``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,9 +18,9 @@ def first_int(v: Column) -> Column:
 
 
 def damage(v: Column) -> Column:
-    """'NP' or 'NS' to amount, stun flag and text; a special value has amount 0."""
-    n = F.regexp_extract(v, r"(\d+)", 1).try_cast("int")
-    return F.struct(F.coalesce(n, F.lit(0)).alias("dmg"), F.coalesce(F.upper(v).rlike(r"\d+\s*S"), F.lit(False)).alias("stun"), F.trim(v).alias("dmg_def"))
+    """one or two digits with P or S at the start to amount, stun flag and text; 'Special' has amount 0."""
+    n, kind = F.regexp_extract(v, r"^(\d{1,2})[PS]", 1).try_cast("int"), F.regexp_extract(v, r"^\d{1,2}([PS])", 1)
+    return F.struct(F.when(F.trim(v) == "Special", F.lit(0)).otherwise(n).alias("dmg"), F.coalesce(kind == "S", F.lit(False)).alias("stun"), F.trim(v).alias("dmg_def"))
 
 
 def fire_modes(v: Column, names: tuple[str, ...] = ("SS", "SA", "BF", "FA")) -> Column:
@@ -38,33 +40,32 @@ def ammo(v: Column) -> Column:
     return F.struct(F.coalesce(F.regexp_extract(v, r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("cap"), F.coalesce(v.rlike(r"/|\bor\b"), F.lit(False)).alias("alternative"))
 
 
-def rated(v: Column) -> Column:
-    """Does the value depend on a rating?"""
-    return F.coalesce(v.rlike(r"(?i)rating"), F.lit(False))
-
-
 def availability(v: Column) -> Column:
-    """F16: number, text and rating flag; a dash is 0."""
-    return F.struct(F.when(rated(v) | v.isNull() | v.rlike(DASH), F.lit(0)).otherwise(F.coalesce(first_int(v), F.lit(0))).cast("int").alias("avail"), F.trim(v).alias("avail_def"), rated(v).alias("needs_rating"))
+    """F16: leading number, text and rating flag; a dash and the word Rating are 0."""
+    rated = F.coalesce(F.trim(v) == "Rating", F.lit(False))
+    number = F.coalesce(F.regexp_extract(v, r"^\s*(\d+)", 1).try_cast("int"), F.lit(0))
+    return F.struct(F.when(rated, F.lit(0)).otherwise(number).alias("avail"), F.trim(v).alias("avail_def"), rated.alias("needs_rating"))
 
 
 def cost(v: Column) -> Column:
-    """money to a whole number; a formula gives 0, its text and the rating flag."""
-    formula = rated(v) | F.coalesce(v.rlike(r"[×x*]\s*\d|\+"), F.lit(False))
-    return F.struct(F.when(formula, F.lit(0)).otherwise(F.coalesce(first_int(F.regexp_replace(v, r"(?<=\d)[  ](?=\d)", "")), F.lit(0))).cast("bigint").alias("price"), F.when(formula, F.trim(v)).alias("price_def"), formula.alias("needs_rating"))
+    """money, with or without a plus sign, to a whole number; a formula (it starts with Rating, Force or Capacity) gives 0, its text and the rating flag."""
+    formula = F.coalesce(v.rlike(r"^\s*(?:Rating|Force|Capacity)"), F.lit(False))
+    price = F.coalesce(first_int(F.regexp_replace(v, "(?<=\\d)[ \u00a0](?=\\d)", "")), F.lit(0))
+    return F.struct(F.when(formula, F.lit(0)).otherwise(price).cast("bigint").alias("price"), F.when(formula, F.trim(v)).alias("price_def"), formula.alias("needs_rating"))
 
 
 def essence(v: Column) -> Column:
-    """decimal, 0 for a dash, null value and text for a formula."""
-    return F.struct(F.when(v.rlike(DASH) | v.isNull(), F.lit("0")).otherwise(F.trim(v)).try_cast("decimal(6,2)").alias("essence"), F.when(rated(v), F.trim(v)).alias("essence_def"))
+    """decimal, 0 for a dash; 0, text and rating flag for what starts with Rating."""
+    rated = F.coalesce(v.rlike(r"^\s*Rating"), F.lit(False))
+    number = F.when(rated | v.isNull() | v.rlike(DASH), F.lit("0")).otherwise(F.trim(v)).try_cast("decimal(6,2)")
+    return F.struct(number.alias("essence"), F.when(rated, F.trim(v)).alias("essence_def"), rated.alias("needs_rating"))
 
 
 def capacity(v: Column) -> Column:
-    """'[n]' takes up capacity, 'a-b' is a span, a dash nothing, else it gives capacity."""
-    lo = F.regexp_extract(v, r"(\d+)", 1).try_cast("int")
-    hi = F.coalesce(F.regexp_extract(v, r"\d+\s*[-–]\s*(\d+)", 1).try_cast("int"), lo)
-    takes = F.coalesce(v.rlike(r"^\s*\["), F.lit(False))
-    return F.struct(takes.alias("takes"), F.when(~v.rlike(DASH), lo).alias("low"), F.when(~v.rlike(DASH), hi).alias("high"))
+    """a number, in brackets or not; a dash is 0, the word Rating and a span give 0 and the rating flag."""
+    rated = F.coalesce(v.rlike(r"^\s*\[?Rating\]?\s*$") | (v.rlike("[-–—]") & ~v.rlike(DASH)), F.lit(False))
+    number = F.when(rated | v.rlike(DASH), F.lit(0)).otherwise(F.regexp_extract(v, r"^\s*\[?(\d+)\]?\s*$", 1).try_cast("int"))
+    return F.struct(number.alias("capacity"), rated.alias("needs_rating"))
 
 
 def defense(v: Column) -> Column:
@@ -78,9 +79,9 @@ def mount(v: Column) -> Column:
 
 
 def rating_span(v: Column) -> Column:
-    """'n/a' nothing, 'a-b' a span, 'n' both ends."""
-    lo = F.regexp_extract(v, r"^\s*(\d+)", 1).try_cast("int")
-    return F.struct(lo.alias("low"), F.coalesce(F.regexp_extract(v, r"[-–]\s*(\d+)", 1).try_cast("int"), lo).alias("high"))
+    """'n/a' nothing, a span the rating flag, else the number."""
+    span = F.coalesce(v.rlike("[-–—]"), F.lit(False))
+    return F.struct(F.when(~span, F.regexp_extract(v, r"^\s*(\d+)\s*$", 1).try_cast("int")).alias("rating"), span.alias("needs_rating"))
 
 
 def price_with_capacity(v: Column) -> Column:
@@ -143,12 +144,38 @@ def hook_count(v: Column, rating: Column) -> Column:
     return F.coalesce(F.floor(out), F.lit(0)).cast("bigint")
 
 
-#: Named columns; a key may also be 'kind:name'.
+#: Named columns.
 COLUMNS: dict[str, Callable[[Column], Column]] = {
-    "damage": damage, "modes": fire_modes, "attack_rating": attack_rating, "ammo": ammo, "avail": availability, "cost": cost, "essence": essence,
-    "capacity": capacity, "defense": defense, "mount": mount, "rating": rating_span, "price_capacity": price_with_capacity, "seats": seats, "on_off": on_off,
+    "dv": damage, "modes": fire_modes, "ar": attack_rating, "ammo": ammo, "avail": availability, "cost": cost, "essence": essence, "capacity": capacity,
+    "defense": defense, "mount": mount, "ratingspan": rating_span, "pricecap": price_with_capacity, "seat": seats,
+}
+#: Kinds of columns, named 'kind:name' ('onoff:name:name').
+KINDS: dict[str, Callable[[Column], Column]] = {
+    "int": lambda v: F.when(v.rlike(DASH), F.lit(0)).otherwise(first_int(v)), "plusint": defense, "onoff": on_off, "text": lambda v: F.trim(v),
+    "note": lambda v: F.trim(v), "pricecapnote": lambda v: F.trim(v),
 }
-KINDS: dict[str, Callable[[Column], Column]] = {"int": lambda v: F.coalesce(first_int(v), F.lit(0)), "plusint": defense, "onoff": on_off, "text": lambda v: F.trim(v), "note": mount, "pricecapnote": price_with_capacity}
+#: What a whole cell of a column looks like.
+PATTERNS = {
+    "dv": r"(?:\d{1,2}[PS](?:\([a-z]+\))?(?: \+ special)?|Special)",
+    "modes": r"(?:SS|SA|BF|FA)(?:/(?:SS|SA|BF|FA))*",
+    "ar": r"[0-9*—]+(?:/[0-9*—]+){4}",
+    "ammo": r"\d+(?:\([a-z]+\))?(?: or \d+\([a-z]+\))?",
+    "avail": r"(?:—|Rating|\d{1,2}L|\d{1,2}(?:\([A-Z]\))?)",
+    "cost": r"(?:(?:Rating(?:\^2)?|Force|Capacity) x [\d,]+¥|[+]?[\d,]+¥)",
+    "essence": r"(?:—|Rating x \d+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?)",
+    "capacity": r"(?:\[Rating\]|Rating|\[\d\]|[\d—]+)",
+    "defense": r"[+]?\d+",
+    "mount": r"(?:—|Top or Under|Top|Under|Barrel|Stock|Internal)",
+    "ratingspan": r"(?:n/a|\d{1,2}—\d{1,2}|\d{1,2})",
+    "pricecap": r"[\d,]+¥\(\d+\)",
+    "seat": r"(?:—|\d+(?:/\d+)?)",
+    "int": r"[\d—]+",
+    "plusint": r"[+]?\d+",
+    "onoff": r"\d+(?:/\d+)?",
+    "text": r"\S+",
+    "note": r"\S+",
+    "pricecapnote": r"[\d,]+¥\(\d+\)",
+}
 
 
 def resolve_column(key: str) -> tuple[str, Callable[[Column], Column]]:
@@ -159,3 +186,15 @@ def resolve_column(key: str) -> tuple[str, Callable[[Column], Column]]:
     if not name or kind not in KINDS:
         raise KeyError(key)
     return name, KINDS[kind]
+
+
+def column_pattern(key: str) -> str:
+    """what a whole cell of the column with that key looks like; KeyError if it is unknown."""
+    resolve_column(key)
+    return PATTERNS[key.partition(":")[0]]
+
+
+def row_cells(line: Column, keys: Sequence[str]) -> Column:
+    """The name and the cells of a table row whose columns have these keys, from the right; null if the line is no such row."""
+    pattern = "^(.+?)" + "".join(rf"\s+({column_pattern(k)})" for k in keys) + r"\s*$"
+    return F.when(line.rlike(pattern), F.array(*(F.regexp_extract(line, pattern, i + 1) for i in range(len(keys) + 1))))

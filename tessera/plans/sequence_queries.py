@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import sequence
 from tessera.plans.registry import registry
+from tessera.plans.text_queries import JOINED
 from tessera.session import table
 
 QUERIES, SQL, query = registry()
@@ -132,18 +133,24 @@ def triangular_cost(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (q * 5 * (q + 1) / 2).cast("bigint").alias("closed"), summed.cast("bigint").alias("summed"), rated.alias("rated"))
 
 
-@query(r"""
-SELECT doc_id, left(regexp_replace(CASE WHEN regexp_matches(t, '^[a-z]') THEN regexp_replace(t, '^[^.!?]*[.!?]\s*', '') ELSE t END, '([.!?])[^.!?]*$', '\1'), 3500) AS block FROM (SELECT doc_id,
-  trim(regexp_replace(replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)""")
+_CLEAN = r"""
+WITH d AS (SELECT doc_id, {joined} AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, t, regexp_extract(t, '(?s)[^\p{{L}}\p{{N}}_]([A-Z].*)$', 1) AS c FROM d),
+s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '^\p{{Ll}}') AND c <> '' THEN c ELSE t END AS t FROM c),
+h AS (SELECT doc_id, t, regexp_extract(left(t, 3500), '(?s)^(.+\.) ', 1) AS h FROM s),
+b AS (SELECT doc_id, t AS whole, CASE WHEN length(t) > 3500 AND h <> '' THEN h ELSE t END AS block FROM h),
+x AS (SELECT *, regexp_extract(whole || ' ', '(?s)^(.*[.!?]["''”’)]?)\s', 1) AS we, regexp_extract(block || ' ', '(?s)^(.*[.!?]["''”’)]?)\s', 1) AS be FROM b)
+SELECT doc_id, CASE WHEN NOT regexp_matches(whole, '[.!?"''”’)]$') AND we <> '' THEN we ELSE whole END AS whole,
+  CASE WHEN NOT regexp_matches(block, '[.!?"''”’)]$') AND be <> '' THEN be ELSE block END AS block FROM x""".format(joined=JOINED.format("text"))
+
+
+@query(f"SELECT doc_id, block FROM ({_CLEAN})")
 def clean_blocks(spark, sf_dir):
-    """running text from the first sentence start to the last sentence end, cut at 3,500 letters as its SQL is."""
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.substring(text.clean_block(F.split("text", "\n"), None), 1, 3500).alias("block"))
+    """running text that starts and ends with a sentence, of at most 3,500 letters."""
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.clean_block(F.split("text", "\n")).alias("block"))
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '(\w)-\n(\w)', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '^[a-z]') THEN regexp_replace(t, '^[^.!?]*[.!?]\s*', '') ELSE t END AS t FROM d), h AS (SELECT doc_id, t, regexp_extract(left(t, 3500), '(?s)^(.+\.) ', 1) AS h FROM s)
-SELECT doc_id, regexp_replace(t, '([.!?])[^.!?]*$', '\1') AS whole, regexp_replace(CASE WHEN length(t) > 3500 AND h <> '' THEN h ELSE t END, '([.!?])[^.!?]*$', '\1') AS block FROM h""")
+@query(_CLEAN)
 def whole_clean_blocks(spark, sf_dir):
     """clean running text without a bound, and ended at the last sentence end within 3,500 letters."""
     lines = F.split("text", "\n")

@@ -36,11 +36,9 @@ for _ligature, _letters in text.LIGATURES.items():
 
 @query(rf"""
 WITH d AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN regexp_replace(name, '([^\n])', '\1\1', 'g') ELSE name END AS name FROM item),
-t AS (SELECT row_id, replace({_PLAIN}, chr(173), '') AS t FROM d)
-SELECT row_id, array_to_string(list_transform(string_split(t, ' '), lambda w: CASE WHEN length(w) // 2 >= 3
-  AND 4 * len(list_filter(range(0, CAST(length(w) // 2 AS BIGINT)), lambda k: substr(w, CAST(2 * k + 1 AS BIGINT), 1) = substr(w, CAST(2 * k + 2 AS BIGINT), 1))) >= 3 * (length(w) // 2)
-  THEN array_to_string(list_transform(range(0, CAST(length(w) // 2 AS BIGINT)), lambda k: substr(w, CAST(2 * k + 1 AS BIGINT), 1)), '') || CASE WHEN length(w) % 2 = 1 THEN right(w, 1) ELSE '' END
-  ELSE w END), ' ') AS plain FROM t""")
+t AS (SELECT row_id, replace({_PLAIN}, chr(173), '') AS t FROM d), p AS (SELECT *, regexp_extract_all(regexp_replace(t, '\s+', '', 'g'), '(?s)..') AS pairs FROM t)
+SELECT row_id, CASE WHEN len(pairs) >= 3 AND 4 * len(list_filter(pairs, lambda x: left(x, 1) = right(x, 1))) >= 3 * len(pairs)
+  THEN replace(regexp_replace(regexp_replace(t, '(\S)\S', '\1' || chr(1), 'g'), '([^\s\x01])(\s|$)', '\1\1\2', 'g'), chr(1), '') ELSE t END AS plain FROM p""")
 def normalized_names(spark, sf_dir):
     """a third of the names has its glyphs doubled first."""
     doubled = F.when(F.col("row_id") % 3 == 0, F.regexp_replace("name", r"([^\n])", "$1$1")).otherwise(F.col("name"))
@@ -48,10 +46,12 @@ def normalized_names(spark, sf_dir):
 
 
 @query(r"""
-WITH n AS (SELECT row_id, name, regexp_replace(name, '\s*\([^)]*\)', '', 'g') AS bare FROM item WHERE name IS NOT NULL),
-k AS (SELECT row_id, unnest([name, bare, split_part(bare, '/', 1), regexp_replace(bare, '^([^,]+),\s*(.+)$', '\2 \1'), regexp_replace(bare, '\s+(?:\S*\d\S*|[IVX]+)$', '')]) AS k FROM n),
+WITH n AS (SELECT row_id, name, regexp_replace(name, '\s*\(.*?\)$', '') AS bare FROM item WHERE name IS NOT NULL),
+h AS (SELECT *, CASE WHEN contains(bare, '/') THEN regexp_replace(split_part(bare, '/', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS head FROM n),
+k AS (SELECT row_id, unnest([name, bare, head, regexp_replace(head, '\s+\S+$', ''), CASE WHEN contains(bare, ',') THEN substr(bare, instr(bare, ',') + 1) || ' ' || split_part(bare, ',', 1) END,
+  CASE WHEN contains(bare, ',') THEN split_part(bare, ',', 1) END]) AS k FROM h),
 m AS (SELECT row_id, regexp_replace(lower(replace(k, 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS k FROM k),
-p AS (SELECT row_id, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM m)
+p AS (SELECT row_id, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM m WHERE k <> '')
 SELECT row_id, string_agg(DISTINCT k, '|' ORDER BY k) AS keys FROM p WHERE k <> '' GROUP BY row_id""")
 def heading_keys(spark, sf_dir):
     """F7, F8."""
@@ -60,9 +60,10 @@ def heading_keys(spark, sf_dir):
 
 
 @query(r"""
-WITH v AS (SELECT row_id, unnest([trim(name, ' '), trim(regexp_extract(name, '^([^,/]+)', 1)), trim(regexp_extract(name, '[,/]\s*(.+)$', 1)),
-  CASE WHEN trim(regexp_extract(name, '[,/]\s*(.+)$', 1)) <> '' THEN regexp_extract(name, '^(\S+)', 1) || ' ' || trim(regexp_extract(name, '[,/]\s*(.+)$', 1)) END]) AS v
-  FROM (SELECT correction_id AS row_id, ref.name AS name FROM correction))
+WITH n AS (SELECT row_id, name, contains(name, '/') AS two, regexp_replace(split_part(name, '/', 1), '[\s\p{Z}]+$', '') AS head, regexp_replace(substr(name, instr(name, '/') + 1), '^[\s\p{Z}]+', '') AS tail
+  FROM (SELECT correction_id AS row_id, regexp_replace(ref.name, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS name FROM correction)),
+v AS (SELECT row_id, unnest([name, CASE WHEN two AND head <> '' AND tail <> '' THEN head || '/' || tail END, CASE WHEN two THEN head END, CASE WHEN two THEN tail END,
+  CASE WHEN two AND tail <> '' AND regexp_matches(head, '\S\s+\S') THEN regexp_extract(head, '^(\S+)', 1) || ' ' || tail END]) AS v FROM n)
 SELECT row_id, string_agg(DISTINCT v, '|' ORDER BY v) AS variants FROM v WHERE v <> '' GROUP BY row_id""")
 def name_variants(spark, sf_dir):
     """F9."""
@@ -70,9 +71,12 @@ def name_variants(spark, sf_dir):
     return rows.select("row_id", F.array_join(F.array_sort(text.name_variants(F.col("name"))), "|").alias("variants")).filter("variants <> ''")
 
 
-@query(r"""
-SELECT row_id, trim(regexp_replace(replace(regexp_replace(array_to_string(list_transform(string_split(system.description, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)),
-  '(\w)-\n(\w)', '\1\2', 'g'), chr(10), ' '), '\s+', ' ', 'g')) AS running FROM item WHERE system.description IS NOT NULL""")
+#: SQL of lines joined to running text; {0} is the text.
+JOINED = r"""regexp_replace(regexp_replace(replace(array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(x, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), chr(10)), '-' || chr(10), ''),
+  '[\s\p{{Z}}]+', ' ', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"""
+
+
+@query("SELECT row_id, regexp_replace(" + JOINED.format("system.description") + r", ' \S*-$', '') AS running FROM item WHERE system.description IS NOT NULL")
 def dehyphenated(spark, sf_dir):
     """F10."""
     return _items(spark, sf_dir).filter("system.description is not null").select("row_id", text.dehyphenate(F.split("system.description", "\n")).alias("running"))
@@ -80,12 +84,12 @@ def dehyphenated(spark, sf_dir):
 
 @query(r"""
 WITH p AS (SELECT DISTINCT correction_id, system.price AS p, system.avail AS a FROM correction),
-f AS (SELECT *, coalesce(regexp_matches(p, '(?i)rating') OR regexp_matches(p, '[×x*]\s*\d|\+'), false) AS formula, coalesce(regexp_matches(a, '(?i)rating'), false) AS rated FROM p)
+f AS (SELECT *, coalesce(regexp_matches(p, '^\s*(?:Rating|Force|Capacity)'), false) AS formula, coalesce(trim(a, ' ') = 'Rating', false) AS rated, coalesce(regexp_matches(a, '^\s*Rating'), false) AS per FROM p)
 SELECT correction_id,
   CASE WHEN formula THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(regexp_replace(regexp_replace(p, '(\d)[ \x{A0}](\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g'), '(\d+)', 1) AS BIGINT), 0) END AS price,
   CASE WHEN formula THEN trim(p, ' ') END AS price_def, formula AS needs_rating,
-  CASE WHEN rated OR a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(regexp_replace(a, '(\d),(\d)', '\1\2', 'g'), '(\d+)', 1) AS INTEGER), 0) END AS avail,
-  TRY_CAST(CASE WHEN a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN '0' ELSE trim(a, ' ') END AS DOUBLE) AS essence
+  CASE WHEN rated THEN 0 ELSE coalesce(TRY_CAST(regexp_extract(a, '^\s*(\d+)', 1) AS INTEGER), 0) END AS avail,
+  TRY_CAST(CASE WHEN per OR a IS NULL OR regexp_matches(a, '^\s*[-–—]?\s*$') THEN '0' ELSE trim(a, ' ') END AS DOUBLE) AS essence
 FROM f""")
 def parsed_prices(spark, sf_dir):
     """Free text to numbers, formulas kept as text."""
@@ -95,24 +99,25 @@ def parsed_prices(spark, sf_dir):
 
 
 @query(r"""
-WITH r AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS f FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q AS dmg, f = 'R' AS stun, f = 'A' AS ss, f = 'N' AS fa, q AS ar1, 0 AS ar3, l_linenumber AS cap, false AS takes, q AS low, q + 2 AS high,
+WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INTEGER) AS q, l_returnflag AS f FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q AS dmg, f = 'R' AS stun, f = 'A' AS ss, f = 'N' AS fa, q AS ar1, 0 AS ar3, l_linenumber AS cap, CASE WHEN f = 'N' THEN 0 ELSE q END AS capacity, f = 'N' AS span, CASE WHEN f <> 'N' THEN q END AS rating,
   l_linenumber AS defense, CASE WHEN f = 'N' THEN NULL ELSE f END AS mount, CAST(q * 1000 AS BIGINT) AS price, l_linenumber AS price_capacity, l_linenumber AS seats, f AS seat_note, q AS onroad, q + 1 AS offroad,
   q AS value, f AS flag FROM r""")
 def parsed_codes(spark, sf_dir):
-    """F12-F15, F19-F25, F31, F36 on texts formatted from whole lineitem rows."""
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("f")).distinct()
+    """F12-F15, F19-F25, F31, F36 on texts formatted from all lineitem rows."""
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("f"))
     q, n, f = F.col("q").cast("string"), F.col("l_linenumber").cast("string"), F.col("f")
     columns = {key: parse.resolve_column(key)[1] for key in parse.COLUMNS}
     out = r.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-        columns["damage"](F.concat(q, F.when(f == "R", "S").otherwise("P"))).alias("d"), columns["modes"](F.when(f == "A", "SS/BF").when(f == "N", "sa,FA").otherwise("-")).alias("m"),
-        columns["attack_rating"](F.concat(q, F.lit("*/5/–"))).alias("ar"), columns["ammo"](F.concat(n, F.lit("(c)"))).alias("am"), columns["capacity"](F.concat(q, F.lit("–"), (F.col("q") + 2).cast("string"))).alias("cap"),
+        columns["dv"](F.concat(q, F.when(f == "R", "S").otherwise("P"))).alias("d"), columns["modes"](F.when(f == "A", "SS/BF").when(f == "N", "sa,FA").otherwise("-")).alias("m"),
+        columns["ar"](F.concat(q, F.lit("*/5/–"))).alias("ar"), columns["ammo"](F.concat(n, F.lit("(c)"))).alias("am"), columns["capacity"](F.when(f == "N", F.concat(q, F.lit("—"), (F.col("q") + 2).cast("string"))).otherwise(F.concat(F.lit("["), q, F.lit("]")))).alias("cap"),
+        columns["ratingspan"](F.when(f == "N", F.concat(F.lit("1—"), q)).otherwise(q)).alias("rs"),
         columns["defense"](F.concat(F.lit("+"), n)).alias("defense"), columns["mount"](F.when(f == "N", "—").otherwise(F.concat(F.lit(" "), f))).alias("mount"),
-        columns["price_capacity"](F.concat(q, F.lit(",000¥("), n, F.lit(")"))).alias("pc"), columns["seats"](F.concat(n, F.lit("/"), f)).alias("s"),
-        columns["on_off"](F.concat(q, F.lit("/"), (F.col("q") + 1).cast("string"))).alias("oo"), parse.flags_of(F.concat(q, F.lit("P("), f, F.lit(")"))).alias("fl"),
+        columns["pricecap"](F.concat(q, F.lit(",000¥("), n, F.lit(")"))).alias("pc"), columns["seat"](F.concat(n, F.lit("/"), f)).alias("s"),
+        parse.KINDS["onoff"](F.concat(q, F.lit("/"), (F.col("q") + 1).cast("string"))).alias("oo"), parse.flags_of(F.concat(q, F.lit("P("), f, F.lit(")"))).alias("fl"),
     )
-    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "d.dmg", "d.stun", "m.ss", "m.fa", F.col("ar")[0].alias("ar1"), F.col("ar")[2].alias("ar3"), "am.cap", "cap.takes", "cap.low", "cap.high", "defense", "mount", "pc.price", F.col("pc.capacity").alias("price_capacity"), "s.seats", F.col("s.note").alias("seat_note"), F.col("oo.on").alias("onroad"), F.col("oo.off").alias("offroad"), "fl.value", F.col("fl.flags")[0].alias("flag"))
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "d.dmg", "d.stun", "m.ss", "m.fa", F.col("ar")[0].alias("ar1"), F.col("ar")[2].alias("ar3"), "am.cap", "cap.capacity", F.col("cap.needs_rating").alias("span"), "rs.rating", "defense", "mount", "pc.price", F.col("pc.capacity").alias("price_capacity"), "s.seats", F.col("s.note").alias("seat_note"), F.col("oo.on").alias("onroad"), F.col("oo.off").alias("offroad"), "fl.value", F.col("fl.flags")[0].alias("flag"))
 
 
 @query(r"""
@@ -160,14 +165,13 @@ def composed_texts(spark, sf_dir):
     )
 
 
-_STRIP = "text"
-for _pattern, _to in ((r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"(?s)<ref[^>]*>.*?</ref>|<ref[^>]*/>", ""), (r"<[^>]+>", ""), (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1"), (r"\[https?://\S+ ([^\]]*)\]", r"\1"), (r"''{2,}", ""), (r"__[A-Z]+__", "")):
-    _STRIP = f"regexp_replace({_STRIP}, '{_pattern}', '{_to}', 'g')"
-
-
-@query(rf"""
-WITH s AS (SELECT doc_id, {_STRIP} AS plain FROM documents)
-SELECT doc_id, plain, left(regexp_replace(trim(list_filter(string_split(plain, chr(10)), lambda x: length(trim(x, ' ')) >= 40 AND NOT regexp_matches(trim(x, ' '), '^[=*#|{{!:;<]'))[1], ' '), '\s+', ' ', 'g'), 600) AS lead FROM s""")
+@query(r"""
+WITH b AS (SELECT doc_id, regexp_replace(text, '\{\{(?:[^{}]|\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\})*\}\}', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s:<ref(?:\s[^>]*[^/>])?>.*?</ref>)|<[^>]+>|''''''?|__[A-Z]+__', '', 'g'), '\[\[(?:[^\]|]*\|)?([^\]]+)\]\]', '\1', 'g') AS plain FROM b),
+l AS (SELECT doc_id, plain, unnest(list_transform(regexp_split_to_array(plain, '[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))) AS line,
+  generate_subscripts(regexp_split_to_array(plain, '[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), 1) AS k FROM s)
+SELECT s.doc_id, s.plain, left(regexp_replace(f.line, '[\s\p{Z}]+', ' ', 'g'), 1200) AS lead FROM s LEFT JOIN
+  (SELECT doc_id, first(line ORDER BY k) AS line FROM l WHERE length(line) >= 60 AND NOT regexp_matches(line, '^[{|!=\[*#:;]|^(?i:file:|image:|category:|redirect)') GROUP BY doc_id) f ON f.doc_id = s.doc_id""")
 def stripped_markup(spark, sf_dir):
     """F68, F69."""
     s = table(spark, sf_dir, "documents").select("doc_id", text.strip_markup(F.col("text")).alias("plain"))
