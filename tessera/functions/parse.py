@@ -144,6 +144,18 @@ def hook_count(v: Column, rating: Column) -> Column:
     return F.coalesce(F.floor(out), F.lit(0)).cast("bigint")
 
 
+#: Attributes that go by another name where they are nested.
+NESTED_NAMES = {"ess": "essence", "magres": "mag"}
+
+
+def nest_attributes(attributes: Column) -> Column:
+    """a flat map (name to number or text) to a map of structs {base}; what is no number is 0, two names change (the last of both counts)."""
+    table = F.create_map(*[F.lit(x) for kv in NESTED_NAMES.items() for x in kv])
+    entries = F.transform(F.map_entries(attributes), lambda e: F.struct(F.coalesce(F.try_element_at(table, e["key"]), e["key"]).alias("k"), F.struct(js_number(e["value"]).alias("base")).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
 #: Named columns.
 COLUMNS: dict[str, Callable[[Column], Column]] = {
     "dv": damage, "modes": fire_modes, "ar": attack_rating, "ammo": ammo, "avail": availability, "cost": cost, "essence": essence, "capacity": capacity,

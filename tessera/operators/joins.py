@@ -56,14 +56,16 @@ def unique_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return only(left).join(only(right), list(keys))
 
 
-def unique_suffix(names: DataFrame, name: str, suffixes: DataFrame, suffix: str, least: int) -> DataFrame:
-    """Suffixes of at least ``least`` characters that end exactly one distinct name: ``suffix``, ``name``.
+def unique_suffix(names: DataFrame, name: str, suffixes: DataFrame, suffix: str, least: int, claimed: DataFrame | None = None) -> DataFrame:
+    """Suffixes of at least ``least`` characters that end exactly one other distinct name that is not ``claimed`` (a column ``name``): ``suffix``, ``name``.
 
     Each name meets only the suffixes that end in its last ``least`` characters.
     """
     a = names.select(F.col(name).alias("name")).distinct().withColumn("__k", F.right("name", F.lit(least)))
+    a = a if claimed is None else a.join(claimed.select("name"), "name", "left_anti")
     b = suffixes.select(F.col(suffix).alias("suffix")).filter(F.length(suffix) >= least).distinct().withColumn("__k", F.right("suffix", F.lit(least)))
-    return a.join(b, "__k").filter(F.col("name").endswith(F.col("suffix"))).groupBy("suffix").agg(F.count(F.lit(1)).alias("__n"), F.min("name").alias("name")).filter("__n = 1").drop("__n")
+    hits = a.join(b, "__k").filter(F.col("name").endswith(F.col("suffix")) & (F.col("name") != F.col("suffix")))
+    return hits.groupBy("suffix").agg(F.count(F.lit(1)).alias("__n"), F.min("name").alias("name")).filter("__n = 1").drop("__n")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], right_wins: Sequence[str] = ()) -> DataFrame:
@@ -100,6 +102,18 @@ def cascade(rows: DataFrame, tiers: Sequence[tuple[DataFrame, Sequence[str], str
     return out.select(*rows.columns, F.coalesce(*hits).alias("target"), tier.alias("tier"))
 
 
+def correction_targets(corrections: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """``corrections`` (domain, id, name, book) with ``target`` (the ``item`` key) and ``tier``: the first item of the id in the stated domain, else of the only
+    other domain that holds the id, else the only one of the name, in any case, and book. ``items``: domain, id, name, book."""
+    named = items.filter("id is not null")
+    stated = named.groupBy("domain", "id").agg(F.min(item).alias("target"))
+    elsewhere = named.groupBy("id").agg(F.count_distinct("domain").alias("n"), F.min(item).alias("target")).filter("n = 1").drop("n")
+    folded = F.lower(F.trim("name"))
+    called = items.withColumn("__n", folded).groupBy("__n", "book").agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("target")).filter("n = 1").drop("n")
+    rows = corrections.withColumn("__n", folded)
+    return cascade(rows, [(stated, ["domain", "id"], "target"), (elsewhere, ["id"], "target"), (called, ["__n", "book"], "target")]).drop("__n")
+
+
 def prefix_anti(names: DataFrame, name: str) -> DataFrame:
     """Distinct names whose words are no proper prefix of another's words."""
     words = names.select(F.col(name).alias("name")).distinct().withColumn("__w", F.split("name", " "))
@@ -107,14 +121,33 @@ def prefix_anti(names: DataFrame, name: str) -> DataFrame:
     return words.select("name").join(prefixes.distinct(), "name", "left_anti")
 
 
-def token_overlap(rows: DataFrame, key: str, tokens: Column, library: DataFrame, entry: str, entry_tokens: Column, least: int) -> DataFrame:
-    """The entry that shares most distinct tokens with each row, ``least`` at least; ties: shorter, then smaller entry."""
-    a = rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(tokens)).alias("__t"))
-    b = library.select(F.col(entry).alias("entry"), F.explode(F.array_distinct(entry_tokens)).alias("__t"))
-    score = a.join(b, "__t").groupBy("key", "entry").agg(F.count(F.lit(1)).alias("score")).filter(F.col("score") >= least)
-    best = score.groupBy("key").agg(F.max(F.struct("score", (-F.length("entry")).alias("l"), )).alias("b"))
-    tied = score.join(best, "key").filter((F.col("score") == F.col("b.score")) & (-F.length("entry") == F.col("b.l")))
-    return tied.groupBy("key").agg(F.min("entry").alias("entry"), F.max("score").alias("score"))
+def token_overlap(
+    rows: DataFrame, key: str, tokens: Column, library: DataFrame, entry: str, entry_tokens: Column, least: int, context: Column | None = None, hot: int = 1000
+) -> DataFrame:
+    """The entry that shares most with each row: a token counts 1, with ``context`` tokens beside it 2, and those 1; a token must be shared and the score be
+    ``least`` at least; ties: shorter, then smaller entry.
+
+    A token that more than a ``hot``-th of the entries have pairs nothing by itself: rows and entries that share another token too, or a context one, meet by both; of the
+    entries that share no more than it only the shortest can win, and that is known beforehand."""
+    a = rows.select(F.col(key).alias("key"), F.array_distinct(tokens).alias("__a"), (F.array() if context is None else F.array_distinct(context)).cast("array<string>").alias("__x"))
+    b = library.select(F.col(entry).alias("entry"), F.array_distinct(entry_tokens).alias("__b"))
+    words = b.select("entry", F.explode("__b").alias("__t"))
+    counted = words.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"), F.min(F.struct(F.length("entry").alias("l"), F.col("entry").alias("e"))).alias("__s"))
+    common = counted.filter(F.col("__n") > max(100, b.count() // hot)).select("__t", F.col("__s.e").alias("__hot"))
+
+    def blocks(df: DataFrame, beside: Column) -> DataFrame:
+        each = df.withColumn("__t", F.explode(df.columns[1])).join(common, "__t", "left")
+        pairs = F.transform(F.filter(beside, lambda t: t != F.col("__t")), lambda t: F.concat_ws("\0", F.array_sort(F.array(t, F.col("__t")))))
+        return each.withColumn("__k", F.when(F.col("__hot").isNull(), F.array("__t")).otherwise(pairs))
+
+    said = blocks(a, F.array_union("__a", "__x"))
+    known = blocks(b, F.col("__b")).select("entry", F.explode("__k").alias("__k")).distinct()
+    met = said.select("key", F.explode("__k").alias("__k")).join(known, "__k").select("key", "entry")
+    met = met.unionByName(said.filter("__hot is not null").select("key", F.col("__hot").alias("entry"))).distinct()
+    shared = lambda c: F.size(F.array_intersect(c, "__b"))
+    weight = 1 if context is None else 2
+    score = met.join(a, "key").join(b, "entry").withColumn("score", (shared("__a") * weight + shared("__x")).cast("bigint")).filter((shared("__a") > 0) & (F.col("score") >= least))
+    return score.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.length("entry").alias("l"), F.col("entry").alias("e"))).alias("b")).select("key", F.col("b.e").alias("entry"), (-F.col("b.s")).alias("score"))
 
 
 def margin_pages(hits: DataFrame, group: Sequence[str], page: str, margin: int = 1) -> DataFrame:
@@ -123,35 +156,53 @@ def margin_pages(hits: DataFrame, group: Sequence[str], page: str, margin: int =
     return hits.select(*group, around.alias(page)).distinct()
 
 
-def merge_ordered(rows: DataFrame, key: str, order: str, stats: Sequence[str]) -> DataFrame:
-    """Rows in order against what was accepted before: 'new' for the first of a key, 'reference' if the defining stats agree with
-    an accepted row (the first that does), else 'variant', which is accepted too. ``rows``, ``outcome``, ``matched``.
+def merge_ordered(rows: DataFrame, key: str, order: str, stats: Sequence[str], exact: Sequence[str] = (), reprint: str | None = None) -> DataFrame:
+    """Rows in order against what was accepted before: 'new' for the first of a key, 'reference' if they are the same as
+    an accepted row (the first that is), else 'variant', which is accepted too. ``rows``, ``outcome``, ``matched``. Rows whose ``reprint`` is true are 'skipped': they are
+    neither accepted nor matched.
 
-    Two stats agree if either is null or both are equal; that is no equivalence, so the fold is in order. Rows of equal stats share an
-    outcome but for the first, so the fold sees each set of stats once; keys never meet.
+    Two rows are the same if their ``exact`` columns (the price) are equal or both null and no two ``stats`` differ where both have one; that is no equivalence, so the fold
+    is in order. Rows of equal stats share an outcome but for the first, so the fold sees each set of stats once, and compares it with those of its price only; keys never meet.
     """
-    signature = F.xxhash64(*(F.coalesce(F.col(s).cast("string"), F.lit("\x00")) for s in stats))
-    tagged = rows.withColumn("__sig", signature)
-    distinct = tagged.groupBy(key, "__sig").agg(F.min(order).alias("__first"), *(F.any_value(F.col(s).cast("string")).alias(f"__s{i}") for i, s in enumerate(stats)))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    again = F.coalesce(F.col(reprint), F.lit(False)) if reprint else F.lit(False)
+    tagged = rows.withColumn("__sig", F.xxhash64(*map(shown, [*stats, *exact]))).withColumn("__again", again)
+    price = F.to_json(F.struct(*(F.col(c).cast("string") for c in exact)), {"ignoreNullFields": "false"}) if exact else F.lit("")
+    distinct = tagged.filter(~F.col("__again")).groupBy(key, "__sig").agg(F.min(order).alias("__first"), F.any_value(price).alias("__price"), *(F.any_value(F.col(s).cast("string")).alias(f"__s{i}") for i, s in enumerate(stats)))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def start():
-        accepted: list[tuple] = []
+        accepted: dict[str, list[tuple]] = {}
 
         def step(row):
-            own = row[3:]
-            hit = next((f for f, s in accepted if all(a is None or b is None or a == b for a, b in zip(own, s))), None)
-            outcome = "reference" if hit is not None else "variant" if accepted else "new"
+            own = row[4:]
+            same = accepted.setdefault(row[3], [])
+            hit = next((f for f, s in same if all(a is None or b is None or a == b for a, b in zip(own, s))), None)
+            outcome = "reference" if hit is not None else "variant" if len(accepted) > 1 or same else "new"
             if hit is None:
-                accepted.append((row[2], own))
+                same.append((row[2], own))
             return [(*row[:3], outcome, hit if hit is not None else row[2])]
 
         return step, list
 
     folded = fold_sorted(distinct, [key], ["__first"], start, f"{key} {kinds[key]}, __sig bigint, __first {kinds[order]}, outcome string, matched {kinds[order]}")
-    out = tagged.join(folded, [key, "__sig"])
-    outcome = F.when(F.col(order) == F.col("__first"), F.col("outcome")).otherwise(F.lit("reference"))
-    return out.select(*rows.columns, outcome.alias("outcome"), "matched")
+    out = tagged.join(folded, [key, "__sig"], "left")
+    outcome = F.when(F.col("__again"), F.lit("skipped")).when(F.col(order) == F.col("__first"), F.col("outcome")).otherwise(F.lit("reference"))
+    return out.select(*rows.columns, outcome.alias("outcome"), F.when(~F.col("__again"), F.col("matched")).alias("matched"))
+
+
+def nearest_in_reach(left: DataFrame, right: DataFrame, keys: Sequence[str], left_key: str, right_key: str, x: str, y: str, reach: float = 40.0) -> DataFrame:
+    """``left_key, right_key, distance``: the nearest point of the right for each of the left with the same keys, closer than ``reach``; ties: smallest right key.
+
+    Points meet by square cells of that size, the right ones put into the nine cells around theirs, so no page's points are all paired.
+    """
+    cell = lambda c, d=0: (F.floor(F.col(c) / reach) + d).cast("bigint")
+    around = F.array(*(F.struct(cell(x, i).alias("cx"), cell(y, j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = left.select(*keys, F.col(left_key).alias("__l"), F.col(x).alias("__x"), F.col(y).alias("__y"), cell(x).alias("cx"), cell(y).alias("cy"))
+    b = right.select(*keys, F.col(right_key).alias("__r"), F.col(x).alias("__u"), F.col(y).alias("__v"), F.explode(around).alias("c")).select(*keys, "__r", "__u", "__v", "c.*")
+    distance = F.sqrt((F.col("__x") - F.col("__u")) * (F.col("__x") - F.col("__u")) + (F.col("__y") - F.col("__v")) * (F.col("__y") - F.col("__v")))
+    near = a.join(b, [*keys, "cx", "cy"]).withColumn("d", distance).filter(F.col("d") < reach)
+    return near.groupBy("__l").agg(F.min(F.struct("d", "__r")).alias("b")).select(F.col("__l").alias(left_key), F.col("b.__r").alias(right_key), F.col("b.d").alias("distance"))
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
@@ -192,6 +243,42 @@ def weighted_evidence(branches: Sequence[DataFrame], keys: Sequence[str]) -> Dat
     return union.groupBy(*keys).agg(F.least(F.lit(1.0), F.round(F.sum("weight"), 6)).alias("score"))
 
 
+#: Words that tell no title, and what each kind of evidence weighs.
+TITLE_STOPWORDS = ("the", "of", "and", "a", "an", "in", "to", "for")
+WEIGHTS = {"code": 0.90, "weaker code": 0.25, "metadata": 0.60, "cover": 0.35, "front": 0.45}
+
+
+def title_words(text: Column, stopwords: Sequence[str] = TITLE_STOPWORDS) -> Column:
+    """The distinct words of two letters or more that tell a title."""
+    return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
+
+
+def identify(signals: DataFrame, file: str, registry: DataFrame, slug: str, order: str) -> DataFrame:
+    """``file, slug, score`` of the books each file may be, 1 at most. ``signals``: codes (map from code to weight), title, cover, text; ``registry``: title, cat and the
+    ``order`` in which books are tried.
+
+    The code of largest weight counts most, others little; the first title whose words are all in the file's metadata or on its cover counts; only where all that finds
+    nothing does a title in the front matter, if no other is there. Titles meet files by their words.
+    """
+    plain = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.trim(F.replace(F.upper(c), F.lit("CAT"), F.lit(""))), "^0+", ""), F.lit("")), F.trim(F.replace(F.upper(c), F.lit("CAT"), F.lit(""))))
+    books = registry.select(F.col(slug).alias("slug"), F.col(order).alias("o"), title_words(F.col("title")).alias("tw"), plain(F.col("cat")).alias("cat"))
+    by_code = books.filter("cat <> ''").groupBy("cat").agg(F.min_by("slug", "o").alias("slug"))
+    codes = signals.select(F.col(file).alias("file"), F.array_max(F.map_values("codes")).alias("top"), F.explode("codes").alias("code", "w")).withColumn("cat", plain(F.col("code")))
+    found = codes.join(by_code, "cat").select("file", "slug", F.when(F.col("w") == F.col("top"), WEIGHTS["code"]).otherwise(WEIGHTS["weaker code"]).alias("weight"))
+    titles = books.filter(F.size("tw") > 0)
+    words = titles.select("slug", "o", F.size("tw").alias("n"), F.explode("tw").alias("word"))
+
+    def holding(column: str) -> DataFrame:
+        said = signals.select(F.col(file).alias("file"), F.explode(title_words(F.col(column))).alias("word"))
+        return said.join(words, "word").groupBy("file", "slug", "o", "n").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n")
+
+    for column, kind in (("title", "metadata"), ("cover", "cover")):
+        found = found.unionByName(holding(column).groupBy("file").agg(F.min_by("slug", "o").alias("slug")).select("file", "slug", F.lit(WEIGHTS[kind]).alias("weight")))
+    front = holding("text").groupBy("file").agg(F.min("slug").alias("slug"), F.count(F.lit(1)).alias("n")).filter("n = 1").join(found.select("file").distinct(), "file", "left_anti")
+    found = found.unionByName(front.select("file", "slug", F.lit(WEIGHTS["front"]).alias("weight")))
+    return weighted_evidence([found], ["file", "slug"]).select(F.col("file").alias(file), F.col("slug").alias(slug), F.round("score", 2).alias("score"))
+
+
 def claim_once(candidates: DataFrame, claimant: str, claimed: str, rank: Sequence[Column]) -> DataFrame:
     """Each claimant's best candidate; of those that want the same, the first by rank gets it, the others are duplicates."""
     best = candidates.withColumn("__r", F.row_number().over(Window.partitionBy(claimant).orderBy(*rank, claimed))).filter("__r = 1")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, lookup_with_heavy, stored
 
 
 def segmenter(counts: Mapping[str, int], longest: int | None = None, total: int | None = None) -> Callable[[str], list[str]]:
@@ -139,31 +139,50 @@ def expand_nested(roots: DataFrame, root: str, edges: DataFrame, parent: str, ch
     return done.filter("depth > 0").distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
     """``node, component`` (its smallest node), by alternating large-star and small-star steps: edges of a node go to its smallest
-    neighbour. Every step is an aggregate and a join, and a hub's list is never collected; the number of steps grows with the logarithm of the size."""
+    neighbour. Every step is an aggregate and a join; a hub's neighbours are spread by ``lookup_with_heavy``, so they neither form a list nor meet one
+    task. The number of steps grows with the logarithm of the size."""
+
     def clean(df: DataFrame) -> DataFrame:
         return df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     all_edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    state = cut(clean(all_edges))
+    state = stored(clean(all_edges))
+    before = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    size = before[0]
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = clean(both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        met = lookup_with_heavy(both.filter("v > u"), lowest, ["u"], ["m"], "n", 2 * size, F.xxhash64("v"))
+        large = stored(clean(met.select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = lookup_with_heavy(large, least, ["u"], ["m"], "n", size, F.xxhash64("v"))
         small = clean(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
-        following = cut(small)
-        same = following.join(state, ["u", "v"], "left_anti").isEmpty() and state.join(following, ["u", "v"], "left_anti").isEmpty()
-        state = following
-        if same:
+        state = stored(small)
+        # Two sums of hashes tell whether the set of edges has changed; no join is needed.
+        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
+        before, size = now, now[0]
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     nodes = all_edges.select(F.col("u").alias("node")).unionByName(all_edges.select(F.col("v").alias("node"))).filter("node is not null").distinct()
     found = state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def caption_bands(words: DataFrame, keys: Sequence[str], word: str, x0: str, x1: str, top: str, apart: float = 9.0, gap: float = 34.0) -> DataFrame:
+    """``word, component``: words of the same keys (a page) linked where their tops differ by ``apart`` at most and the gap between them by ``gap`` at most, across the
+    line. Words meet by strips of ``apart``, each also in the next one, so a page's words are not all paired."""
+    w = words.select(*keys, F.col(word).alias("w"), F.col(x0).alias("l"), F.col(x1).alias("r"), F.col(top).alias("t"), F.floor(F.col(top) / apart).alias("strip"))
+    other = w.select(*keys, F.explode(F.array(F.col("strip"), F.col("strip") - 1)).alias("strip"), F.col("w").alias("w2"), F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("t").alias("t2"))
+    near = (F.abs(F.col("t") - F.col("t2")) <= apart) & (F.greatest("l", "l2") - F.least("r", "r2") <= gap) & (F.col("w") != F.col("w2"))
+    edges = w.join(other, [*keys, "strip"]).filter(near).select("w", "w2")
+    linked = connected_components(edges.unionByName(w.select("w", F.col("w").alias("w2"))), "w", "w2")
+    return linked.select(F.col("node").alias(word), "component")
+
+
 def spatial_relation(rect: tuple[Column, Column, Column, Column], line: tuple[Column, Column, Column, Column]) -> Column:
     """Where a line lies to a rectangle (x0, y0, x1, y1): inside if its centre is, below or above if they overlap by a fifth of the
     narrower width, else beside."""

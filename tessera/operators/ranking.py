@@ -104,3 +104,16 @@ def penalised(df: DataFrame, item: str, name: str, score: str) -> DataFrame:
     out = df.join(names, item)
     best = (F.col(score) == F.col("__best.s")) & F.col(name).eqNullSafe(F.col("__best.n"))
     return out.withColumn(score, F.col(score) - 22 * (F.col("__names") - 1) - F.when(best, 0).otherwise(20)).drop("__names", "__best")
+
+
+def resolve_pictures(df: DataFrame, picture: str, item: str, name: str, kind: str, score: str, order: str) -> DataFrame:
+    """Rows (a picture may show an item) with ``rivals`` and ``score`` changed: where a picture has captions its headings are dropped; 22 off for each further name
+    that a picture may show, 20 off for every row of an item but its best (ties: smallest ``order``)."""
+    per_picture = df.groupBy(picture).agg(
+        F.max(F.col(kind) == "caption").alias("__captions"), F.count_distinct(F.when(F.col(kind) == "caption", F.col(name))).alias("__named"), F.count_distinct(name).alias("__all")
+    )
+    kept = df.join(per_picture, picture).filter(~F.col("__captions") | (F.col(kind) == "caption"))
+    rivals = F.when(F.col("__captions"), F.col("__named")).otherwise(F.col("__all"))
+    scored = kept.withColumn("rivals", rivals).withColumn(score, F.col(score) - 22 * (rivals - 1)).drop("__captions", "__named", "__all")
+    best = scored.groupBy(item).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(order).alias("o"))).alias("__best"))
+    return scored.join(best, item).withColumn(score, F.col(score) - F.when(F.col(order) == F.col("__best.o"), 0).otherwise(20)).drop("__best")

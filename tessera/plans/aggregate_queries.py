@@ -201,6 +201,19 @@ def penalised_scores(spark, sf_dir):
     return ranking.penalised(r, "source", "lang", "score")
 
 
+@query("""
+WITH r AS (SELECT row_id, img, domain || '/' || id AS entry, lower(name) AS name, CASE WHEN meta.page % 3 = 0 THEN 'caption' ELSE 'heading' END AS kind, CAST(meta.page AS DOUBLE) AS score FROM item WHERE img <> '' AND domain IS NOT NULL AND id IS NOT NULL AND name IS NOT NULL AND meta.page IS NOT NULL),
+p AS (SELECT img, bool_or(kind = 'caption') AS c FROM r GROUP BY img), k AS (SELECT r.* FROM r JOIN p USING (img) WHERE NOT c OR kind = 'caption'),
+d AS (SELECT img, count(DISTINCT name) AS rivals FROM k GROUP BY img), s AS (SELECT k.* REPLACE (score - 22 * (rivals - 1) AS score), rivals FROM k JOIN d USING (img))
+SELECT row_id, img, entry, rivals, score - CASE WHEN row_number() OVER (PARTITION BY entry ORDER BY score DESC, row_id) = 1 THEN 0 ELSE 20 END AS score FROM s""")
+def resolved_pictures(spark, sf_dir):
+    """Which entry a picture shows; every third page counts as a caption."""
+    item = table(spark, sf_dir, "item").filter("img <> '' and domain is not null and id is not null and name is not null and meta.page is not null")
+    kind = F.when(F.col("meta.page") % 3 == 0, "caption").otherwise("heading")
+    r = item.select("row_id", "img", F.concat_ws("/", "domain", "id").alias("entry"), F.lower("name").alias("name"), kind.alias("kind"), F.col("meta.page").cast("double").alias("score"))
+    return ranking.resolve_pictures(r, "img", "entry", "name", "kind", "score", "row_id").select("row_id", "img", "entry", "rivals", "score")
+
+
 @query(r"""
 SELECT row_id, name, row_number() OVER (PARTITION BY book ORDER BY array_to_string(list_transform(list_zip(string_split_regex(name, '\d+'), list_append(list_transform(regexp_extract_all(name, '\d+'), lambda d: lpad(ltrim(d, '0'), 12, '0')), '')), lambda p: p[1] || coalesce(p[2], '')), ''), row_id) AS place
 FROM item WHERE name IS NOT NULL""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -58,11 +59,13 @@ def unique_match(spark, sf_dir):
 
 
 @query("""
-SELECT s.suffix, min(c_name) AS name FROM (SELECT DISTINCT right(s_name, 9) AS suffix FROM supplier) s JOIN (SELECT DISTINCT c_name FROM customer) c ON suffix(c_name, s.suffix) GROUP BY 1 HAVING count(*) = 1""")
+WITH n AS (SELECT DISTINCT c_name FROM customer WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_nationkey = 3))
+SELECT s.suffix, min(c_name) AS name FROM (SELECT DISTINCT right(s_name, 9) AS suffix FROM supplier) s JOIN n ON suffix(c_name, s.suffix) AND c_name <> s.suffix GROUP BY 1 HAVING count(*) = 1""")
 def unique_suffix(spark, sf_dir):
-    """J11."""
+    """Names that end in a supplier's number; the customers of one nation are claimed before."""
     tails = table(spark, sf_dir, "supplier").select(F.right("s_name", F.lit(9)).alias("suffix"))
-    return joins.unique_suffix(table(spark, sf_dir, "customer"), "c_name", tails, "suffix", 9)
+    customers = table(spark, sf_dir, "customer")
+    return joins.unique_suffix(customers, "c_name", tails, "suffix", 9, customers.filter("c_nationkey = 3").select(F.col("c_name").alias("name")))
 
 
 @query("""
@@ -96,13 +99,43 @@ a AS (SELECT domain, id, min(row_id) AS t FROM i GROUP BY 1, 2 HAVING min(row_id
 SELECT correction_id, coalesce(a.t, b.t, n.t) AS target, CASE WHEN a.t IS NOT NULL THEN 1 WHEN b.t IS NOT NULL THEN 2 WHEN n.t IS NOT NULL THEN 3 END AS tier
 FROM c LEFT JOIN a USING (domain, id) LEFT JOIN b ON c.name = b.name AND c.book = b.book LEFT JOIN n ON c.name = n.name""")
 def cascade_resolve(spark, sf_dir):
-    """By id in the stated domain, else by the only (name, book), else by the only name."""
+    """By id in the stated domain, else by the only (name, book), else by the only name."""
     c = table(spark, sf_dir, "correction").select("correction_id", "domain", "category", "id", F.lower("ref.name").alias("name"), F.col("ref.book").alias("book")).distinct()
     i = table(spark, sf_dir, "item").select("row_id", "domain", "id", F.lower("name").alias("name"), "book")
     out = joins.cascade(c, [(i, ["domain", "id"], "row_id"), (i, ["name", "book"], "row_id"), (i, ["name"], "row_id")])
     return out.select("correction_id", "target", "tier")
 
 
+@query("""
+WITH c AS (SELECT DISTINCT correction_id, coalesce(moved_to.domain, domain) AS domain, CASE WHEN correction_id % 2 = 0 THEN (SELECT min(id) FROM item WHERE item.name = ref.name) ELSE id END AS id, ref.name AS name, ref.book AS book FROM correction),
+i AS (SELECT row_id, domain, id, name, book FROM item),
+a AS (SELECT domain, id, min(row_id) AS t FROM i WHERE id IS NOT NULL GROUP BY 1, 2), b AS (SELECT id, min(row_id) AS t FROM i WHERE id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT domain) = 1),
+n AS (SELECT lower(trim(name, ' ')) AS name, book, min(row_id) AS t FROM i GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT correction_id, coalesce(a.t, b.t, n.t) AS target, CASE WHEN a.t IS NOT NULL THEN 1 WHEN b.t IS NOT NULL THEN 2 WHEN n.t IS NOT NULL THEN 3 END AS tier
+FROM c LEFT JOIN a USING (domain, id) LEFT JOIN b USING (id) LEFT JOIN n ON lower(trim(c.name, ' ')) = n.name AND c.book = n.book""")
+def correction_targets(spark, sf_dir):
+    """The stated domain, else the only other one that holds the id, else name and book. Half of the corrections get an id of the library first, as their own are from
+    before a re-keying."""
+    i = table(spark, sf_dir, "item").select("row_id", "domain", "id", "name", "book")
+    ids = i.groupBy("name").agg(F.min("id").alias("new_id"))
+    c = table(spark, sf_dir, "correction").select("correction_id", F.coalesce("moved_to.domain", "domain").alias("domain"), "id", F.col("ref.name").alias("name"), F.col("ref.book").alias("book")).distinct()
+    c = c.join(ids, "name", "left").withColumn("id", F.when(F.col("correction_id") % 2 == 0, F.col("new_id")).otherwise(F.col("id"))).drop("new_id")
+    return joins.correction_targets(c, i, "row_id").select("correction_id", "target", "tier")
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id, event_type, CAST(value AS DOUBLE) AS x, CAST(extract(hour FROM ts) * 10 + extract(minute FROM ts) / 6.0 AS DOUBLE) AS y FROM events WHERE value IS NOT NULL),
+d AS (SELECT l.event_id, r.event_id AS other, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) AS d FROM p l JOIN p r ON l.user_id = r.user_id AND l.event_type = 'view' AND r.event_type <> 'view')
+SELECT event_id, other, round(d, 6) AS distance FROM d WHERE d < 40 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, other) = 1""")
+def nearest_in_reach(spark, sf_dir):
+    """For each view of a user the nearest other event, in value and time of day, within 40."""
+    y = F.hour("ts") * 10 + F.minute("ts") / F.lit(6.0)
+    p = table(spark, sf_dir, "events").filter("value is not null").select("event_id", "user_id", "event_type", F.col("value").cast("double").alias("x"), y.cast("double").alias("y"))
+    other = p.filter("event_type <> 'view'").withColumnRenamed("event_id", "other")
+    out = joins.nearest_in_reach(p.filter("event_type = 'view'"), other, ["user_id"], "event_id", "other", "x", "y")
+    return out.withColumn("distance", F.round("distance", 6))
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def anti_unshipped(spark, sf_dir):
     """J14, U4."""
@@ -140,15 +173,33 @@ def token_overlap_best(spark, sf_dir):
     return joins.token_overlap(b, "item_id", words, library.distinct(), "entry", words, 1)
 
 
-@query("""
-WITH i AS (SELECT row_id, book, lower(regexp_replace(coalesce(name, ''), '[^A-Za-z]+', ' ', 'g')) AS n, lower(coalesce(system.description, '')) AS d FROM item),
-w AS (SELECT row_id, 'book' AS kind, 0.9 AS weight FROM i WHERE book = 'gridline_core' UNION ALL SELECT row_id, 'name', 0.6 FROM i WHERE contains(n, 'lantern') UNION ALL SELECT row_id, 'text', 0.35 FROM i WHERE contains(d, 'lantern'))
-SELECT row_id, least(1.0, round(sum(weight), 6)) AS score FROM w GROUP BY 1""")
+_SAID = "list_filter(list_distinct(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+')), lambda w: length(w) > 1 AND w NOT IN ({}))"
+_STOP = ", ".join(f"'{w}'" for w in joins.TITLE_STOPWORDS)
+
+
+@query(f"""
+WITH b AS (SELECT slug, row_number() OVER (ORDER BY slug) AS o, {_SAID.format("title", _STOP)} AS tw, coalesce(nullif(regexp_replace(trim(replace(upper(cat), 'CAT', ''), ' '), '^0+', ''), ''), trim(replace(upper(cat), 'CAT', ''), ' ')) AS cat FROM registry),
+f AS (SELECT doc_id, {_SAID.format("split_part(text, chr(10), 1)", _STOP)} AS meta, {_SAID.format("left(text, 300)", _STOP)} AS cover, {_SAID.format("text", _STOP)} AS body FROM documents),
+g AS (SELECT doc_id, r.cat AS code, 3 AS w, 3 AS top FROM documents d JOIN registry r ON d.book = r.slug WHERE doc_id % 5 = 0 UNION ALL
+  SELECT doc_id, n.cat, 1, 3 FROM documents d JOIN registry r ON d.book = r.slug JOIN registry n ON n.slug = coalesce(r.reprint_of, 'gridline_core') WHERE doc_id % 5 = 0 AND n.cat <> r.cat),
+c AS (SELECT doc_id, slug, CASE WHEN w = top THEN 0.9 ELSE 0.25 END AS weight FROM (SELECT *, coalesce(nullif(regexp_replace(trim(replace(upper(code), 'CAT', ''), ' '), '^0+', ''), ''), trim(replace(upper(code), 'CAT', ''), ' ')) AS k FROM g)
+  JOIN (SELECT cat, first(slug ORDER BY o) AS slug FROM b WHERE cat <> '' GROUP BY cat) x ON x.cat = k),
+t AS (SELECT * FROM b WHERE len(tw) > 0),
+m AS (SELECT doc_id, slug, o, list_has_all(meta, tw) AS in_meta, list_has_all(cover, tw) AS in_cover FROM f JOIN t ON list_has_all(body, tw)),
+s AS (SELECT * FROM c UNION ALL SELECT doc_id, first(slug ORDER BY o), 0.6 FROM m WHERE in_meta GROUP BY doc_id UNION ALL SELECT doc_id, first(slug ORDER BY o), 0.35 FROM m WHERE in_cover GROUP BY doc_id),
+a AS (SELECT * FROM s UNION ALL SELECT doc_id, min(slug), 0.45 FROM m WHERE doc_id NOT IN (SELECT doc_id FROM s) GROUP BY doc_id HAVING count(*) = 1)
+SELECT doc_id, slug, CAST(round(least(1.0, sum(weight)), 2) AS DOUBLE) AS score FROM a GROUP BY doc_id, slug""")
 def weighted_identify(spark, sf_dir):
-    """Evidence of three kinds added up, 1 at most."""
-    i = table(spark, sf_dir, "item").select("row_id", "book", F.lower("name").alias("n"), F.lower("system.description").alias("d"))
-    branch = lambda c, w: i.filter(c).select("row_id", F.lit(w).alias("weight"))
-    return joins.weighted_evidence([branch("book = 'gridline_core'", 0.9), branch(F.col("n").contains("lantern"), 0.6), branch(F.col("d").contains("lantern"), 0.35)], ["row_id"])
+    """Which book each document is: its code, a title in its first line, on its cover (the first 300 letters), or alone in its text."""
+    reg = table(spark, sf_dir, "registry").withColumn("o", F.row_number().over(Window.orderBy("slug")))  # the fixed table of books
+    d = table(spark, sf_dir, "documents")
+    own = reg.select(F.col("slug").alias("book"), F.col("cat").alias("own"), F.coalesce("reprint_of", F.lit("gridline_core")).alias("of"))
+    of = reg.select(F.col("slug").alias("of"), F.col("cat").alias("other"))
+    codes = d.filter("doc_id % 5 = 0").select("doc_id", "book").join(own, "book").join(of, "of", "left")
+    pairs = F.filter(F.array(F.struct(F.col("own").alias("k"), F.lit(3).alias("v")), F.struct(F.col("other").alias("k"), F.lit(1).alias("v"))), lambda e: e["k"].isNotNull() & ((e["v"] == 3) | (e["k"] != F.col("own"))))
+    codes = codes.select("doc_id", F.map_from_entries(pairs).alias("codes"))
+    signals = d.select("doc_id", F.split("text", "\n", 2)[0].alias("title"), F.left("text", F.lit(300)).alias("cover"), "text").join(codes, "doc_id", "left")
+    return joins.identify(signals, "doc_id", reg, "slug", "o")
 
 
 @query("""
@@ -161,9 +212,11 @@ def signature_margin(spark, sf_dir):
 
 @query()
 def merge_across_books(spark, sf_dir):
-    """Items in order of row_id against all before them of the same name. An ordered fold, so it has no SQL."""
-    i = table(spark, sf_dir, "item").filter("name is not null").select("row_id", text.norm_base(F.col("name")).alias("base"), F.col("system.price").alias("price"), F.col("system.avail").alias("avail"), F.col("system.type").alias("type"))
-    return joins.merge_ordered(i, "base", "row_id", ["price", "avail", "type"]).select("row_id", "outcome", "matched")
+    """Items in order of row_id against all before them of the same name; books that are reprints add nothing. An ordered fold, so it has no SQL."""
+    again = table(spark, sf_dir, "registry").filter("reprint_of is not null").select(F.col("slug").alias("book"), F.lit(True).alias("reprint"))
+    items = table(spark, sf_dir, "item").filter("name is not null").join(again, "book", "left")
+    i = items.select("row_id", "reprint", text.norm_base(F.col("name")).alias("base"), F.col("system.price").alias("price"), F.col("system.avail").alias("avail"), F.col("system.type").alias("type"))
+    return joins.merge_ordered(i, "base", "row_id", ["avail", "type"], ["price"], "reprint").select("row_id", "outcome", "matched")
 
 
 @query("""
@@ -207,9 +260,14 @@ def recursive_pack(spark, sf_dir):
     return expand_nested(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("root")), "root", edges, "p", "c")
 
 
-@query()
+@query("""
+WITH RECURSIVE i AS (SELECT row_id, domain, id, book, lower(name) AS name FROM item),
+h AS (SELECT row_id, min(row_id) OVER (PARTITION BY domain, id) AS hub FROM i WHERE domain IS NOT NULL AND id IS NOT NULL UNION SELECT row_id, min(row_id) OVER (PARTITION BY book, name) FROM i WHERE book IS NOT NULL AND name IS NOT NULL),
+e AS (SELECT row_id AS a, hub AS b FROM h UNION SELECT hub, row_id FROM h),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT node AS row_id, min(seen) AS component FROM r GROUP BY node""")
 def entry_components(spark, sf_dir):
-    """Items linked by a shared (domain, id) or a shared (book, name), as components. Iterative, so it has no SQL."""
+    """Items linked by a shared (domain, id) or a shared (book, name), as components."""
     i = table(spark, sf_dir, "item").select("row_id", "domain", "id", "book", F.lower("name").alias("name"))
     star = lambda *keys: i.filter(" and ".join(f"{k} is not null" for k in keys)).join(i.groupBy(*keys).agg(F.min("row_id").alias("hub")), list(keys)).select("row_id", "hub")
     return connected_components(star("domain", "id").unionByName(star("book", "name")), "row_id", "hub").select(F.col("node").alias("row_id"), "component")

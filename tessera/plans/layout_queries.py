@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import parse
 from tessera.operators import joins, layout, ranking
 from tessera.operators.sequence import lines_of
 from tessera.plans.registry import registry
@@ -120,7 +121,7 @@ def match_report(spark, sf_dir):
 
 @query("SELECT img, min(row_id) AS first_row, count(*) AS n FROM item WHERE img <> '' AND NOT starts_with(img, 'generic/') AND NOT starts_with(img, 'iconsets/') GROUP BY 1")
 def first_definitions(spark, sf_dir):
-    """The first row that uses each picture of a book, icons left out."""
+    """The first row that uses each picture of a book, icons left out."""
     book_art = ~(F.col("img").startswith("generic/") | F.col("img").startswith("iconsets/"))
     return table(spark, sf_dir, "item").filter((F.col("img") != "") & book_art).groupBy("img").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("n"))
 
@@ -144,9 +145,9 @@ def title_subset(spark, sf_dir):
 
 
 @query("""
-SELECT row_id, cardinality(map_from_entries(list_filter([('avail', system.avail), ('dmg', system.dmg), ('ammocap', system.ammocap)], lambda e: e[2] IS NOT NULL))) AS attributes, system.avail AS avail_base FROM item""")
+SELECT row_id, name, CAST(value AS DOUBLE) AS base FROM (SELECT row_id, unnest([('avail', system.avail), ('essence', system.dmg), ('mag', system.ammocap)]) AS e FROM item) x(row_id, e), LATERAL (SELECT e[1] AS name, e[2] AS value) WHERE value IS NOT NULL""")
 def nested_attributes(spark, sf_dir):
-    """flat attributes as a map of structs, those not set left out."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("k"), F.struct(F.col(f"system.{n}").alias("base")).alias("v")) for n in ("avail", "dmg", "ammocap")))
-    m = F.map_from_entries(F.filter(pairs, lambda p: p["v"]["base"].isNotNull()))
-    return table(spark, sf_dir, "item").select("row_id", m.alias("m")).select("row_id", F.size("m").alias("attributes"), F.try_element_at("m", F.lit("avail"))["base"].alias("avail_base"))
+    """flat attributes as a map of structs, two of them under other names, those not set left out."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"system.{n}").cast("string").alias("v")) for k, n in (("avail", "avail"), ("ess", "dmg"), ("magres", "ammocap"))))
+    m = parse.nest_attributes(F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())))
+    return table(spark, sf_dir, "item").select("row_id", F.explode(m).alias("name", "v")).select("row_id", "name", "v.base")

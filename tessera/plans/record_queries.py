@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import headings, records
 from tessera.operators.nested import flat_tables
 from tessera.operators.sequence import lines_of
+from tessera.plans.problems import _TREES
 from tessera.plans.registry import registry
 from tessera.session import table
 
@@ -33,7 +34,7 @@ def heading_join(spark, sf_dir):
 
 @query()
 def nearest_free_place(spark, sf_dir):
-    """Every purchase of a user takes the nearest free view within six hours. Greedy in order, so it has no SQL (tested against brute force)."""
+    """Every purchase of a user takes the nearest free view within six hours. Greedy in order, so it has no SQL """
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("at"))
     side = lambda kind, name: e.filter(F.col("event_type") == kind).select("user_id", "at", F.col("event_id").alias(name))
     return headings.nearest_free(side("purchase", "purchase_id"), side("view", "view_id"), ["user_id"], "at", "purchase_id", "view_id", 21600.0)
@@ -136,9 +137,12 @@ def grouped_effects(spark, sf_dir):
     return records.grouped_effects(e, "user_id", "event_type", "level", F.col("event_id") % 5 == 0).withColumn("changes", F.array_join("changes", "|"))
 
 
-@query()
+@query(_TREES + """, b AS (SELECT tree_id, node_no, tag IN ('choices', 'alternates') AS dead FROM l WHERE parent_no = -1 UNION ALL
+  SELECT l.tree_id, l.node_no, b.dead OR coalesce(l.tag IN ('choices', 'alternates'), false) FROM b JOIN l ON l.tree_id = b.tree_id AND l.parent_no = b.node_no)
+SELECT tree_id, tag AS pool, CAST(sum(TRY_CAST(json_extract_string(node, '$.attrs.count') AS BIGINT)) AS DOUBLE) AS total FROM l JOIN b USING (tree_id, node_no)
+WHERE NOT coalesce(b.dead, false) AND tag IS NOT NULL AND TRY_CAST(json_extract_string(node, '$.attrs.count') AS BIGINT) IS NOT NULL GROUP BY 1, 2""")
 def tree_sums(spark, sf_dir):
-    """Numbers of the attribute 'count' summed by tag, without what lies under a choice (tested against brute force)."""
+    """Numbers of the attribute 'count' summed by tag, without what lies under a choice """
     nodes = flat_tables(table(spark, sf_dir, "deep_tree"), "tree_id", "tree")
     return records.ancestor_sums(nodes, "tree_id", F.try_element_at("attrs", F.lit("count")).try_cast("bigint"), F.col("tag"), ["choices", "alternates"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import slugify
 
-ENVELOPE = "book string, domain string, category string, items array<struct<id:string,name:string,img:string,system:map<string,string>,meta:struct<book:string,page:int,qa_status:string,hidden:boolean>>>"
+ENVELOPE = "book string, domain string, category string, items array<struct<id:string,name:string,img:string,system:map<string,string>,meta:struct<book:string,page:int,sources:array<struct<book:string,page:int>>,extractedAt:string,extractorVersion:string,qaStatus:string,hidden:boolean,conflicts:array<string>,variantOf:string,descriptionFrom:string>>>"
 SEGMENT = "^[a-z0-9_]+$"
 
 
@@ -34,19 +34,28 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", F.col("p_book").alias("book"), F.col("p_domain").alias("domain"), F.col("p_category").alias("category"), F.when(is_object, F.col("envelope")).alias("envelope"), F.when(~is_object, "unreadable").when(~form, "bad-segment").alias("error"))
 
 
+def catalog_tree(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file: ``book, domain, category, items`` (their number, 0 for an unreadable file), ``error``; names out of form are left out."""
+    files = scan_files(spark, root).filter(~F.col("error").eqNullSafe("bad-segment"))
+    return files.select("book", "domain", "category", F.coalesce(F.size("envelope.items"), F.lit(0)).alias("items"), "error").withColumn("items", F.greatest("items", F.lit(0)))
+
+
+def _items(files: DataFrame) -> DataFrame:
+    return files.select("book", "domain", "category", F.posexplode("envelope.items").alias("position", "item")).select("book", "domain", "category", "position", "item.*")
+
+
 def read_library(spark: SparkSession, root: str, domain: str | None = None) -> DataFrame:
     """The items of all readable files with their place, in the order of their file (``position``)."""
     files = scan_files(spark, root).filter("error is null")
-    files = files if domain is None else files.filter(F.col("domain") == domain)
-    return files.select("book", "domain", "category", F.posexplode("envelope.items").alias("position", "item")).select("book", "domain", "category", "position", "item.*")
+    return _items(files if domain is None else files.filter(F.col("domain") == domain))
 
 
 def read_category(spark: SparkSession, root: str, book: str, domain: str, category: str) -> DataFrame:
-    """S3: the items of one file; ValueError for a segment out of form."""
+    """S3: the items of one file, the only one read; ValueError for a segment out of form."""
     for segment in (book, domain, category):
         if not re.match(SEGMENT, segment):
             raise ValueError(f"bad-segment: {segment}")
-    return read_library(spark, root).filter((F.col("book") == book) & (F.col("domain") == domain) & (F.col("category") == category))
+    return _items(scan_files(spark, f"{root}/{book}/{domain}/{category}.json").filter("error is null"))
 
 
 def write_library(items: DataFrame, path: str) -> None:
@@ -55,21 +64,29 @@ def write_library(items: DataFrame, path: str) -> None:
 
 
 def export_strict(items: DataFrame, path: str, staging: str) -> int:
-    """K7: rows written to ``staging`` and moved to ``path``; ValueError for a repeated (domain, id) or no rows at all. The number of rows."""
-    again = items.groupBy("domain", "id").count().filter("count > 1").limit(1).collect()
-    if again:
-        raise ValueError(f"duplicate id: {again[0]['domain']}/{again[0]['id']}")
-    n = items.count()
-    if not n:
-        raise ValueError("nothing to export")
+    """K7: rows written once to ``staging``, checked there and put in the place of ``path``; ValueError for a repeated (domain, id) or no rows at all. The number of
+    rows. What was at ``path`` is moved aside first and deleted last, so that either it or the new rows are whole at every moment."""
     items.write.mode("overwrite").parquet(staging)
     spark = items.sparkSession
+    written = spark.read.schema(items.schema).parquet(staging)
+    n = written.count()
+    if not n:
+        raise ValueError("nothing to export")
+    again = written.groupBy("domain", "id").count().filter("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"duplicate id: {again[0]['domain']}/{again[0]['id']}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    source, target = hadoop.Path(staging), hadoop.Path(path)
+    source, target, aside = hadoop.Path(staging), hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".old")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    fs.delete(aside, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"cannot move {staging} to {path}")
+    fs.delete(aside, True)
     return n
 
 
@@ -80,14 +97,28 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(books).alias("slug", "b")).select("slug", "b.*")
 
 
-def properties(lines: DataFrame, line: str, prefix: str) -> DataFrame:
-    """S12: 'prefix.id = name' and 'prefix.id.key = value' lines to one row per id: ``id, name, fields``. The last of a repeated key counts by text order."""
-    pattern = rf"^\s*{re.escape(prefix)}\.([^.=\s]+)(?:\.([^=\s]+))?\s*=\s*(.*?)\s*$"
-    rows = lines.select(*(F.regexp_extract(line, pattern, i).alias(n) for i, n in ((1, "id"), (2, "key"), (3, "value")))).filter("id <> ''")
-    one = rows.groupBy("id", "key").agg(F.max("value").alias("value"))
+def properties(lines: DataFrame, line: str, order: str, keys: Sequence[str] = ("desc", "page", "wifi", "source")) -> DataFrame:
+    """S12: 'prefix.id = name' and 'prefix.id.key = value' lines to one row per id: ``id, name, fields``. Of a repeated name the first counts, of a repeated key
+    the last, by ``order``."""
+    sub = rf"^[A-Za-z_]+\.([A-Za-z0-9_-]+)\.({'|'.join(keys)})\s*=\s*(.*?)\s*$"
+    name = r"^[A-Za-z_]+\.([A-Za-z0-9_-]+)\s*=\s*(.*?)\s*$"
+    is_sub = F.col(line).rlike(sub)
+    rows = lines.filter(is_sub | F.col(line).rlike(name)).select(
+        F.col(order).alias("o"), F.when(is_sub, F.regexp_extract(line, sub, 1)).otherwise(F.regexp_extract(line, name, 1)).alias("id"),
+        F.when(is_sub, F.regexp_extract(line, sub, 2)).otherwise("").alias("key"), F.when(is_sub, F.regexp_extract(line, sub, 3)).otherwise(F.regexp_extract(line, name, 2)).alias("value"),
+    )
+    one = rows.groupBy("id", "key").agg(F.when(F.col("key") == "", F.min_by("value", "o")).otherwise(F.max_by("value", "o")).alias("value"))
     return one.groupBy("id").agg(F.max(F.when(F.col("key") == "", F.col("value"))).alias("name"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key") != "", F.struct("key", "value"))))).alias("fields"))
 
 
+def choice_kinds(members: DataFrame, archive: str, member: str, text: str) -> DataFrame:
+    """``uuid, kind`` of every <choice> tag of the XML members: its ref, else its type, else TEXT; the first definition by member and place wins."""
+    tags = members.select(archive, member, F.posexplode(F.regexp_extract_all(text, F.lit(r"<choice\b[^>]*>"), F.lit(0))).alias("place", "tag"))
+    said = lambda name: F.nullif(F.regexp_extract("tag", rf'{name}="([^"]+)"', 1), F.lit(""))
+    rows = tags.select(archive, member, "place", said("uuid").alias("uuid"), F.coalesce(said("ref"), said("type"), F.lit("TEXT")).alias("kind")).filter("uuid is not null")
+    return rows.groupBy("uuid").agg(F.min_by("kind", F.struct(archive, member, "place")).alias("kind"))
+
+
 def text_pages(spark: SparkSession, root: str) -> DataFrame:
     """``book, page, text`` of pages kept as <book>/p<N>.txt."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "p*.txt").text(root)

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions import parse
 from tessera.operators import aggregates, changes, joins, kernels, quality, ranking, sequence
 from tessera.plans import catalogue
 
@@ -330,3 +331,89 @@ def test_folds_keep_large_integers(spark):
     df = spark.createDataFrame(rows, "k string, v bigint")
     out = fold_sorted(df, ["k"], ["v"], lambda: ((lambda row: [(row[0], row[1])]), list), "k string, v bigint")
     assert sorted((r["k"], r["v"] or 0) for r in out.collect()) == sorted((k, v or 0) for k, v in rows)
+
+
+def test_unique_suffix_with_claims(spark):
+    names = spark.createDataFrame([("krime bazoo chrome",), ("krime big bazoo chrome",), ("street rocket ex",), ("spinrad street rocket ex",)], "n string")
+    ends = spark.createDataFrame([("bazoo chrome",), ("street rocket ex",), ("x",)], "s string")
+    claimed = spark.createDataFrame([("krime big bazoo chrome",)], "name string")
+    assert rows(joins.unique_suffix(names, "n", ends, "s", 8)) == [("street rocket ex", "spinrad street rocket ex")]
+    assert rows(joins.unique_suffix(names, "n", ends, "s", 8, claimed)) == [("bazoo chrome", "krime bazoo chrome"), ("street rocket ex", "spinrad street rocket ex")]
+
+
+def test_correction_targets(spark):
+    items = spark.createDataFrame([(1, "gear", "a", "Lamp", "b1"), (2, "gear", "a", "Lamp II", "b1"), (3, "spells", "b", "Torch", "b1"), (4, "gear", "c", "X", "b1"), (5, "spells", "c", "Y", "b1"), (6, "gear", "d", "Rope", "b1"), (7, "gear", "e", "Rope", "b1"), (8, "gear", None, "Hook", None)], "row bigint, domain string, id string, name string, book string")
+    fixes = spark.createDataFrame([(1, "gear", "a", None, None), (2, "gear", "b", None, None), (3, "cars", "c", " x", "b1"), (4, "cars", "zz", "rope", "b1"), (5, "gear", None, "TORCH ", "b1"), (6, "gear", "q", "Torch", "b2")], "fix int, domain string, id string, name string, book string")
+    got = {r["fix"]: (r["target"], r["tier"]) for r in joins.correction_targets(fixes, items, "row").collect()}
+    assert got == {1: (1, 1), 2: (3, 2), 3: (4, 3), 4: (None, None), 5: (3, 3), 6: (None, None)}
+
+
+def test_merge_rules(spark):
+    """Prices must be equal, null too; other stats only where both have one; reprints add nothing."""
+    data = [(1, "k", 5, 2, False), (2, "k", 5, None, False), (3, "k", None, 2, False), (4, "k", 7, 2, True), (5, "k", 5, 2, True), (6, "k", 5, 3, False), (7, "z", 1, 1, True), (8, "z", 1, 1, False), (9, "k", None, 2, False)]
+    df = spark.createDataFrame(data, "i int, k string, price int, dmg int, again boolean")
+    got = {r["i"]: (r["outcome"], r["matched"]) for r in joins.merge_ordered(df, "k", "i", ["dmg"], ["price"], "again").collect()}
+    assert got == {1: ("new", 1), 2: ("reference", 1), 3: ("variant", 3), 4: ("skipped", None), 5: ("skipped", None), 6: ("variant", 6), 7: ("skipped", None), 8: ("new", 8), 9: ("reference", 3)}
+
+
+def test_nearest_in_reach_matches_brute_force(spark):
+    rng = random.Random(3)
+    left = [("p" + str(i % 3), i, rng.uniform(-200, 200), rng.uniform(-200, 200)) for i in range(120)]
+    right = [("p" + str(i % 3), 1000 + i, rng.uniform(-200, 200), rng.uniform(-200, 200)) for i in range(90)]
+    want = {}
+    for p, i, x, y in left:
+        near = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, k) for q, k, u, v in right if q == p]
+        d, k = min(near)
+        if d < 40:
+            want[i] = k
+    schema = "page string, {} int, x double, y double"
+    got = joins.nearest_in_reach(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")), ["page"], "l", "r", "x", "y")
+    assert {r["l"]: r["r"] for r in got.collect()} == want and 10 < len(want) < 120
+
+
+def test_identify(spark):
+    registry = spark.createDataFrame([(1, "core", "The Iron Book", "CAT0101"), (2, "salt", "Salt Codex", "202"), (3, "more", "Iron Book of Salt", None), (4, "none", None, "101")], "n int, slug string, title string, cat string")
+    signals = spark.createDataFrame(
+        [("a", {"101": 3, "CAT202": 1}, "my iron book scan", "IRON BOOK", ""), ("b", {}, None, None, "buy the salt codex today"), ("c", {}, "", "", "salt codex and iron book"), ("d", {"9": 1}, "iron book salt", "", "salt codex")],
+        "file string, codes map<string,int>, title string, cover string, text string",
+    )
+    assert rows(joins.identify(signals, "file", registry, "slug", "n")) == [("a", "core", 1.0), ("a", "salt", 0.25), ("b", "salt", 0.45), ("d", "core", 0.6)]
+
+
+def test_token_overlap_with_context_and_hot_tokens(spark):
+    a = spark.createDataFrame([(1, ["iron", "lamp"], ["tool"]), (2, ["lamp"], []), (3, ["rope"], ["tool"]), (4, [], ["tool"])], "id int, t array<string>, x array<string>")
+    entries = [("lamp " + w,) for w in "alpha beta gamma delta".split()] + [("iron lamp",), ("lamp tool",), ("tool",)]
+    b = spark.createDataFrame(entries, "e string")
+    got = joins.token_overlap(a, "id", F.col("t"), b, "e", F.split("e", " "), 2, F.col("x"))
+    assert rows(got) == [(1, "iron lamp", 4), (2, "iron lamp", 2)]
+    many = spark.createDataFrame([(f"lamp w{i}",) for i in range(300)] + [("iron lamp x",)], "e string")
+    plain = joins.token_overlap(a, "id", F.col("t"), many, "e", F.split("e", " "), 1)
+    assert rows(plain) == [(1, "iron lamp x", 2), (2, "lamp w0", 1)]  # 'lamp' is in all entries
+    beside = spark.createDataFrame([(5, ["lamp"], ["w299", "w7"]), (6, ["lamp", "w12"], ["w13"])], "id int, t array<string>, x array<string>")
+    assert rows(joins.token_overlap(beside, "id", F.col("t"), many, "e", F.split("e", " "), 1, F.col("x"))) == [(5, "lamp w7", 3), (6, "lamp w12", 4)]
+
+
+def test_resolve_pictures(spark):
+    data = [(1, "p1", "a", "A", "heading", 50.0), (2, "p1", "b", "B", "caption", 40.0), (3, "p2", "a", "A", "heading", 30.0), (4, "p2", "c", "C", "heading", 60.0), (5, "p3", "d", "A", "heading", 9.0), (6, "p3", "e", "A", "heading", 8.0), (7, "p4", "c", "C", "heading", 70.0)]
+    df = spark.createDataFrame(data, "n int, pic string, item string, name string, kind string, score double")
+    got = {r["n"]: (r["rivals"], r["score"]) for r in ranking.resolve_pictures(df, "pic", "item", "name", "kind", "score", "n").collect()}
+    assert got == {2: (1, 40.0), 3: (2, 8.0), 4: (2, 18.0), 5: (1, 9.0), 6: (1, 8.0), 7: (1, 70.0)}
+
+
+def test_caption_bands(spark):
+    words = [("p", 1, 0.0, 20.0, 100.0), ("p", 2, 50.0, 70.0, 104.0), ("p", 3, 110.0, 130.0, 100.0), ("p", 4, 10.0, 30.0, 108.9), ("p", 5, 10.0, 30.0, 120.0), ("q", 6, 0.0, 20.0, 100.0), ("p", 7, 140.0, 150.0, 108.0)]
+    df = spark.createDataFrame(words, "page string, w int, x0 double, x1 double, top double")
+    got = dict(rows(kernels.caption_bands(df, ["page"], "w", "x0", "x1", "top")))
+    assert got == {1: 1, 2: 1, 4: 1, 3: 3, 7: 3, 5: 5, 6: 6}
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(200)]
+    got = kernels.connected_components(spark.createDataFrame(edges, "a int, b int"), "a", "b")
+    sizes = {r["component"]: r["count"] for r in got.groupBy("component").count().collect()}
+    assert sizes == {0: 3000, 5000: 201}
+
+
+def test_nested_attributes(spark):
+    got = spark.createDataFrame([({"bod": "4", "ess": "5.5", "magres": "x"},)], "m map<string,string>").select(parse.nest_attributes(F.col("m")).alias("n")).first()["n"]
+    assert {k: v["base"] for k, v in got.items()} == {"bod": 4.0, "essence": 5.5, "mag": 0.0}

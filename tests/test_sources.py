@@ -15,7 +15,7 @@ def envelope(root, book, domain, category, items):
 
 @pytest.fixture
 def root(tmp_path):
-    envelope(tmp_path, "core", "gear", "lamps", [{"id": "a", "name": "A", "system": {"price": 5, "on": True}}, {"id": "b", "name": "B", "meta": {"page": 3}}])
+    envelope(tmp_path, "core", "gear", "lamps", [{"id": "a", "name": "A", "system": {"price": 5, "on": True}}, {"id": "b", "name": "B", "meta": {"page": 3, "qaStatus": "approved", "sources": [{"book": "core", "page": 3}], "conflicts": ["price"], "extractedAt": "2024-01-01", "descriptionFrom": "more", "variantOf": "a"}}])
     envelope(tmp_path, "core", "spells", "light", [])
     envelope(tmp_path, "core", "gear", "broken", "{oops")
     envelope(tmp_path, "_raw", "gear", "lamps", [{"id": "z"}])
@@ -28,7 +28,12 @@ def test_library_scan(spark, root):
     assert got == {("core", "lamps"): None, ("core", "light"): None, ("core", "broken"): "unreadable", ("Bad%20Name", "lamps"): "bad-segment"}
     items = library.read_library(spark, str(root)).orderBy("position").collect()
     assert [(r["id"], r["position"]) for r in items] == [("a", 0), ("b", 1)] and items[0]["system"] == {"price": "5", "on": "true"}
-    assert library.read_category(spark, str(root), "core", "gear", "lamps").count() == 2
+    meta = items[1]["meta"]
+    assert (meta["qaStatus"], meta["conflicts"], meta["extractedAt"], meta["descriptionFrom"], meta["variantOf"], [tuple(x) for x in meta["sources"]]) == ("approved", ["price"], "2024-01-01", "more", "a", [("core", 3)])
+    tree = {(r["domain"], r["category"]): (r["items"], r["error"]) for r in library.catalog_tree(spark, str(root)).collect()}
+    assert tree == {("gear", "lamps"): (2, None), ("spells", "light"): (0, None), ("gear", "broken"): (0, "unreadable")}
+    one = library.read_category(spark, str(root), "core", "gear", "lamps")
+    assert one.count() == 2 and len(one.inputFiles()) == 1
     with pytest.raises(ValueError):
         library.read_category(spark, str(root), "..", "gear", "lamps")
 
@@ -39,16 +44,18 @@ def test_sinks(spark, root, tmp_path):
     library.write_library(items, out)
     library.write_library(items.filter("id = 'a'").withColumn("category", F.lit("new")), out)
     assert sorted((r["category"], r["id"]) for r in spark.read.parquet(out).collect()) == [("lamps", "a"), ("lamps", "b"), ("new", "a")]
-    assert library.export_strict(items, str(tmp_path / "x"), str(tmp_path / "stage")) == 2 and spark.read.parquet(str(tmp_path / "x")).count() == 2
+    assert library.export_strict(items, str(tmp_path / "x"), str(tmp_path / "stage")) == library.export_strict(items, str(tmp_path / "x"), str(tmp_path / "stage")) == 2 and spark.read.parquet(str(tmp_path / "x")).count() == 2
     with pytest.raises(ValueError, match="duplicate"):
         library.export_strict(items.union(items), str(tmp_path / "x"), str(tmp_path / "stage"))
     with pytest.raises(ValueError, match="nothing"):
         library.export_strict(items.limit(0), str(tmp_path / "x"), str(tmp_path / "stage"))
+    assert spark.read.parquet(str(tmp_path / "x")).count() == 2 and not (tmp_path / "x.old").exists()
 
 
 def test_other_sources(spark, tmp_path):
-    lines = spark.createDataFrame([("w.a1 = Lamp",), ("w.a1.page = 7",), ("w.b2 = Torch",), ("other.c = x",), ("junk",)], "line string")
-    assert sorted((r["id"], r["name"], r["fields"]) for r in library.properties(lines, "line", "w").collect()) == [("a1", "Lamp", {"page": "7"}), ("b2", "Torch", {})]
+    lines = ["w.a1 = Lamp", "w.a1.page = 7", "w.b2 = Torch", "x.a1 = Zamp", "w.a1.page = 3", "junk", "w.b2.desc=It = bright "]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    assert sorted((r["id"], r["name"], r["fields"]) for r in library.properties(df, "line", "n").collect()) == [("a1", "Lamp", {"page": "3"}), ("b2", "Torch", {"desc": "It = bright"})]
     (tmp_path / "core").mkdir()
     (tmp_path / "core" / "p3.txt").write_text("page three")
     assert [tuple(r) for r in library.text_pages(spark, str(tmp_path)).collect()] == [("core", 3, "page three")]
@@ -61,6 +68,8 @@ def test_other_sources(spark, tmp_path):
     assert sorted(r["text"] for r in members.collect()) == ["<item id='1'><name>Lamp</name></item>", "Überzug"]
     parsed = library.xml_records(members.filter("text like '<%'"), "text", "_id string, name string").first()["record"]
     assert (parsed["_id"], parsed["name"]) == ("1", "Lamp")
+    tags = spark.createDataFrame([("a", "y.xml", '<choice uuid="1" type="T"/>'), ("a", "x.xml", '<x><choice uuid="1" ref="R" type="T"/><choice type="U"><choice uuid="2"/></choice></x>'), ("a", "z", None)], "archive string, member string, text string")
+    assert {r["uuid"]: r["kind"] for r in library.choice_kinds(tags, "archive", "member", "text").collect()} == {"1": "R", "2": "TEXT"}
     reg = tmp_path / "books.json"
     reg.write_text(json.dumps({"core": {"title": "Core", "pageOffset": 2}, "more": {"date": "2020-01"}}))
     assert sorted((r["slug"], r["pageOffset"], r["date"]) for r in library.registry(spark, str(reg)).collect()) == [("core", 2, None), ("more", None, "2020-01")]
