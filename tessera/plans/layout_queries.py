@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import parse
-from tessera.operators import joins, layout, ranking
+from tessera.operators import joins, layout, ranking, readers
 from tessera.operators.sequence import lines_of
 from tessera.plans.registry import registry
+from tessera.plans.text_queries import JOINED
 from tessera.session import table
 
 QUERIES, SQL, query = registry()
@@ -151,3 +152,25 @@ def nested_attributes(spark, sf_dir):
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"system.{n}").cast("string").alias("v")) for k, n in (("avail", "avail"), ("ess", "dmg"), ("magres", "ammocap"))))
     m = parse.nest_attributes(F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())))
     return table(spark, sf_dir, "item").select("row_id", F.explode(m).alias("name", "v")).select("row_id", "name", "v.base")
+
+
+_TEXT_LINES = r"""t AS (SELECT doc_id, k, regexp_replace(l, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL)),
+  x AS (SELECT * FROM t WHERE l <> '')"""
+
+
+@query(rf"""
+WITH {_TEXT_LINES}, h AS (SELECT doc_id, l AS name FROM x WHERE k = 0 AND regexp_matches(l, '^\p{{Lu}}') AND len(string_split_regex(l, '\s+')) <= 5 AND NOT regexp_matches(l, '^(Avail|Body|Speed|Links):')),
+m AS (SELECT x.doc_id, k, l, CASE WHEN regexp_matches(l, '^Avail:') THEN 'avail' WHEN regexp_matches(l, '^Body:') THEN 'body' WHEN regexp_matches(l, '^Speed:') THEN 'speed' END AS f FROM x JOIN h USING (doc_id) WHERE k > 0),
+n AS (SELECT *, CASE WHEN f IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, f ORDER BY k) = 1 THEN f END AS label FROM m),
+g AS (SELECT doc_id, max(CASE label WHEN 'avail' THEN trim(regexp_extract(l, '^Avail:\s*(.*)$', 1), ' ') END) AS avail, max(CASE label WHEN 'body' THEN trim(regexp_extract(l, '^Body:\s*(.*)$', 1), ' ') END) AS body,
+  max(CASE label WHEN 'speed' THEN trim(regexp_extract(l, '^Speed:\s*(.*)$', 1), ' ') END) AS speed, string_agg(CASE WHEN label IS NULL THEN l END, chr(10) ORDER BY k) AS txt FROM n GROUP BY doc_id)
+SELECT doc_id, name, nullif(avail, '') AS avail, nullif(body, '') AS body, nullif(speed, '') AS speed, CASE WHEN length(d) >= 30 THEN d END AS description
+FROM (SELECT *, regexp_replace({JOINED.format("txt")}, ' \S*-$', '') AS d FROM g JOIN h USING (doc_id)) WHERE avail <> '' OR body <> '' OR speed <> ''""")
+def read_entries(spark, sf_dir):
+    """The reader of entries on whole documents: the first line is set large, so it is a name if it looks like one; values stand behind labels."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    lines = d.select("doc", F.lit(1).alias("page"), F.lit(0).alias("col"), "line_no", F.when(F.col("line_no") == 0, 13.0).otherwise(10.0).alias("size"), "text")
+    labels = {k.lower(): rf"^{k}:\s*(.*)$" for k in ("Avail", "Body", "Speed")}
+    reader = readers.Reader((12.4, 13.6), refused="^Links:", labels=labels, needed=(("avail", "body", "speed"),))
+    e = readers.read_entries(lines, reader)
+    return e.select(F.col("doc").alias("doc_id"), "name", *(F.try_element_at("fields", F.lit(k)).alias(k) for k in labels), "description")
