@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import in_ranges, running
+from tessera.session import stored
+
 
 def multiset_difference(before: DataFrame, now: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For each key how many rows are missing now: ``keys, missing``."""
@@ -90,16 +93,16 @@ def ledger_balance(entries: DataFrame, group: str, order: str, amount: str, kind
     """What remains of a ledger whose entries of ``kind`` ``undo`` take back the last entry that still stands: ``group, standing, balance``.
 
     Matching undos to entries is matching brackets: an entry is taken back if, after it, the depth falls below its own. With the
-    running depth as a sum it needs two window passes and no per-row state. An undo with nothing to take back has no effect.
+    running depth as a sum it needs three scans along the order, each over ranges of the group, and no per-row state. An undo with nothing to take back has no effect.
     """
-    step = F.when(F.col(kind) == undo, -1).otherwise(1)
-    w = Window.partitionBy(group).orderBy(order)
-    raw = F.sum(step).over(w)
-    lowest = F.least(F.lit(0), F.min("__raw").over(w))
-    d = entries.withColumn("__raw", raw).withColumn("__depth", F.col("__raw") - lowest)
-    later = Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    stands = (F.col(kind) != undo) & (F.coalesce(F.min("__depth").over(later), F.col("__depth")) >= F.col("__depth"))
-    return d.withColumn("__stands", stands).groupBy(group).agg(F.count(F.when(F.col("__stands"), 1)).alias("standing"), F.round(F.sum(F.when(F.col("__stands"), F.coalesce(F.col(amount), F.lit(0.0))).otherwise(0.0)), 4).alias("balance"))
+    along = [order]
+    rows = in_ranges(entries.select(group, order, amount, kind), [group], along)
+    rows = stored(running(rows, [group], along, F.when(F.col(kind) == undo, -1).otherwise(1), "__raw"))
+    rows = running(rows, [group], along, F.col("__raw"), "__low", "min")
+    rows = stored(rows.withColumn("__depth", F.col("__raw") - F.least(F.lit(0), F.col("__low"))))
+    rows = running(rows, [group], along, F.col("__depth"), "__later", "min", forward=False, current=False)
+    stands = (F.col(kind) != undo) & (F.coalesce(F.col("__later"), F.col("__depth")) >= F.col("__depth"))
+    return rows.withColumn("__stands", stands).groupBy(group).agg(F.count(F.when(F.col("__stands"), 1)).alias("standing"), F.round(F.sum(F.when(F.col("__stands"), F.coalesce(F.col(amount), F.lit(0.0))).otherwise(0.0)), 4).alias("balance"))
 
 
 def last_wins(layers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.folds import fold_sorted
+from tessera.session import lookup_with_heavy, stored
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], bucket: Column) -> DataFrame:
@@ -280,10 +281,16 @@ def identify(signals: DataFrame, file: str, registry: DataFrame, slug: str, orde
 
 
 def claim_once(candidates: DataFrame, claimant: str, claimed: str, rank: Sequence[Column]) -> DataFrame:
-    """Each claimant's best candidate; of those that want the same, the first by rank gets it, the others are duplicates."""
-    best = candidates.withColumn("__r", F.row_number().over(Window.partitionBy(claimant).orderBy(*rank, claimed))).filter("__r = 1")
-    place = F.row_number().over(Window.partitionBy(claimed).orderBy(*rank, claimant))
-    return best.withColumn("outcome", F.when(place == 1, "matched").otherwise("duplicate")).drop("__r")
+    """Each claimant's best candidate; of those that want the same, the first by rank gets it, the others are duplicates. A null claims nothing."""
+    candidates = candidates.filter(F.col(claimed).isNotNull())
+    ranked = F.struct(*(r.alias(f"r{i}") for i, r in enumerate(rank)), F.col(claimed).alias("c"))
+    best = candidates.groupBy(claimant).agg(F.min(F.struct(ranked.alias("o"), F.struct(*candidates.columns).alias("row"))).alias("b")).select("b.o", "b.row.*")
+    best = stored(best)
+    place = F.struct(F.col("o"), F.col(claimant).alias("c"))
+    first = best.groupBy(claimed).agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # A thing that much of all rows claim meets no single task.
+    out = lookup_with_heavy(best, first, [claimed], ["__first"], "__n", best.count(), F.xxhash64(claimant))
+    return out.withColumn("outcome", F.when(F.col("__first") == place, "matched").otherwise("duplicate")).select(*candidates.columns, "outcome")
 
 
 def ranked_lookup(rows: DataFrame, key: Column, library: DataFrame, tiers: Mapping[int, Column], value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.folds import fold_sorted
+from tessera.operators.joins import as_of
+from tessera.operators.ordered import numbered
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -38,18 +40,20 @@ def suffixed_ids(df: DataFrame, base: str, order: Sequence[Column | str], scope:
     return numbered.withColumn("new_id", F.when(n > 1, F.concat_ws("_", base, n.cast("string"))).otherwise(F.col(base))).drop("__n")
 
 
-def free_ids(df: DataFrame, base: str, order: Sequence[Column | str], taken: DataFrame, taken_id: str) -> DataFrame:
-    """As suffixed_ids, but no id of ``taken``: per base the n-th row gets the n-th free one of base, base_2, base_3, ..."""
+def free_ids(df: DataFrame, base: str, order: Sequence[str], taken: DataFrame, taken_id: str) -> DataFrame:
+    """As suffixed_ids, but no id of ``taken``: per base the n-th row gets the n-th free one of base, base_2, base_3, ...
+
+    The n-th free number is n plus the count of used ones below it: the j-th used number u is below it if u - j < n. So rows meet the used numbers by an as-of join
+    over n, and neither the rows nor the numbers of a base are ever put together."""
     ids = taken.select(F.col(taken_id).alias("__id")).distinct()
-    used = ids.select(F.col("__id").alias("__b"), F.lit(1).alias("__n")).unionByName(
-        ids.select(F.regexp_extract("__id", r"^(.*)_(\d+)$", 1).alias("__b"), F.regexp_extract("__id", r"^(.*)_(\d+)$", 2).try_cast("int").alias("__n")).filter("__b <> '' and __n >= 2")
-    )
-    numbers = used.groupBy("__b").agg(F.array_sort(F.collect_set("__n")).alias("__used"))
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    out = df.withColumn("__n", n).join(numbers, F.col(base) == F.col("__b"), "left")
-    # The n-th free number: each used one that is not above it moves it up by one.
-    free = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), F.col("__n"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
-    return out.withColumn("new_id", F.when(free > 1, F.concat_ws("_", base, free.cast("string"))).otherwise(F.col(base))).drop("__n", "__b", "__used")
+    used = ids.select(F.col("__id").alias(base), F.lit(1).cast("bigint").alias("__u")).unionByName(
+        ids.select(F.regexp_extract("__id", r"^(.*)_(\d+)$", 1).alias(base), F.regexp_extract("__id", r"^(.*)_(\d+)$", 2).try_cast("bigint").alias("__u")).filter(f"`{base}` <> '' and __u >= 2")
+    ).distinct()
+    counted = numbered(used.join(df.select(base).distinct(), base, "left_semi"), [base], ["__u"], "__j")
+    below = counted.groupBy(base, (F.col("__u") - F.col("__j") + 1).alias("__n")).agg(F.max("__j").alias("__j"))
+    out = as_of(numbered(df, [base], order, "__n"), below, [base], "__n", ["__j"], F.floor(F.col("__n") / 100_000))
+    free = F.col("__n") + F.coalesce("__j", F.lit(0))
+    return out.withColumn("new_id", F.when(free > 1, F.concat_ws("_", base, free.cast("string"))).otherwise(F.col(base))).drop("__n", "__j")
 
 
 def better_text_fold(df: DataFrame, group: str, order: str, text: str, date: str, ratio: float = 0.85) -> DataFrame:

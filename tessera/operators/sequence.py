@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.folds import fold_sorted
+from tessera.operators.ordered import RANGE, in_ranges, last_known, numbered, running
+from tessera.session import stored
 
 
 def _measure(df: DataFrame, order: str) -> Column:
@@ -18,23 +20,21 @@ def _measure(df: DataFrame, order: str) -> Column:
 
 def gap_sessions(df: DataFrame, keys: Sequence[str], order: str, gap: Column) -> DataFrame:
     """L2: ``session`` counts from 1; a new one starts where the distance to the previous row, in seconds for timestamps, exceeds ``gap``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    at = _measure(df, order)
-    new = F.when(at - F.lag(at).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w) + 1).drop("__new")
+    rows = last_known(in_ranges(df.withColumn("__at", _measure(df, order)), keys, [order]), keys, [order], {"__before": "__at"}, current=False)
+    return running(stored(rows), keys, [order], F.when(F.col("__at") - F.col("__before") > gap, 1).otherwise(0), "__new").select(*df.columns, (F.col("__new") + 1).alias("session"))
 
 
 def anchor_groups(df: DataFrame, keys: Sequence[str], order: str, limit: float, key_column: str) -> DataFrame:
     """L1: ``group`` counts from 1; a new one starts where the distance to the FIRST row of the current one exceeds ``limit``.
 
     Only (keys, order, row key) are carried through the sequential pass. A gap above the limit always starts a group, so
-    the pass runs per stretch between such gaps, not per key: no task gets more than a stretch.
+    the pass runs per stretch between such gaps, not per key; stretches are found along ranges of the key. A key without such gaps is one stretch.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    at = _measure(df, order)
-    w = Window.partitionBy(*keys).orderBy(order, key_column)
-    stretches = df.select(*keys, key_column, at.alias("__at"), F.when(at - F.lag(at).over(w) > limit, 1).otherwise(0).alias("__new"), order)
-    stretches = stretches.withColumn("__stretch", F.sum("__new").over(w)).drop("__new", order)
+    measured = df.select(*keys, key_column, _measure(df, order).alias("__at"))
+    along = ["__at", key_column]
+    before = last_known(in_ranges(measured, keys, along), keys, along, {"__before": "__at"}, current=False)
+    stretches = running(stored(before), keys, along, F.when(F.col("__at") - F.col("__before") > limit, 1).otherwise(0), "__stretch").drop("__before", RANGE)
 
     def start():
         state = {"group": 0, "start": None}
@@ -73,14 +73,16 @@ def assign_bands(rows: DataFrame, x: str, bands: DataFrame, start: str, keys: Se
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Null values take the last one before them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*(F.last(c, True).over(w).alias(c) if c in values else F.col(c) for c in df.columns))
+    new = {f"__f{i}": c for i, c in enumerate(values)}
+    filled = last_known(in_ranges(df, keys, order), keys, order, new)
+    return filled.select(*(F.col(f"__f{values.index(c)}").alias(c) if c in values else F.col(c) for c in df.columns))
 
 
 def fill_backward(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Null values take the first one after them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return df.select(*(F.first(c, True).over(w).alias(c) if c in values else F.col(c) for c in df.columns))
+    new = {f"__f{i}": c for i, c in enumerate(values)}
+    filled = last_known(in_ranges(df, keys, order), keys, order, new, forward=False)
+    return filled.select(*(F.col(f"__f{values.index(c)}").alias(c) if c in values else F.col(c) for c in df.columns))
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -143,7 +145,6 @@ def contents(lines: DataFrame, key: str, order: str, line: str, most: int = 2000
 
 def zip_halves(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows of both halves joined by their position within the keys; the longer half's rest is kept."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    a = left.withColumn("__n", F.row_number().over(w)).drop(order)
-    b = right.withColumn("__n", F.row_number().over(w)).drop(order)
-    return a.join(b, [*keys, "__n"], "full_outer").withColumnRenamed("__n", "row_no")
+    a = numbered(left, keys, [order], "row_no").drop(order)
+    b = numbered(right, keys, [order], "row_no").drop(order)
+    return a.join(b, [*keys, "row_no"], "full_outer")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import predicates, text
 from tessera.operators import aggregates, ranking
 from tessera.operators.kernels import demangle, demangle_names
+from tessera.operators.ordered import numbered
 from tessera.plans.registry import registry
 from tessera.session import table
 
@@ -220,7 +220,7 @@ FROM item WHERE name IS NOT NULL""")
 def natural_order(spark, sf_dir):
     """Names in natural order within their book."""
     rows = table(spark, sf_dir, "item").filter("name is not null").select("row_id", "book", "name", ranking.natural_key(F.col("name")).alias("k"))
-    return rows.select("row_id", "name", F.row_number().over(Window.partitionBy("book").orderBy("k", "row_id")).alias("place"))
+    return numbered(rows, ["book"], ["k", "row_id"], "place").select("row_id", "name", "place")
 
 
 @query()
