@@ -38,6 +38,8 @@ class Reader:
     #: Field to pattern with the value as its group; of several that match the first counts. ``last_wins``: else a repeated label is text.
     labels: Mapping[str, str] = field(default_factory=dict)
     last_wins: bool = False
+    #: A line may have several labels, and the last value of each counts.
+    several: bool = False
     #: What becomes of the lines after a label: 'lower' (those that begin in lower case continue it, up to one that doesn't), 'open' (all do), 'drop', or 'text'.
     after: Mapping[str, str] = field(default_factory=dict)
     after_all: str = "text"
@@ -57,6 +59,9 @@ class Reader:
     #: Of each group one field must be there ('attributes', 'text' too); least letters of a description.
     needed: tuple[tuple[str, ...], ...] = ()
     least: int = 30
+    #: Entries with these names in lower case, or a name of this pattern, are left out when they are read.
+    unwanted: tuple[str, ...] = ()
+    unwanted_pattern: str | None = None
     #: A pattern taken off names; only the first entry of a name, in any case, is kept.
     trimmed: str | None = None
     once: bool = False
@@ -155,6 +160,7 @@ def read_entries(lines: DataFrame, r: Reader) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("__value").isNotNull(), piece))).alias("pieces"),
         F.array_sort(F.collect_list(F.when(F.col("__stats"), stat))).alias("stats"),
         F.array_sort(F.collect_list(F.when(is_text, F.struct(order.alias("o"), text.alias("t"))))).alias("texts"),
+        *(F.max_by(stripped(F.regexp_extract(text, p, 1)), F.when(body & text.rlike(p), order)).alias(f"any{i}") for i, p in enumerate(r.labels.values() if r.several else [])),
     )
 
     def collected(key: str) -> Column:
@@ -162,7 +168,10 @@ def read_entries(lines: DataFrame, r: Reader) -> DataFrame:
         last = own if key in r.joined or not r.last_wins else F.filter(own, lambda p: p["__part"] == F.element_at(own, -1)["__part"])
         return F.struct(F.lit(key).alias("k"), stripped(F.array_join(F.transform(last, lambda p: p["v"]), " ")).alias("v"), (F.size(own) > 0).alias("there"))
 
-    fields = [collected(k) for k in r.labels]
+    if r.several:
+        fields = [F.struct(F.lit(k).alias("k"), F.col(f"any{i}").alias("v"), F.col(f"any{i}").isNotNull().alias("there")) for i, k in enumerate(r.labels)]
+    else:
+        fields = [collected(k) for k in r.labels]
     if r.value_fields:
         row = F.get(F.filter("stats", lambda s: s["t"].rlike(r.values)), 0)["t"]
         fields += [F.struct(F.lit(k).alias("k"), stripped(F.regexp_extract(row, r.values, i + 1)).alias("v"), row.isNotNull().alias("there")) for i, k in enumerate(r.value_fields)]
@@ -185,6 +194,10 @@ def read_entries(lines: DataFrame, r: Reader) -> DataFrame:
         for key in group:
             there = there | (F.col("attributes").isNotNull() if key == "attributes" else F.col("description").isNotNull() if key == "text" else F.coalesce(F.try_element_at("fields", F.lit(key)).isNotNull(), F.lit(False)))
         out = out.filter(there)
+    if r.unwanted:
+        out = out.filter(~F.lower("name").isin(*r.unwanted))
+    if r.unwanted_pattern:
+        out = out.filter(~F.col("name").rlike(r.unwanted_pattern))
     if r.trimmed:
         out = out.withColumn("name", stripped(F.regexp_replace("name", r.trimmed, "")))
     if r.once:
@@ -259,15 +272,16 @@ READERS: dict[str, Reader] = {
         value_fields=("fading", "duration"), needed=(("fading",),),
     ),
     "contact": replace(
-        _HEADING, most_words=4, stop=("contacts", "connection", "loyalty", "making contact", "using contacts"), last_wins=True, least=20,
+        _HEADING, most_words=4, stop=("contacts", "connection", "loyalty", "making contact", "using contacts"), last_wins=True, several=True, least=20,
         labels={"connection": r"(?i)Connection\s*(?:Rating)?\s*[:=]?\s*(\d+)", "loyalty": r"(?i)Loyalty\s*(?:Rating)?\s*[:=]?\s*(\d+)"}, needed=(("connection", "loyalty"),),
     ),
     "martial style": replace(
         _HEADING, whole_page=True, stop=("martial arts", "martial art", "styles", "techniques", "the basics"), labels={"techniques": "(?i)^Techniques?:(.*)$"}, last_wins=True, after_all="lower", needed=(("techniques",),), least=40,
     ),
     "martial technique": Reader(
-        (12.5, 14.5), display=True, stop=("martial arts", "martial art", "styles", "techniques", "the basics", "any attack", "any strike", "grapple", "any melee", "any action", "any test", "any combat", "any ranged"),
-        refused=r"(?i)[?,/]|\b(?:your|through|versus|when to|part of|installing|weapon details|specialization)\b|(?-i:^(?:An|A) [A-Z])", needed=(("text",),), least=40, once=True,
+        (12.5, 14.5), display=True, stop=("martial arts", "martial art", "styles", "techniques", "the basics"), needed=(("text",),), least=40, once=True,
+        unwanted=("any attack", "any strike", "grapple", "any melee", "any action", "any test", "any combat", "any ranged"),
+        unwanted_pattern=r"(?i)[?,/]|\b(?:your|through|versus|when to|part of|installing|weapon details|specialization)\b|(?-i:^(?:An|A) [A-Z])",
     ),
     "critter power": replace(
         _HEADING, most_words=4, stop=("powers", "critters", "critter powers", "the awakened world", "mundane critters", "awakened critters", "dracoforms", "optional powers"), trimmed=r"(?i)\s+(?:of|the|a|and|to|with)$",

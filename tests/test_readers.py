@@ -97,8 +97,8 @@ def test_stat_tables(spark):
 
 
 def test_contacts_and_martial_arts(spark):
-    lines = page(spark, [(13, "Dock Clerk"), "She knows the harbor and its people.", "Connection Rating: 3, Loyalty 2", "Loyalty: 4", (13, "Nobody Here"), PROSE])
-    assert got(read_entries(lines, READERS["contact"])) == {"Dock Clerk": ({"connection": "3", "loyalty": "4"}, "She knows the harbor and its people.")}
+    lines = page(spark, [(13, "Dock Clerk"), "She knows the harbor and its people.", "Connection Rating: 3, Loyalty 2", "Loyalty: 4", (13, "Nobody Here"), PROSE, (13, "Bar Keeper"), "Connection 5 / Loyalty 1"])
+    assert got(read_entries(lines, READERS["contact"])) == {"Bar Keeper": ({"connection": "5", "loyalty": "1"}, None), "Dock Clerk": ({"connection": "3", "loyalty": "4"}, "She knows the harbor and its people.")}
     lines = page(spark, [(13, "Crane Style"), "Techniques: Sweep, Push,", "and throw", PROSE, (13, "The Basics"), (13, "Prose Only"), PROSE])
     assert got(read_entries(lines, READERS["martial style"])) == {"Crane Style": ({"techniques": "Sweep, Push, and throw"}, f"{PROSE} The Basics")}
     shown = [(13, "Low Sweep", "display"), PROSE, (13, "in another font", "display"), (13, "Any Attack", "display"), PROSE, (13, "low sweep", "display"), (13, "Low Sweep", "display"), PROSE, (13, "Plain Font"), PROSE, (13, "When To Run", "display"), PROSE]
