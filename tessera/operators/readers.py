@@ -111,7 +111,7 @@ def read_entries(lines: DataFrame, r: Reader) -> DataFrame:
         # A document's section headings are few; only they are ordered over the whole of it.
         heads = rows.filter("__section is not null").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("__section").alias("s")))).alias("__heads"))
         before = F.filter("__heads", lambda h: h["o"] <= order)
-        rows = rows.join(heads, "doc", "left").withColumn("section", F.coalesce(F.element_at(before, -1)["s"], F.lit(r.first_section))).drop("__heads")
+        rows = rows.join(heads, "doc", "left").withColumn("section", F.coalesce(F.try_element_at(before, F.lit(-1))["s"], F.lit(r.first_section))).drop("__heads")
     else:
         rows = rows.withColumn("section", F.lit(r.first_section).cast("string"))
     w = Window.partitionBy(*place).orderBy("page", "col", "line_no")
@@ -165,7 +165,7 @@ def read_entries(lines: DataFrame, r: Reader) -> DataFrame:
 
     def collected(key: str) -> Column:
         own = F.filter("pieces", lambda p: p["__open"] == key)
-        last = own if key in r.joined or not r.last_wins else F.filter(own, lambda p: p["__part"] == F.element_at(own, -1)["__part"])
+        last = own if key in r.joined or not r.last_wins else F.filter(own, lambda p: p["__part"] == F.try_element_at(own, F.lit(-1))["__part"])
         return F.struct(F.lit(key).alias("k"), stripped(F.array_join(F.transform(last, lambda p: p["v"]), " ")).alias("v"), (F.size(own) > 0).alias("there"))
 
     if r.several:
@@ -365,3 +365,133 @@ def read_critter_powers(lines: DataFrame) -> DataFrame:
     """Powers of critters; P is physical, M mana."""
     e = read_entries(lines, READERS["critter power"])
     return e.withColumn("fields", F.transform_values("fields", lambda k, v: F.when(k == "type", F.when(v == "P", "physical").otherwise("mana")).otherwise(v)))
+
+
+def ruled_rows(rows: DataFrame, sections: Mapping[str, str], mark: str = "HAND", least: int = 8, width: int = 11) -> DataFrame:
+    """``doc, page, row_no, section, name, stats``: rows (doc, page, row_no, cells) of ruled tables. A row whose second cell begins with ``mark`` is a header and opens the section
+    its first cell names, if that is known; rows before the first section of their page, with fewer than ``least`` cells with a digit behind the name or a name of one letter
+    are none. ``stats`` are padded or cut to ``width``; a number before a name is dropped."""
+    plain = lambda c: stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    table = F.create_map(*[F.lit(x) for kv in sections.items() for x in kv])
+    cells = F.transform("cells", plain)
+    marked = rows.withColumn("__c", cells).filter("__c[0] <> ''")
+    header = F.coalesce(F.upper(F.get("__c", 1)).startswith(mark), F.lit(False))
+    w = Window.partitionBy("doc", "page").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(header, F.try_element_at(table, F.upper(F.get("__c", 0))))
+    marked = marked.withColumn("section", F.last(known, True).over(w)).withColumn("__stats", F.slice("__c", 2, F.greatest(F.size("__c") - 1, F.lit(0))))
+    kept = marked.filter(~header & F.col("section").isNotNull() & (F.size(F.filter("__stats", lambda s: s.rlike(r"\d"))) >= least))
+    name = stripped(F.regexp_replace(F.get("__c", 0), r"^\d+\s+", ""))
+    return kept.select("doc", "page", "row_no", "section", name.alias("name"), F.slice(F.concat("__stats", F.array_repeat(F.lit(""), width)), 1, width).alias("stats")).filter(F.length("name") > 1)
+
+
+def spread_rows(lines: DataFrame, header: Column, row: str, above: int = 6, below: int = 3, least: int = 11) -> DataFrame:
+    """``doc, page, col, line_no, name, subtype, stats``: for each header line the nearest 'Name (subtype)' in the ``above`` lines before it, else the nearest '(subtype)' that
+    stands alone below a plausible name; and the first of the ``below`` lines behind it that fits ``row``, of ``least`` tokens. Both must be there."""
+    rows = lines.withColumn("text", stripped(F.col("text"))).filter("text <> ''")
+    w = Window.partitionBy("doc", "page", "col").orderBy("line_no")
+    before = F.collect_list(F.col("text")).over(w.rowsBetween(-above, -1))
+    behind = F.collect_list(F.col("text")).over(w.rowsBetween(1, below))
+    plausible = lambda n: F.length(n).between(3, 40) & n.rlike(r"^\p{Lu}") & ~n.rlike("[:]|^>") & (F.size(F.split(n, r"\s+")) <= 6)
+    whole = r"^(.+?)\s*\(([^)]+)\)\s*$"
+    named = F.try_element_at(F.filter("__up", lambda t: t.rlike(whole) & plausible(stripped(F.regexp_extract(t, whole, 1)))), F.lit(-1))
+    alone = F.transform("__up", lambda t, i: F.when(t.rlike(r"^\([^)]+\)$") & (i > 0), F.struct(F.get("__up", i - 1).alias("n"), t.alias("t"))))
+    split = F.try_element_at(F.filter(alone, lambda s: s.isNotNull() & plausible(s["n"])), F.lit(-1))
+    found = rows.withColumn("__h", header).withColumn("__up", before).withColumn("__down", behind).filter("__h")
+    found = found.withColumn("__named", named).withColumn("__split", split).withColumn("__row", F.get(F.filter("__down", lambda t: t.rlike(row)), 0))
+    name = F.when(F.col("__named").isNotNull(), stripped(F.regexp_extract("__named", whole, 1))).otherwise(F.col("__split.n"))
+    subtype = F.lower(F.when(F.col("__named").isNotNull(), stripped(F.regexp_extract("__named", whole, 2))).otherwise(F.regexp_extract("__split.t", r"^\((.*)\)$", 1)))
+    stats = F.split("__row", r"\s+")
+    return found.select("doc", "page", "col", "line_no", name.alias("name"), subtype.alias("subtype"), F.when(F.size(stats) >= least, F.slice(stats, 1, least)).alias("stats")).filter("name is not null and stats is not null")
+
+
+#: Sizes of module names and of labels in points, how far a size may be off, and the glyph that opens a grant.
+MODULE_SIZE, LABEL_SIZE, SIZE_SLACK, BULLET = 17.8, 13.0, 0.35, "•"
+
+
+def read_modules(spans: DataFrame) -> DataFrame:
+    """``doc, page, name, description, grants`` of life modules; ``spans`` are pieces of text in order (doc, page, span_no, size, text, font). Large spans are a name, joined if they
+    follow each other; the bullet glyph opens a grant {label, value}; a module goes on over page ends. Text in a sans font is furniture. The name of a module without
+    grants belongs to the one behind it."""
+    text = stripped(F.col("text"))
+    rows = spans.withColumn("text", text).filter("text <> ''")
+    near = lambda size: F.abs(F.col("size") - size) < SIZE_SLACK
+    rows = rows.withColumn("__head", near(MODULE_SIZE)).withColumn("__bullet", ~F.col("__head") & (F.col("text") == BULLET))
+    w = Window.partitionBy("doc").orderBy("page", "span_no")
+    rows = rows.withColumn("__first", F.col("__head") & ~F.coalesce(F.lag("__head").over(w), F.lit(False)))
+    rows = rows.withColumn("__module", F.sum(F.when(F.col("__first"), 1).otherwise(0)).over(w)).filter("__module > 0")
+    rows = rows.withColumn("__grant", F.sum(F.when(F.col("__bullet"), 1).otherwise(0)).over(Window.partitionBy("doc", "__module").orderBy("page", "span_no")))
+    rows = rows.filter(F.col("__head") | F.col("__bullet") | ~F.coalesce(F.col("font").contains("Sans"), F.lit(False)))
+    label = r"^(.*?):\s*$"
+    is_label = ~F.col("__head") & ~F.col("__bullet") & near(LABEL_SIZE) & (F.col("__grant") > 0) & F.col("text").rlike(label)
+    order = F.struct("page", "span_no")
+    joined = lambda c, v=F.col("text"): F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(order.alias("o"), v.alias("t"))))), lambda x: x["t"]), " ")
+    value = ~F.col("__head") & ~F.col("__bullet") & ~is_label
+    grants = rows.groupBy("doc", "__module", "__grant").agg(
+        F.min(F.when(F.col("__head"), F.col("page"))).alias("page"), joined(F.col("__head")).alias("name"), joined(value).alias("value"),
+        F.coalesce(F.max_by(stripped(F.regexp_extract("text", label, 1)), F.when(is_label, order)), F.lit("")).alias("label"),
+    )
+    one = grants.groupBy("doc", "__module").agg(
+        F.min("page").alias("page"), F.max(F.when(F.col("__grant") == 0, F.col("name"))).alias("name"), F.max(F.when(F.col("__grant") == 0, F.col("value"))).alias("description"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("__grant") > 0, F.struct(F.col("__grant").alias("g"), "label", "value")))), lambda x: F.struct(x["label"], x["value"])).alias("grants"),
+    )
+    m = Window.partitionBy("doc").orderBy("__module")
+    run = F.coalesce(F.sum(F.when(F.size("grants") > 0, 1).otherwise(0)).over(m.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = F.array_join(F.collect_list("name").over(Window.partitionBy("doc", "__run").orderBy("__module").rowsBetween(Window.unboundedPreceding, 0)), " ")
+    return one.withColumn("__run", run).withColumn("name", names).filter(F.size("grants") > 0).select("doc", "page", "name", "description", "grants")
+
+
+#: Fixed value: a line that is a price or a piece of one.
+PRICE_LINE = r"^[\d,./]+[¥�]?$"
+
+
+def unwrapped_names(lines: DataFrame, name: str, refused: str | None = None, words: int = 3) -> DataFrame:
+    """``doc, page, line_no, name``: names of stat rows (lines whose ``name`` is not null) put together with the part of the name in the line before, one price line skipped, and in the line behind.
+    Each line is used once, in the order of the rows; a line that ends with - or / opens a name, so it closes none. ``words``: a part has at most so many."""
+    from tessera.operators.folds import fold_sorted
+
+    part = (F.size(F.split("text", r"\s+")) <= words) & F.col("text").rlike(r"\p{L}") & ~F.col("text").rlike(PRICE_LINE)
+    if refused:
+        part = part & ~F.col("text").rlike(refused)
+    rows = lines.withColumn("text", stripped(F.coalesce("text", F.lit("")))).select("doc", "page", "line_no", "text", F.col(name).alias("__name"), (part & F.col(name).isNull()).alias("__part"), F.col("text").rlike(PRICE_LINE).alias("__price"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def glued(head: str, tail: str) -> str:
+        return head + tail if head.endswith(("-", "/")) else f"{head} {tail}".strip()
+
+    def start():
+        # The last two lines (text, is a part still free, is a price), and a row whose next line is awaited.
+        last: list[list] = []
+        waiting: list = []
+
+        def closed(follower: list | None) -> list[tuple]:
+            if not waiting:
+                return []
+            key, found = waiting[0]
+            waiting.clear()
+            if follower is not None and follower[1] and not follower[0].endswith(("-", "/")):
+                follower[1] = False
+                found = glued(found, follower[0])
+            return [(*key, found)]
+
+        def step(row):
+            doc, page_no, number, text, own, is_part, is_price = row
+            line = [text, bool(is_part), bool(is_price)]
+            out = closed(line)
+            if own is not None:
+                found = own
+                for back in reversed(last):
+                    if back[2]:
+                        continue
+                    if back[1]:
+                        back[1] = False
+                        found = glued(back[0], found)
+                    break
+                waiting.append(((doc, page_no, number), found))
+            last.append(line)
+            del last[:-2]
+            return out
+
+        return step, lambda: closed(None)
+
+    schema = f"doc {kinds['doc']}, page {kinds['page']}, line_no {kinds['line_no']}, name string"
+    return fold_sorted(rows, ["doc", "page"], ["line_no"], start, schema)

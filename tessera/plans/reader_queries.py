@@ -202,3 +202,48 @@ def picture_kinds(spark, sf_dir):
     for k, h in heads.items():
         content = F.when(F.col("p_partkey") % 5 == k, F.concat(F.unhex(F.lit(h)), F.col("p_name").cast("binary"))).otherwise(content)
     return table(spark, sf_dir, "part").select("p_partkey", library.sniff(content).alias("kind"))
+
+
+@query("""
+SELECT 's' || s_suppkey AS doc, 'Hill Cat ' || s_nationkey AS name, CASE s_suppkey % 2 WHEN 0 THEN 'BIKE' ELSE 'CAR' END AS section, '1 2 3 4 5 6 7 8 ' || s_nationkey || '  ' AS stats FROM supplier WHERE s_suppkey % 3 > 0""")
+def page_ruled_rows(spark, sf_dir):
+    """A header row opens the section; rows with too few numbers are none; cells are padded."""
+    s = table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("12 Hill Cat "), _nation())
+    numbers = [F.lit(str(i)) for i in range(1, 9)]
+    header = F.array(F.when(_key(2) == 0, "Bikes").otherwise("Cars"), F.lit("HAND"))
+    row = F.when(_key(3) > 0, F.array(name, *numbers, _nation())).otherwise(F.array(name, *numbers[:5]))
+    rows = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc"), F.lit(1).alias("page"), F.posexplode(F.array(F.array(F.lit("Early"), *numbers), header, row)).alias("row_no", "cells"))
+    out = readers.ruled_rows(rows, {"BIKES": "BIKE", "CARS": "CAR"})
+    return out.select("doc", "name", "section", F.array_join("stats", " ").alias("stats"))
+
+
+@query("""
+SELECT 's' || s_suppkey AS doc, 'Harbor Cat' AS name, CASE s_suppkey % 2 WHEN 0 THEN 'heavy bike' ELSE 'patrol boat' END AS subtype, CAST(s_nationkey AS VARCHAR) AS second FROM supplier WHERE s_suppkey % 3 > 0""")
+def page_spread_rows(spark, sf_dir):
+    """The label is in one line or in two above the header, the row at most three lines below it."""
+    row = F.concat(F.lit("4/3 "), _nation(), F.lit(" 20 30 4 5 6 7 2 3 12,000¥"))
+    lines = _pages(
+        spark, sf_dir, (10, "Harbor Cat (Heavy Bike)", _key(2) == 0), (10, "Harbor Cat", _key(2) == 1), (10, "(patrol boat)", _key(2) == 1), (10, "HAND ACC BODY ARM"), (10, "a line"), (10, "another", _key(3) == 0), (10, "a third", _key(3) == 0), (10, row),
+    )
+    out = readers.spread_rows(lines, F.col("text").startswith("HAND ACC"), r"^\d+/\d+(?:\s+[\d,]+¥?){8,}")
+    return out.select("doc", "name", "subtype", F.get("stats", 1).alias("second"))
+
+
+@query("""
+SELECT 's' || s_suppkey AS doc, 'Office Manager' AS name, 'Long days ' || s_nationkey AS description, 'Choose one=+1 to Logic|=+2 to Edge' AS grants FROM supplier""")
+def page_modules(spark, sf_dir):
+    """Sizes tell names and labels, the glyph opens a grant, the module goes on over the page's end."""
+    spans = [(1, 17.8, "Office"), (1, 17.6, "Manager"), (1, 9.0, F.concat(F.lit("Long days "), _nation())), (1, 9.0, "•"), (1, 13.0, "Choose one:"), (2, 9.0, "+1 to Logic"), (2, 9.0, "•"), (2, 9.0, "+2 to Edge")]
+    rows = F.array(*(F.struct(F.lit(p).alias("page"), F.lit(n).alias("span_no"), F.lit(z).alias("size"), (F.lit(t) if isinstance(t, str) else t).alias("text"), F.lit("Serif").alias("font")) for n, (p, z, t) in enumerate(spans)))
+    lines = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc"), F.explode(rows).alias("l")).select("doc", "l.*")
+    return readers.read_modules(lines).select("doc", "name", "description", F.array_join(F.transform("grants", lambda g: F.concat_ws("=", g["label"], g["value"])), "|").alias("grants"))
+
+
+@query("""
+SELECT 's' || s_suppkey AS doc, CASE s_suppkey % 3 WHEN 0 THEN 'Saeder-' WHEN 1 THEN 'Harbor ' ELSE '' END || 'Car' || CASE s_suppkey % 2 WHEN 0 THEN ' Concordat' ELSE '' END AS name FROM supplier""")
+def page_unwrapped_names(spark, sf_dir):
+    """Parts of a name before its row, a price skipped, and behind it."""
+    head = F.when(_key(3) == 0, "Saeder-").when(_key(3) == 1, "Harbor").otherwise("a line of far too many words")
+    lines = _pages(spark, sf_dir, (10, head), (10, "350,000/"), (10, "Car 1 2 3"), (10, F.when(_key(2) == 0, "Concordat").otherwise("Next-")))
+    return readers.unwrapped_names(lines.withColumn("own", F.when(F.col("line_no") == 2, "Car")), "own").select("doc", "name")

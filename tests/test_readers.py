@@ -1,6 +1,7 @@
 """Readers of page text on invented pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import readers
 from tessera.operators.readers import READERS, read_entries
@@ -129,3 +130,44 @@ def test_empty_and_null_lines(spark, kind):
     schema = "doc string, page int, col int, line_no int, size double, text string, font string"
     assert read_entries(spark.createDataFrame([], schema), READERS[kind]).count() == 0
     assert read_entries(spark.createDataFrame([("a", 1, 0, 0, None, None, None), ("a", 1, 0, 1, 13.0, " ", None)], schema), READERS[kind]).count() == 0
+
+
+def test_ruled_rows(spark):
+    stats = [str(i) for i in range(1, 10)]
+    rows = [("b", 1, 0, ["Early", *stats]), ("b", 1, 1, ["bikes\n", "HAND", "ACC"]), ("b", 1, 2, ["12 Street  Cat", *stats]), ("b", 1, 3, ["Prose row", "a", "1"]), ("b", 1, 4, ["unknown", "Handling"]), ("b", 1, 5, ["Hill Cat", *stats, "10", "11", "12", None]), ("b", 1, 6, ["Cars", "HAND"]), ("b", 1, 7, ["X", *stats]), ("b", 1, 8, [None, "1"]), ("b", 2, 0, ["Next Page", *stats])]
+    df = spark.createDataFrame(rows, "doc string, page int, row_no int, cells array<string>")
+    got_rows = readers.ruled_rows(df, {"BIKES": "BIKE", "CARS": "CAR"}).collect()
+    assert sorted((r["section"], r["name"], r["stats"]) for r in got_rows) == [("BIKE", "Hill Cat", [*stats, "10", "11"]), ("BIKE", "Street Cat", [*stats, "", ""])]
+
+
+def test_spread_rows(spark):
+    row = "4/3 10 20 30 4 5 6 7 2 3 12,000¥ more"
+    lines = page(spark, ["River Runner (Patrol Boat)", "some text", "HAND ACC BODY ARM", "a line", row, "Harbor Cat", "(heavy bike)", "HAND ACC BODY ARM", row, "no name here: x", "HAND ACC BODY ARM", row], ["Lone (car)", "HAND ACC BODY ARM", "1", "2", "3", row])
+    got_rows = readers.spread_rows(lines, F.col("text").startswith("HAND ACC"), r"^\d+/\d+(?:\s+[\d,]+¥?){8,}").orderBy("line_no").collect()
+    assert [(r["name"], r["subtype"], r["stats"][-1]) for r in got_rows] == [("River Runner", "patrol boat", "12,000¥"), ("Harbor Cat", "heavy bike", "12,000¥"), ("Harbor Cat", "heavy bike", "12,000¥")]
+
+
+def test_modules(spark):
+    spans = [
+        (1, 0, 9.0, "before the first", "Serif"), (1, 1, 17.8, "Office", "Sans"), (1, 2, 17.6, "Manager", "Sans"), (1, 3, 9.0, "Long days", "Serif"), (1, 4, 8.0, "folio 7", "OpenSans"), (1, 5, 9.0, "and nights.", "Serif"), (1, 6, 9.0, "•", "Sans"), (1, 7, 13.0, "Choose one:", "Serif"),
+        (2, 0, 9.0, "+1 to Logic", "Serif"), (2, 1, 9.0, "or Charisma", "Serif"), (2, 2, 9.0, "•", "Sans"), (2, 3, 9.0, "+2 to Edge", "Serif"), (2, 4, 17.8, "Training", "Sans"), (2, 5, 9.0, " ", "Serif"), (2, 6, 9.0, "text", "Serif"), (2, 7, 17.8, "(Adepts only)", "Sans"), (2, 8, 9.0, "•", "Sans"), (2, 9, 9.0, "x", "Serif"),
+    ]
+    df = spark.createDataFrame([("b", *s) for s in spans], "doc string, page int, span_no int, size double, text string, font string")
+    got_rows = readers.read_modules(df).orderBy("page", "name").collect()
+    assert [(r["page"], r["name"], r["description"], [tuple(g) for g in r["grants"]]) for r in got_rows] == [
+        (1, "Office Manager", "Long days and nights.", [("Choose one", "+1 to Logic or Charisma"), ("", "+2 to Edge")]), (2, "Training (Adepts only)", "", [("", "x")]),
+    ]
+
+
+def test_unwrapped_names(spark):
+    lines = [
+        ("Saeder-", None), ("Krupp Car 1 2 3", "Krupp Car"), ("Concordat", None), ("Plain Boat 1 2", "Plain Boat"), ("a line with too many words in it", None), ("Commuter", None), ("350,000/", None), ("Air 4 5", "Air"), ("Wing-", None), ("Tip 7 8", "Tip"), ("", None),
+    ]
+    df = spark.createDataFrame([("b", 1, i, t, n) for i, (t, n) in enumerate(lines)] + [("b", 2, 0, "Alone 1", "Alone")], "doc string, page int, line_no int, text string, own string")
+    got_rows = readers.unwrapped_names(df, "own").orderBy("page", "line_no").collect()
+    assert [r["name"] for r in got_rows] == ["Saeder-Krupp Car Concordat", "Plain Boat", "Commuter Air", "Wing-Tip", "Alone"]
+
+
+def test_lines_before_the_first_section(spark):
+    lines = page(spark, [(13, "Early Bolt"), "(Health)", PROSE, (16, "Combat Spells"), (13, "Late Bolt"), PROSE])
+    assert {r["name"]: r["category"] for r in readers.read_spells(lines).collect()} == {"Early Bolt": "HEALTH", "Late Bolt": "COMBAT"}
