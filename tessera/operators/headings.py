@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import heading_keys, norm
+from tessera.functions.text import heading_keys, norm, plural_forms
 from tessera.operators.folds import fold_sorted
 
 PREFIX = 6
@@ -101,3 +101,37 @@ def two_columns(words: DataFrame, keys: Sequence[str], x: str, width: float, sha
     left = F.count(F.when(F.col(x) < width / 2, 1))
     n = F.count(F.lit(1))
     return words.groupBy(*keys).agg(F.when(F.least(left, n - left) >= share * n, 2).otherwise(1).alias("columns"))
+
+
+def heading_targets(lines: DataFrame, line: str, line_key: str, names: DataFrame, name: str, name_key: str, group: str, page: str, subtype: str, margin: int = 8, words: int = 6) -> DataFrame:
+    """``line_key, name_key, kind``: all names that a line of at most ``words`` words may head, within its ``group`` and, if it has a page, ``margin`` pages.
+
+    A line's key is its own if that is a heading key of some name, else that of its last two words, else of its last, else its own. Names of the key are met ('name'), and those whose
+    whole key goes on behind it, if it has ``PREFIX`` letters ('family'). If neither is there, names of a subtype of that key are ('subtype'). Where several names are left of a
+    key that is nobody's whole key, they must be one family: equal but for a remark in parentheses and a number at the end."""
+    text = F.trim(line)
+    parts = F.split(text, r"\s+")
+    said = lines.filter((F.size(parts) <= words) & (norm(text) != "")).select(F.col(line_key).alias("lk"), F.col(group).alias("g"), F.col(page).alias("lp"), parts.alias("ws"), norm(text).alias("k0"))
+    last = lambda k: F.when(F.size("ws") > k, norm(F.array_join(F.slice("ws", F.size("ws") - k + 1, F.lit(k)), " ")))
+    known = names.filter(F.col(name).isNotNull()).select(F.col(name_key).alias("nk"), F.col(group).alias("g"), F.col(page).alias("np"), F.col(name).alias("n"), F.col(subtype).alias("sub"))
+    keys = known.select("nk", "g", "np", "n", F.explode(heading_keys(F.col("n"))).alias("k"))
+    full = known.select("nk", "g", "np", "n", F.explode(plural_forms(norm(F.col("n")))).alias("k")).filter("k <> ''")
+    subs = known.filter("sub <> ''").select("nk", "g", "np", "n", F.explode(plural_forms(norm(F.replace("sub", F.lit("_"), F.lit(" "))))).alias("k"))
+    tried = F.array(F.struct(F.lit(0).alias("r"), F.col("k0").alias("k")), F.struct(F.lit(1).alias("r"), last(2).alias("k")), F.struct(F.lit(2).alias("r"), last(1).alias("k")))
+    found = said.select("lk", "g", F.explode(tried).alias("t")).select("lk", "g", "t.r", "t.k").filter("k <> ''").join(keys.select("g", "k").distinct(), ["g", "k"])
+    chosen = found.groupBy("lk").agg(F.min(F.struct("r", "k")).alias("c"))
+    keyed = said.join(chosen, "lk", "left").select("lk", "g", "lp", F.coalesce("c.k", "k0").alias("k"))
+    columns = ["lk", "lp", "k", "nk", "np", "n", "g"]
+    met = keyed.join(keys, ["g", "k"]).select(*columns, F.lit("name").alias("kind"))
+    heads = full.filter(F.length("k") > PREFIX).withColumnRenamed("k", "whole").withColumn("h", F.left("whole", F.lit(PREFIX)))
+    behind = keyed.filter(F.length("k") >= PREFIX).withColumn("h", F.left("k", F.lit(PREFIX))).join(heads, ["g", "h"]).filter(F.col("whole").startswith(F.col("k")) & (F.col("whole") != F.col("k")))
+    met = met.unionByName(behind.select(*columns, F.lit("family").alias("kind")))
+    near = F.col("lp").isNull() | (F.abs(F.col("lp") - F.col("np")) <= margin)
+    of_kind = keyed.join(met.select("lk").distinct(), "lk", "left_anti").join(subs, ["g", "k"]).filter(near).select("lk", "nk", F.lit("subtype").alias("kind"))
+    met = met.filter(near)
+    base = F.regexp_replace(F.trim(F.lower(F.regexp_replace("n", r"\s*\(.*?\)$", ""))), r"\s+\d+$", "")
+    whole = full.select("g", "k", F.lit(True).alias("whole")).distinct()
+    judged = met.join(whole, ["g", "k"], "left").groupBy("lk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(base).alias("blo"), F.max(base).alias("bhi"), F.max("whole").alias("whole"))
+    sure = judged.filter((F.col("lo") == F.col("hi")) | F.coalesce("whole", F.lit(False)) | (F.col("blo") == F.col("bhi"))).select("lk")
+    out = met.join(sure, "lk").groupBy("lk", "nk").agg(F.max("kind").alias("kind")).unionByName(of_kind.distinct())
+    return out.select(F.col("lk").alias(line_key), F.col("nk").alias(name_key), "kind")

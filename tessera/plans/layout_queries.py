@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import parse
-from tessera.operators import joins, layout, ranking, readers
+from tessera.operators import headings, joins, layout, ranking, readers
 from tessera.operators.sequence import lines_of
 from tessera.plans.registry import registry
 from tessera.plans.text_queries import JOINED
@@ -174,3 +174,29 @@ def read_entries(spark, sf_dir):
     reader = readers.Reader((12.4, 13.6), refused="^Links:", labels=labels, needed=(("avail", "body", "speed"),))
     e = readers.read_entries(lines, reader)
     return e.select(F.col("doc").alias("doc_id"), "name", *(F.try_element_at("fields", F.lit(k)).alias(k) for k in labels), "description")
+
+
+@query(r"""
+WITH i AS (SELECT row_id AS nk, book AS g, meta.page AS np, name AS n, system.subtype AS sub FROM item WHERE name IS NOT NULL),
+l AS (SELECT DISTINCT correction_id AS lk, ref.book AS g, ref.page AS lp, string_split_regex(trim(ref.name, ' '), '\s+') AS ws, regexp_replace(lower(replace(trim(ref.name, ' '), 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS k0 FROM correction WHERE ref.name IS NOT NULL),
+s AS (SELECT *, CASE WHEN len(ws) > 2 THEN regexp_replace(lower(replace(array_to_string(ws[len(ws) - 1:], ' '), 'ß', 'ss')), '[^a-z0-9]+', '', 'g') END AS k2,
+  CASE WHEN len(ws) > 1 THEN regexp_replace(lower(replace(ws[len(ws)], 'ß', 'ss')), '[^a-z0-9]+', '', 'g') END AS k1 FROM l WHERE len(ws) <= 6 AND k0 <> ''),
+b AS (SELECT *, regexp_replace(n, '\s*\(.*?\)$', '') AS bare FROM i), h AS (SELECT *, CASE WHEN contains(bare, '/') THEN regexp_replace(split_part(bare, '/', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS head FROM b),
+v AS (SELECT *, unnest([n, bare, head, regexp_replace(head, '\s+\S+$', ''), CASE WHEN contains(bare, ',') THEN substr(bare, instr(bare, ',') + 1) || ' ' || split_part(bare, ',', 1) END, CASE WHEN contains(bare, ',') THEN split_part(bare, ',', 1) END]) AS f FROM h),
+k AS (SELECT DISTINCT nk, g, np, n, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM (SELECT *, regexp_replace(lower(replace(f, 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS k FROM v) WHERE k <> ''),
+f AS (SELECT nk, g, np, n, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM (SELECT *, regexp_replace(lower(replace(n, 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS k FROM i) WHERE k <> ''),
+u AS (SELECT nk, g, np, n, unnest([k, CASE WHEN k LIKE '%s' THEN left(k, length(k) - 1) ELSE k || 's' END]) AS k FROM (SELECT *, regexp_replace(lower(replace(replace(sub, '_', ' '), 'ß', 'ss')), '[^a-z0-9]+', '', 'g') AS k FROM i WHERE sub <> '')),
+d AS (SELECT DISTINCT g, k FROM k WHERE k <> ''),
+c AS (SELECT s.lk, s.g, s.lp, CASE WHEN d0.k IS NOT NULL THEN k0 WHEN d2.k IS NOT NULL THEN k2 WHEN d1.k IS NOT NULL THEN k1 ELSE k0 END AS k FROM s
+  LEFT JOIN d d0 ON d0.g = s.g AND d0.k = k0 LEFT JOIN d d2 ON d2.g = s.g AND d2.k = k2 LEFT JOIN d d1 ON d1.g = s.g AND d1.k = k1),
+m AS (SELECT c.*, k.nk, k.np, k.n, 'name' AS kind FROM c JOIN k USING (g, k) UNION ALL SELECT c.*, f.nk, f.np, f.n, 'family' FROM c JOIN f ON f.g = c.g AND starts_with(f.k, c.k) AND f.k <> c.k WHERE length(c.k) >= 6),
+t AS (SELECT DISTINCT c.lk, u.nk, 'subtype' AS kind FROM c JOIN u USING (g, k) WHERE c.lk NOT IN (SELECT lk FROM m) AND (lp IS NULL OR abs(lp - np) <= 8)),
+w AS (SELECT * FROM m WHERE lp IS NULL OR abs(lp - np) <= 8),
+j AS (SELECT w.lk FROM w LEFT JOIN (SELECT DISTINCT g, k, true AS whole FROM f) x USING (g, k) GROUP BY w.lk HAVING min(n) = max(n) OR bool_or(whole)
+  OR min(regexp_replace(trim(lower(regexp_replace(n, '\s*\(.*?\)$', '')), ' '), '\s+\d+$', '')) = max(regexp_replace(trim(lower(regexp_replace(n, '\s*\(.*?\)$', '')), ' '), '\s+\d+$', '')))
+SELECT lk AS correction_id, nk AS row_id, max(kind) AS kind FROM w JOIN j USING (lk) GROUP BY 1, 2 UNION ALL SELECT * FROM t""")
+def heading_targets(spark, sf_dir):
+    """The items that the name a correction cites may head, in the book it cites, near its page."""
+    lines = table(spark, sf_dir, "correction").filter("ref.name is not null").select("correction_id", F.col("ref.book").alias("book"), F.col("ref.page").alias("page"), F.col("ref.name").alias("line")).distinct()
+    names = table(spark, sf_dir, "item").select("row_id", "book", F.col("meta.page").alias("page"), "name", F.col("system.subtype").alias("subtype"))
+    return headings.heading_targets(lines, "line", "correction_id", names, "name", "row_id", "book", "page", "subtype")

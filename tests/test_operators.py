@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import parse
-from tessera.operators import aggregates, changes, joins, kernels, quality, ranking, sequence
+from tessera.operators import aggregates, changes, headings, joins, kernels, quality, ranking, sequence
 from tessera.plans import catalogue
 
 
@@ -417,3 +417,18 @@ def test_components_with_a_hub(spark):
 def test_nested_attributes(spark):
     got = spark.createDataFrame([({"bod": "4", "ess": "5.5", "magres": "x"},)], "m map<string,string>").select(parse.nest_attributes(F.col("m")).alias("n")).first()["n"]
     assert {k: v["base"] for k, v in got.items()} == {"bod": 4.0, "essence": 5.5, "mag": 0.0}
+
+
+def test_heading_targets(spark):
+    names = spark.createDataFrame(
+        [(1, "b", 10, "Iron Lamp", "LIGHT"), (2, "b", 11, "Cyberjack (Rating 1)", None), (3, "b", 12, "Cyberjack (Rating 2)", ""), (4, "b", 50, "Iron Lamp", "LIGHT"), (5, "c", 10, "Iron Lamp", None), (6, "b", 10, "Torch, Oil", "HAND_LIGHT"), (7, "b", 10, "Torch, Wax", "HAND_LIGHT"), (8, "b", 10, None, None)],
+        "nk int, g string, p int, n string, sub string",
+    )
+    said = [(1, "Iron Lamps", 9), (2, "New Iron Lamp", None), (3, "Cyberjacks", 10), (4, "Cyberjack", 10), (5, "Torch", 10), (6, "Hand Lights", 12), (7, "Light", 90), (8, "a line of far too many words here", 10), (9, "The Old Lamp", 10), (10, "cyberj", 11), (11, "?", 1)]
+    lines = spark.createDataFrame([(k, "b", p, t) for k, t, p in said], "lk int, g string, p int, t string")
+    got = {}
+    for r in headings.heading_targets(lines, "t", "lk", names, "n", "nk", "g", "p", "sub").collect():
+        got.setdefault(r["lk"], set()).add((r["nk"], r["kind"]))
+    assert got == {
+        1: {(1, "name")}, 2: {(1, "name"), (4, "name")}, 3: {(2, "name"), (3, "name")}, 4: {(2, "name"), (3, "name")}, 6: {(6, "subtype"), (7, "subtype")}, 10: {(2, "family"), (3, "family")},
+    }
