@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import in_ranges, running
-from tessera.session import stored
+from tessera.operators.ordered import in_ranges, kept, running
 
 
 def multiset_difference(before: DataFrame, now: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,9 +96,9 @@ def ledger_balance(entries: DataFrame, group: str, order: str, amount: str, kind
     """
     along = [order]
     rows = in_ranges(entries.select(group, order, amount, kind), [group], along)
-    rows = stored(running(rows, [group], along, F.when(F.col(kind) == undo, -1).otherwise(1), "__raw"))
+    rows = kept(running(rows, [group], along, F.when(F.col(kind) == undo, -1).otherwise(1), "__raw"))
     rows = running(rows, [group], along, F.col("__raw"), "__low", "min")
-    rows = stored(rows.withColumn("__depth", F.col("__raw") - F.least(F.lit(0), F.col("__low"))))
+    rows = kept(rows.withColumn("__depth", F.col("__raw") - F.least(F.lit(0), F.col("__low"))))
     rows = running(rows, [group], along, F.col("__depth"), "__later", "min", forward=False, current=False)
     stands = (F.col(kind) != undo) & (F.coalesce(F.col("__later"), F.col("__depth")) >= F.col("__depth"))
     return rows.withColumn("__stands", stands).groupBy(group).agg(F.count(F.when(F.col("__stands"), 1)).alias("standing"), F.round(F.sum(F.when(F.col("__stands"), F.coalesce(F.col(amount), F.lit(0.0))).otherwise(0.0)), 4).alias("balance"))

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.folds import fold_sorted
-from tessera.operators.ordered import RANGE, in_ranges, last_known, numbered, running
-from tessera.session import stored
+from tessera.operators.ordered import RANGE, in_ranges, kept, last_known, numbered, running
 
 
 def _measure(df: DataFrame, order: str) -> Column:
@@ -21,7 +20,7 @@ def _measure(df: DataFrame, order: str) -> Column:
 def gap_sessions(df: DataFrame, keys: Sequence[str], order: str, gap: Column) -> DataFrame:
     """L2: ``session`` counts from 1; a new one starts where the distance to the previous row, in seconds for timestamps, exceeds ``gap``."""
     rows = last_known(in_ranges(df.withColumn("__at", _measure(df, order)), keys, [order]), keys, [order], {"__before": "__at"}, current=False)
-    return running(stored(rows), keys, [order], F.when(F.col("__at") - F.col("__before") > gap, 1).otherwise(0), "__new").select(*df.columns, (F.col("__new") + 1).alias("session"))
+    return running(kept(rows), keys, [order], F.when(F.col("__at") - F.col("__before") > gap, 1).otherwise(0), "__new").select(*df.columns, (F.col("__new") + 1).alias("session"))
 
 
 def anchor_groups(df: DataFrame, keys: Sequence[str], order: str, limit: float, key_column: str) -> DataFrame:
@@ -34,7 +33,7 @@ def anchor_groups(df: DataFrame, keys: Sequence[str], order: str, limit: float,
     measured = df.select(*keys, key_column, _measure(df, order).alias("__at"))
     along = ["__at", key_column]
     before = last_known(in_ranges(measured, keys, along), keys, along, {"__before": "__at"}, current=False)
-    stretches = running(stored(before), keys, along, F.when(F.col("__at") - F.col("__before") > limit, 1).otherwise(0), "__stretch").drop("__before", RANGE)
+    stretches = running(kept(before), keys, along, F.when(F.col("__at") - F.col("__before") > limit, 1).otherwise(0), "__stretch").drop("__before", RANGE)
 
     def start():
         state = {"group": 0, "start": None}

@@ -106,10 +106,12 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q AS dmg, f = 'R' AS stun
 def parsed_codes(spark, sf_dir):
     """F12-F15, F19-F25, F31, F36 on texts formatted from all lineitem rows."""
     r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("f"))
+    # Texts recur, so each is parsed once.
+    texts = r.select("q", "l_linenumber", "f").distinct()
     q, n, f = F.col("q").cast("string"), F.col("l_linenumber").cast("string"), F.col("f")
     columns = {key: parse.resolve_column(key)[1] for key in parse.COLUMNS}
-    out = r.select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    out = texts.select(
+        "q", "l_linenumber", "f",
         columns["dv"](F.concat(q, F.when(f == "R", "S").otherwise("P"))).alias("d"), columns["modes"](F.when(f == "A", "SS/BF").when(f == "N", "sa,FA").otherwise("-")).alias("m"),
         columns["ar"](F.concat(q, F.lit("*/5/–"))).alias("ar"), columns["ammo"](F.concat(n, F.lit("(c)"))).alias("am"), columns["capacity"](F.when(f == "N", F.concat(q, F.lit("—"), (F.col("q") + 2).cast("string"))).otherwise(F.concat(F.lit("["), q, F.lit("]")))).alias("cap"),
         columns["ratingspan"](F.when(f == "N", F.concat(F.lit("1—"), q)).otherwise(q)).alias("rs"),
@@ -117,7 +119,7 @@ def parsed_codes(spark, sf_dir):
         columns["pricecap"](F.concat(q, F.lit(",000¥("), n, F.lit(")"))).alias("pc"), columns["seat"](F.concat(n, F.lit("/"), f)).alias("s"),
         parse.KINDS["onoff"](F.concat(q, F.lit("/"), (F.col("q") + 1).cast("string"))).alias("oo"), parse.flags_of(F.concat(q, F.lit("P("), f, F.lit(")"))).alias("fl"),
     )
-    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "d.dmg", "d.stun", "m.ss", "m.fa", F.col("ar")[0].alias("ar1"), F.col("ar")[2].alias("ar3"), "am.cap", "cap.capacity", F.col("cap.needs_rating").alias("span"), "rs.rating", "defense", "mount", "pc.price", F.col("pc.capacity").alias("price_capacity"), "s.seats", F.col("s.note").alias("seat_note"), F.col("oo.on").alias("onroad"), F.col("oo.off").alias("offroad"), "fl.value", F.col("fl.flags")[0].alias("flag"))
+    return r.join(out, ["q", "l_linenumber", "f"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "d.dmg", "d.stun", "m.ss", "m.fa", F.col("ar")[0].alias("ar1"), F.col("ar")[2].alias("ar3"), "am.cap", "cap.capacity", F.col("cap.needs_rating").alias("span"), "rs.rating", "defense", "mount", "pc.price", F.col("pc.capacity").alias("price_capacity"), "s.seats", F.col("s.note").alias("seat_note"), F.col("oo.on").alias("onroad"), F.col("oo.off").alias("offroad"), "fl.value", F.col("fl.flags")[0].alias("flag"))
 
 
 @query(r"""

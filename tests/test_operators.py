@@ -432,3 +432,25 @@ def test_heading_targets(spark):
     assert got == {
         1: {(1, "name")}, 2: {(1, "name"), (4, "name")}, 3: {(2, "name"), (3, "name")}, 4: {(2, "name"), (3, "name")}, 6: {(6, "subtype"), (7, "subtype")}, 10: {(2, "family"), (3, "family")},
     }
+
+
+def test_scans_over_ranges_equal_windows(spark, monkeypatch):
+    """Every scan gives the same where each key is cut into ranges."""
+    from tessera.operators import ordered
+
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1, 2, 5]), float(rng.randint(0, 40)), rng.choice(["add", "add", "undo"])) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, i int, v int, x double, kind string")
+    gaps = df.withColumn("at", (F.col("i") * F.col("i")).cast("double"))
+
+    def scans():
+        return [
+            rows(sequence.fill_forward(df, ["k"], ["i"], ["v"])), rows(sequence.fill_backward(df, ["k"], ["i"], ["v"])), rows(sequence.gap_sessions(gaps, ["k"], "at", F.lit(300.0))), rows(changes.ledger_balance(df, "k", "i", "x", "kind")),
+            rows(sequence.anchor_groups(gaps.filter("k is not null"), ["k"], "at", 900.0, "i")), rows(ordered.numbered(df, ["k"], ["i"], "n")), rows(sequence.zip_halves(df.filter("i % 2 = 0").select("k", "i", "v"), df.filter("i % 2 = 1").select("k", "i", "x"), ["k"], "i")),
+        ]
+
+    plain = scans()
+    monkeypatch.setattr(ordered, "LARGE", 0)
+    monkeypatch.setattr(ordered, "MOST_RANGES", 12)
+    assert ordered.in_ranges(df, ["k"], ["i"]).select(ordered.RANGE).distinct().count() > 3
+    assert scans() == plain
