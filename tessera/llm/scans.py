@@ -377,10 +377,14 @@ def repair_scans(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     entries = F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in fields.items()))
     texts = df.select(F.col(key).alias("key"), F.explode(entries).alias("e")).select("key", "e.*").filter(F.trim("text") != "")
     counts = stored(corpus_counts(texts.select("field", "text")))
-    models = {f: fitted(start_model(f == "name"), {r["item"]: r["n"] for r in counts.filter(F.col("kind") == f).collect()}) for f in fields}
+    expected: dict[str, dict[str, float]] = {f: {} for f in fields}
+    for r in counts.filter(F.col("kind").isin(*fields)).collect():  # some seventy numbers for each field
+        expected[r["kind"]][r["item"]] = r["n"]
+    models = {f: fitted(start_model(f == "name"), e) for f, e in expected.items()}
     known = stored(answers(counts))
-    if known.count() <= MOST:
-        everywhere = df.sparkSession.sparkContext.broadcast({(r["about"], r["q"]): r["a"] for r in known.collect()})
+    sent = known.limit(MOST + 1).collect()
+    if len(sent) <= MOST:
+        everywhere = df.sparkSession.sparkContext.broadcast({(r["about"], r["q"]): r["a"] for r in sent})
         rows = texts.withColumn("known", F.lit(None).cast(ANSWERS))
     else:
         everywhere = None
