@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ MARGIN = {"utf-8": 0.5, "cp1252": 2.0}
 LEAST_PMI = 0.25
 MAX_ROUNDS = 3
 OTHER, EDGE = "￿", "\x02"
+#: Categories that no right text gains: accents standing alone, controls, unassigned and private characters.
+NO_TEXT = ("Lm", "Sk", "Cn", "Co")
 BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 #: Encodings that texts were written in and misread as.
 WRITTEN = ("utf-8", "cp1252")
@@ -80,7 +83,8 @@ def inverse_candidates(run: str, tables: dict[str, dict[str, int]], rounds: int
                             if written == "utf-8":
                                 following.append(fixed)
         level = following
-    return sorted((text, written) for text, written in seen.items() if written)
+    # What is still garbled after a round may hold anything, but what is taken for right may not.
+    return sorted((text, written) for text, written in seen.items() if written and not any(unicodedata.category(c) in NO_TEXT for c in text if c not in run))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
