@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 ALPHABET = 512
 #: Bits that a mapping must gain: UTF-8 is strict and so evidence in itself, a mapping byte by byte is not.
 MARGIN = {"utf-8": 0.5, "cp1252": 2.0}
@@ -190,7 +192,7 @@ def pair_counts(df: DataFrame, dataset: str, text: str, alphabet: int = ALPHABET
 
     texts = df.select(F.col(dataset).alias("dataset"), F.col(text).alias("text")).filter("text <> ''")
     pairs = texts.mapInPandas(count, "dataset string, a string, b string, n bigint").groupBy("dataset", "a", "b").agg(F.sum("n").alias("n"))
-    pairs = pairs.persist()
+    pairs = stored(pairs)
     per_char = pairs.groupBy("dataset", "a").agg(F.sum("n").alias("n")).groupBy("dataset").agg(F.collect_list(F.struct("n", "a")).alias("__c"))
     # Per dataset at most one entry per Unicode character enters the list.
     keep = per_char.select("dataset", F.transform(F.slice(F.reverse(F.array_sort("__c")), 1, alphabet), lambda x: x["a"]).alias("__keep"))

@@ -15,7 +15,7 @@ Languages beyond ``LANGUAGES`` get their function words from the corpus: words t
 (so at most the mean number of different words in a document, divided by ``COMMON``), if it has ``LEAST_DOCUMENTS``.
 
 Defined results
-- Null, empty and blank texts are never reported, nor texts of fewer than ``LEAST_WORDS`` words and links together, as titles.
+- Null, empty and blank texts are never reported, nor rows with a null key, nor texts of fewer than ``LEAST_WORDS`` words and links together, as titles.
 - The language is that with most function words in the text; without any it is the stated one if its function words are known, else the first
   of ``LANGUAGES``. A text in a language that no document states and no list covers looks like a list of keywords.
 - Texts are read whole, in slices of bounded size; rows repeated with the same key are reported once.

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from tessera.llm import leaks as leaks_module
 from tessera.llm.leaks import leaks, shared_runs, window_sketches
 
 WORD = re.compile(r"[^\W_]+")
@@ -78,3 +79,20 @@ def test_every_window_has_its_minhash():
         if text[start] == text[start + 11]:
             assert any(p in places for p in range(start, start + 8))
     assert all(text[p] == text[p + 4] for p in places) and not any(100 <= p < 111 for p in places)
+
+
+def test_minhash_decides(spark, monkeypatch):
+    """Shingles at fixed places instead of the MinHash of every window miss runs that begin elsewhere."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randint(0, 500)}" for _ in range(30))) for i in range(20)]
+    docs = [(d, " ".join(["x"] * (d % 9) + items[d % 20][1].split()[d % 7 : d % 7 + 14] + ["y"])) for d in range(100)]
+    assert found(spark, docs, items) == brute(docs, items) and len(brute(docs, items)) == 100
+    sketches = leaks_module.window_sketches
+
+    def at_fixed_places(words, text):
+        places, hashes = sketches(words, text)
+        kept = places % 8 == 0
+        return places[kept], hashes[kept]
+
+    monkeypatch.setattr(leaks_module, "window_sketches", at_fixed_places)
+    assert len(found(spark, docs, items)) < 80
