@@ -495,3 +495,61 @@ def unwrapped_names(lines: DataFrame, name: str, refused: str | None = None, wor
 
     schema = f"doc {kinds['doc']}, page {kinds['page']}, line_no {kinds['line_no']}, name string"
     return fold_sorted(rows, ["doc", "page"], ["line_no"], start, schema)
+
+
+def display_names(lines: DataFrame) -> DataFrame:
+    """``doc, page, band, name, subtype``: the name set beside each stat block. ``lines``: doc, page, band, side ('above', 'below'), place (1 is nearest), text, strict and relaxed
+    (is it set apart, by the narrow and by the wide rule). Four passes, strict above and below, then relaxed; the first that finds a name counts. A pass walks outward to the first line
+    that is not set apart and puts the pieces of the name together; a line in parentheses is the subtype, a lone word in lower case says nothing."""
+    tail = r"(?i)\s*\(p\.\s*\d+.*?\)\s*$"
+    piece = F.struct("place", "side", stripped(F.col("text")).alias("t"), "strict", "relaxed")
+    bands = lines.groupBy("doc", "page", "band").agg(F.array_sort(F.collect_list(piece)).alias("ls"))
+
+    def walk(flag: str, side: str) -> Column:
+        def step(state: Column, line: Column) -> Column:
+            subtype = F.regexp_extract(line["t"], r"^\((.{2,45})\)$", 1)
+            is_sub = (subtype != "") & state["subtype"].isNull()
+            core = stripped(F.regexp_replace(F.regexp_replace(line["t"], tail, ""), r"\s*\(.*$", ""))
+            lone = line["t"].rlike(r"^\p{Ll}[^\s\p{Lu}]*$")
+            named = F.length(core).between(2, 60) & ~core.rlike(r"^\d+$") & ~lone
+            joined = F.concat_ws(" ", core, state["name"]) if side == "above" else F.concat_ws(" ", state["name"], core)
+            name = F.when(~is_sub & line[flag] & named, joined).otherwise(state["name"])
+            following = F.struct(name.alias("name"), F.when(is_sub, subtype).otherwise(state["subtype"]).alias("subtype"), (~is_sub & ~line[flag]).alias("done"))
+            return F.when(state["done"], state).otherwise(following)
+
+        empty = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("subtype"), F.lit(False).alias("done"))
+        found = F.aggregate(F.filter("ls", lambda x: x["side"] == side), empty, step)
+        return F.when(found["name"].isNotNull(), F.struct(found["name"].alias("name"), found["subtype"].alias("subtype")))
+
+    best = F.coalesce(*(walk(flag, side) for flag in ("strict", "relaxed") for side in ("above", "below")))
+    out = bands.select("doc", "page", "band", best.alias("b")).filter("b is not null")
+    subtype = stripped(F.regexp_replace(F.regexp_replace("b.subtype", tail, ""), r",\s*(?:p\.|dc|cr)\b.*$", ""))
+    return out.select("doc", "page", "band", "b.name", subtype.alias("subtype"))
+
+
+def rows_under_band(lines: DataFrame, fields: int, gap: float = 26.0, reach: float = 30.0) -> DataFrame:
+    """``doc, page, band, line_no, name, vals``: the value rows under a band of captions. ``lines``: doc, page, band, band_top, line_no, top, bottom, lead (the text left of the cells)
+    and vals (map from field to text, of ``fields``). A row has three fifths of the fields, four at least, and half of them as numbers. The block ends at a gap of more than
+    ``gap`` or, behind its first row, at a line that is neither row nor part of a name. Parts of names on lines of their own go to the nearest row without a name (to any, if all
+    have one) within ``reach``, in front of its name or behind it."""
+    keys = ["doc", "page", "band"]
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    filled, numeric = F.size(F.map_keys("vals")), F.size(F.filter(F.map_values("vals"), lambda v: v.rlike(r"^[+\-–—]?[\d.,/]+[¥%]?$|^[—–-]$")))
+    rows = lines.withColumn("__lead", stripped(F.coalesce("lead", F.lit("")))).withColumn("__ok", (filled >= max(4, fields * 6 // 10)) & (numeric >= max(3, fields // 2)))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__seen", F.coalesce(F.max("__ok").over(before), F.lit(False)))
+    rows = rows.withColumn("__orphan", ~F.col("__ok") & F.col("__seen") & (filled == 0) & F.length("__lead").between(3, 59))
+    far = F.col("top") - F.coalesce(F.lag("bottom").over(w), F.col("band_top")) > gap
+    rows = rows.withColumn("__stop", far | (F.col("__seen") & ~F.col("__ok") & ~F.col("__orphan")))
+    rows = rows.withColumn("__over", F.max("__stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not __over").withColumn("__mid", (F.col("top") + F.col("bottom")) / 2)
+    entry = F.struct(F.col("__mid").alias("m"), F.col("__lead").alias("t"), "line_no", "vals")
+    block = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("__orphan"), F.struct(F.col("__mid").alias("m"), F.col("__lead").alias("t"))))).alias("parts"), F.collect_list(F.when(F.col("__ok"), entry)).alias("rs"))
+    block = block.withColumn("rs", F.array_sort("rs", lambda a, b: F.when(a["line_no"] < b["line_no"], -1).when(a["line_no"] > b["line_no"], 1).otherwise(0)))
+    blank = F.filter("rs", lambda r: r["t"] == "")
+    free = F.when(F.size(blank) > 0, blank).otherwise(F.col("rs"))
+    nearest = lambda p: F.array_min(F.transform(free, lambda r: F.struct(F.abs(r["m"] - p["m"]).alias("d"), r["line_no"].alias("n"))))
+    block = block.withColumn("taken", F.filter(F.transform("parts", lambda p: F.struct(p["m"].alias("m"), p["t"].alias("t"), nearest(p).alias("to"))), lambda p: p["to"]["d"] <= reach))
+    one = block.select(*keys, F.explode("rs").alias("r"), "taken")
+    own = F.filter("taken", lambda p: p["to"]["n"] == F.col("r.line_no"))
+    texts = F.concat(F.transform(F.filter(own, lambda p: p["m"] < F.col("r.m")), lambda p: p["t"]), F.array("r.t"), F.transform(F.filter(own, lambda p: p["m"] >= F.col("r.m")), lambda p: p["t"]))
+    return one.select(*keys, "r.line_no", F.array_join(F.filter(texts, lambda t: t != ""), " ").alias("name"), "r.vals")
