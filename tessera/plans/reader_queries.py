@@ -241,28 +241,28 @@ def page_modules(spark, sf_dir):
 
 
 @query("""
-SELECT 's' || s_suppkey AS doc, CASE s_suppkey % 3 WHEN 0 THEN 'Saeder-' WHEN 1 THEN 'Harbor ' ELSE '' END || 'Car' || CASE s_suppkey % 2 WHEN 0 THEN ' Concordat' ELSE '' END AS name FROM supplier""")
+SELECT 's' || s_suppkey AS doc, CASE s_suppkey % 3 WHEN 0 THEN 'Marlow-' WHEN 1 THEN 'Harbor ' ELSE '' END || 'Car' || CASE s_suppkey % 2 WHEN 0 THEN ' Regent' ELSE '' END AS name FROM supplier""")
 def page_unwrapped_names(spark, sf_dir):
     """Parts of a name before its row, a price skipped, and behind it."""
-    head = F.when(_key(3) == 0, "Saeder-").when(_key(3) == 1, "Harbor").otherwise("a line of far too many words")
-    lines = _pages(spark, sf_dir, (10, head), (10, "350,000/"), (10, "Car 1 2 3"), (10, F.when(_key(2) == 0, "Concordat").otherwise("Next-")))
+    head = F.when(_key(3) == 0, "Marlow-").when(_key(3) == 1, "Harbor").otherwise("a line of far too many words")
+    lines = _pages(spark, sf_dir, (10, head), (10, "350,000/"), (10, "Car 1 2 3"), (10, F.when(_key(2) == 0, "Regent").otherwise("Next-")))
     return readers.unwrapped_names(lines.withColumn("own", F.when(F.col("line_no") == 2, "Car")), "own").select("doc", "name")
 
 
 @query("""
-SELECT 's' || s_suppkey AS doc, CASE s_suppkey % 2 WHEN 0 THEN 'Honda Rider ' || s_nationkey ELSE 'Yamaha ' || s_nationkey END AS name, CASE s_suppkey % 2 WHEN 0 THEN 'heavy bike' END AS subtype FROM supplier""")
+SELECT 's' || s_suppkey AS doc, CASE s_suppkey % 2 WHEN 0 THEN 'Hansen Rider ' || s_nationkey ELSE 'Tamura ' || s_nationkey END AS name, CASE s_suppkey % 2 WHEN 0 THEN 'heavy bike' END AS subtype FROM supplier""")
 def page_display_names(spark, sf_dir):
     """Above the block where its lines are set apart, else below."""
     above, below = _key(2) == 0, F.lit(True)
-    lines = [("above", 1, F.lit("(heavy bike)"), F.lit(False), above), ("above", 2, F.concat(F.lit("Rider "), _nation()), F.lit(True), above), ("above", 3, F.lit("Honda"), F.lit(True), above), ("above", 1, F.lit("prose"), F.lit(False), _key(2) == 1), ("below", 1, F.concat(F.lit("Yamaha "), _nation()), F.lit(True), below)]
+    lines = [("above", 1, F.lit("(heavy bike)"), F.lit(False), above), ("above", 2, F.concat(F.lit("Rider "), _nation()), F.lit(True), above), ("above", 3, F.lit("Hansen"), F.lit(True), above), ("above", 1, F.lit("prose"), F.lit(False), _key(2) == 1), ("below", 1, F.concat(F.lit("Tamura "), _nation()), F.lit(True), below)]
     rows = F.array(*(F.when(c, F.struct(F.lit(1).alias("page"), F.lit(0).alias("band"), F.lit(side).alias("side"), F.lit(place).alias("place"), t.alias("text"), s.alias("strict"), s.alias("relaxed"))) for side, place, t, s, c in lines))
     df = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc"), F.explode(F.array_compact(rows)).alias("l")).select("doc", "l.*")
     return readers.display_names(df).select("doc", "name", "subtype")
 
 
 @query("""
-SELECT 's' || s_suppkey AS doc, 1 AS line_no, 'Growler' AS name, CAST(s_nationkey AS VARCHAR) AS f0 FROM supplier
-UNION ALL SELECT 's' || s_suppkey, 3, 'Harley- Scorpion', '4' FROM supplier WHERE s_suppkey % 2 = 0""")
+SELECT 's' || s_suppkey AS doc, 1 AS line_no, 'Badger' AS name, CAST(s_nationkey AS VARCHAR) AS f0 FROM supplier
+UNION ALL SELECT 's' || s_suppkey, 3, 'Corven- Beetle', '4' FROM supplier WHERE s_suppkey % 2 = 0""")
 def page_rows_under_band(spark, sf_dir):
     """A name around its row, a gap that ends the block."""
     def values(*xs: Column) -> Column:
@@ -270,7 +270,7 @@ def page_rows_under_band(spark, sf_dir):
 
     n, none = [F.lit(str(i)) for i in range(4, 9)], F.create_map().cast("map<string,string>")
     shift = F.when(_key(2) == 0, 0.0).otherwise(30.0)
-    lines = [(104.0, F.lit("notes"), none), (114.0, F.lit("Growler"), values(_nation(), *n[:4])), (F.lit(124.0) + shift, F.lit("Harley-"), none), (F.lit(134.0) + shift, F.lit(""), values(*n)), (F.lit(144.0) + shift, F.lit("Scorpion"), none), (260.0, F.lit("Far"), values(*n))]
+    lines = [(104.0, F.lit("notes"), none), (114.0, F.lit("Badger"), values(_nation(), *n[:4])), (F.lit(124.0) + shift, F.lit("Corven-"), none), (F.lit(134.0) + shift, F.lit(""), values(*n)), (F.lit(144.0) + shift, F.lit("Beetle"), none), (260.0, F.lit("Far"), values(*n))]
     rows = F.array(*(F.struct(F.lit(i).alias("line_no"), (F.lit(t) if isinstance(t, float) else t).alias("top"), ((F.lit(t) if isinstance(t, float) else t) + 8.0).alias("bottom"), lead.alias("lead"), v.alias("vals")) for i, (t, lead, v) in enumerate(lines)))
     df = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("band"), F.lit(100.0).alias("band_top"), F.explode(rows).alias("l")).select("doc", "page", "band", "band_top", "l.*")
     return readers.rows_under_band(df, 6).select("doc", "line_no", "name", F.try_element_at("vals", F.lit("f0")).alias("f0"))

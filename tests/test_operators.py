@@ -334,11 +334,11 @@ def test_folds_keep_large_integers(spark):
 
 
 def test_unique_suffix_with_claims(spark):
-    names = spark.createDataFrame([("krime bazoo chrome",), ("krime big bazoo chrome",), ("street rocket ex",), ("spinrad street rocket ex",)], "n string")
-    ends = spark.createDataFrame([("bazoo chrome",), ("street rocket ex",), ("x",)], "s string")
-    claimed = spark.createDataFrame([("krime big bazoo chrome",)], "name string")
-    assert rows(joins.unique_suffix(names, "n", ends, "s", 8)) == [("street rocket ex", "spinrad street rocket ex")]
-    assert rows(joins.unique_suffix(names, "n", ends, "s", 8, claimed)) == [("bazoo chrome", "krime bazoo chrome"), ("street rocket ex", "spinrad street rocket ex")]
+    names = spark.createDataFrame([("nolan bistro chrome",), ("nolan big bistro chrome",), ("river comet ex",), ("lindner river comet ex",)], "n string")
+    ends = spark.createDataFrame([("bistro chrome",), ("river comet ex",), ("x",)], "s string")
+    claimed = spark.createDataFrame([("nolan big bistro chrome",)], "name string")
+    assert rows(joins.unique_suffix(names, "n", ends, "s", 8)) == [("river comet ex", "lindner river comet ex")]
+    assert rows(joins.unique_suffix(names, "n", ends, "s", 8, claimed)) == [("bistro chrome", "nolan bistro chrome"), ("river comet ex", "lindner river comet ex")]
 
 
 def test_correction_targets(spark):
