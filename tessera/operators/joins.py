@@ -244,8 +244,8 @@ def weighted_evidence(branches: Sequence[DataFrame], keys: Sequence[str]) -> Dat
     return union.groupBy(*keys).agg(F.least(F.lit(1.0), F.round(F.sum("weight"), 6)).alias("score"))
 
 
-#: Words that tell no title, and what each kind of evidence weighs.
-TITLE_STOPWORDS = ("the", "of", "and", "a", "an", "in", "to", "for")
+#: Words that tell no title (the names of the series come as a parameter), and what each kind of evidence weighs.
+TITLE_STOPWORDS = ("sixth", "world", "the", "of", "a", "an", "and", "core", "rulebook", "sourcebook", "book", "edition", "printing", "current", "6e", "pdf", "v1", "v2")
 WEIGHTS = {"code": 0.90, "weaker code": 0.25, "metadata": 0.60, "cover": 0.35, "front": 0.45}
 
 
@@ -254,15 +254,16 @@ def title_words(text: Column, stopwords: Sequence[str] = TITLE_STOPWORDS) -> Col
     return F.filter(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), lambda w: (F.length(w) > 1) & ~w.isin(*stopwords))
 
 
-def identify(signals: DataFrame, file: str, registry: DataFrame, slug: str, order: str) -> DataFrame:
+def identify(signals: DataFrame, file: str, registry: DataFrame, slug: str, order: str, series: Sequence[str] = ()) -> DataFrame:
     """``file, slug, score`` of the books each file may be, 1 at most. ``signals``: codes (map from code to weight), title, cover, text; ``registry``: title, cat and the
     ``order`` in which books are tried.
 
     The code of largest weight counts most, others little; the first title whose words are all in the file's metadata or on its cover counts; only where all that finds
-    nothing does a title in the front matter, if no other is there. Titles meet files by their words.
+    nothing does a title in the front matter, if no other is there. Titles meet files by their words, without those of the ``series``.
     """
+    silent = (*TITLE_STOPWORDS, *series)
     plain = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.trim(F.replace(F.upper(c), F.lit("CAT"), F.lit(""))), "^0+", ""), F.lit("")), F.trim(F.replace(F.upper(c), F.lit("CAT"), F.lit(""))))
-    books = registry.select(F.col(slug).alias("slug"), F.col(order).alias("o"), title_words(F.col("title")).alias("tw"), plain(F.col("cat")).alias("cat"))
+    books = registry.select(F.col(slug).alias("slug"), F.col(order).alias("o"), title_words(F.col("title"), silent).alias("tw"), plain(F.col("cat")).alias("cat"))
     by_code = books.filter("cat <> ''").groupBy("cat").agg(F.min_by("slug", "o").alias("slug"))
     codes = signals.select(F.col(file).alias("file"), F.array_max(F.map_values("codes")).alias("top"), F.explode("codes").alias("code", "w")).withColumn("cat", plain(F.col("code")))
     found = codes.join(by_code, "cat").select("file", "slug", F.when(F.col("w") == F.col("top"), WEIGHTS["code"]).otherwise(WEIGHTS["weaker code"]).alias("weight"))
@@ -270,7 +271,7 @@ def identify(signals: DataFrame, file: str, registry: DataFrame, slug: str, orde
     words = titles.select("slug", "o", F.size("tw").alias("n"), F.explode("tw").alias("word"))
 
     def holding(column: str) -> DataFrame:
-        said = signals.select(F.col(file).alias("file"), F.explode(title_words(F.col(column))).alias("word"))
+        said = signals.select(F.col(file).alias("file"), F.explode(title_words(F.col(column), silent)).alias("word"))
         return said.join(words, "word").groupBy("file", "slug", "o", "n").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n")
 
     for column, kind in (("title", "metadata"), ("cover", "cover")):
