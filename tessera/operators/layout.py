@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 def words_from_glyphs(glyphs: DataFrame, line: Sequence[str], x0: str, x1: str, height: str, glyph: str, share: float = 0.22, least: float = 1.2) -> DataFrame:
     """``line..., word_no, word``: glyphs of a line parted where the gap exceeds ``share`` of their median height, ``least`` at least."""
-    limits = glyphs.groupBy(*line).agg(F.greatest(F.lit(least), F.median(height) * share).alias("__limit"))
     w = Window.partitionBy(*line).orderBy(x0)
-    marked = glyphs.join(limits, list(line)).withColumn("__new", F.when(F.col(x0) - F.lag(x1).over(w) > F.col("__limit"), 1).otherwise(0))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    limit = F.greatest(F.lit(least), F.percentile(height, F.lit(0.5)).over(whole) * share)  # over the sorted line: as a join, lines may be broadcast
+    marked = glyphs.withColumn("__new", F.when(F.col(x0) - F.lag(x1).over(w) > limit, 1).otherwise(0))
     numbered = marked.withColumn("word_no", F.sum("__new").over(w) + 1)
     letters = F.array_sort(F.collect_list(F.struct(F.col(x0).alias("x"), F.col(glyph).alias("g"))))
     return numbered.groupBy(*line, "word_no").agg(F.array_join(F.transform(letters, lambda c: c["g"]), "").alias("word"))

@@ -295,6 +295,16 @@ def test_records(spark):
     assert rows(records.inherit(c, spark.createDataFrame([("x", "up")], "p string, f string"), ["p"], ["f"])) == [("q", None), ("x", "own"), ("x", "up")]
 
 
+def test_glyph_lines_meet_no_join(spark):
+    """The median is taken on the line itself: nothing to broadcast, however many lines, and glyphs of a line without a key stay."""
+    from tessera.operators import layout
+
+    data = [(k, i * 5.0, i * 5.0 + 4.5, h, c) for k in (1, 2, None) for h in (10.0 if k else 60.0,) for i, c in enumerate("iron lamp") if c != " "]
+    got = layout.words_from_glyphs(spark.createDataFrame(data, "l int, a double, b double, h double, c string"), ["l"], "a", "b", "h", "c")
+    assert rows(got) == [(1, 1, "iron"), (1, 2, "lamp"), (2, 1, "iron"), (2, 2, "lamp"), (None, 1, "ironlamp")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layout(spark):
     from tessera.operators import layout
 
