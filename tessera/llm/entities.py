@@ -1,13 +1,12 @@
 """Matching entities across sources without keys (problem 7).
 
 Mentions (corrections) and records (items) are parsed into words and a designation (II, Mk 2, X4, ...). Candidate pairs share
-the category, the designation, the book where the mention names a known one, and a word but for one edit (they agree
-after deleting at most one letter each) that at most ``BLOCK`` records have; records whose words are all more frequent share a second word, or about the page, too. So
-blocks of one word don't grow with the data. Pairs are scored to log-odds from the words, book and page. Loopy belief
+the category, the designation and the book where the mention names a known one, and their log-odds, from the words, book and page, are above ``LEAST``. All of them are
+found, however many records have a word: blocks are of words and pages that such odds need (see ``candidate_odds``), not bounded in size. Loopy belief
 propagation then exchanges messages between mentions and records through joins until the marginals settle:
 a mention's factor allows at most one record; a record's factor weighs every further mention by ``SHARE``, since several
 corrections may speak of one item (0 would be a hard one-to-one factor). Marginal probabilities are reported. Mentions whose records nobody
-else speaks of need no messages. Odds under e^-3 send none either, but count in the mention's factor.
+else speaks of need no messages. A pair of lesser odds is no candidate and counts nowhere.
 
 Copies are collapsed first: records equal in category, book, words, designation and page are one entity (its smallest row key
 stands for it), mentions likewise, so hot groups of copies neither multiply pairs nor messages. Hot mentions get their result by
@@ -22,7 +21,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import warnings
@@ -40,9 +38,13 @@ ROUNDS = 200
 #: Messages are damped from this round on, in case they swing.
 DAMPED = 10
 TOLERANCE = 1e-3
-#: A word that more records have makes no block of its own.
+#: Log-odds of a candidate are above this.
+LEAST = -3.0
+#: Known words of more letters are compared by their parts.
+LONG = 24
+#: Bounds nothing any more, as blocks are of any size.
 BLOCK = 200
-#: Most frequent words that are broadcast; more are joined.
+#: Most words that are broadcast; more are joined.
 MOST = 200_000
 #: Pages so far apart still speak for each other.
 PAGES = 2
@@ -138,7 +140,7 @@ def word_likeness(said: str, known: str) -> float:
         return 0.95
     if said.endswith(".") and len(bare) > 1 and known.startswith(bare):
         return 0.9
-    if min(len(bare), len(known)) > 3:
+    if min(len(bare), len(known)) > 3 and abs(len(bare) - len(known)) <= 2 and len(set(bare) ^ set(known)) <= 4:  # two edits change four letters at most
         d = edits(bare, known)
         if d == 1 or d == 2 and min(len(bare), len(known)) > 5:
             return 0.85 if d == 1 else 0.7
@@ -178,9 +180,58 @@ def parsed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.mapInPandas(run, f"id {kind}, category string, book string, page double, words array<string>, designation string")
 
 
-def _without_one_letter(word: Column) -> Column:
-    """The word and what is left of it without one letter."""
-    return F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.concat(F.left(word, k - 1), F.substr(word, k + 1))))
+def _without_letters(word: str, most: int) -> set[str]:
+    """The word and what is left of it without up to ``most`` letters."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """Five parts of a word: two edits, a transposition of letters in two parts included, leave one as it is."""
+    ends = [length * i // 5 for i in range(6)]
+    return list(zip(ends, ends[1:]))
+
+
+def likeness_keys(word: str, said: bool) -> set[str]:
+    """Keys of which a said and a known word share one, whenever ``word_likeness`` is above 0 (and sometimes else)."""
+    bare = word.rstrip(".")
+    out = {bare, bare + "s", bare + "es"}
+    if not said:
+        out.add(bare[:2] + ".")
+    elif word.endswith(".") and len(bare) > 1:
+        out.add(bare[:2] + ".")
+    if len(bare) > 3 and len(bare) <= (LONG + 2 if said else LONG):
+        out |= _without_letters(bare, 1 if len(bare) <= 5 else 2)
+        out |= set() if said else _without_letters(bare + "s", 1)
+    if len(bare) > LONG - 2 and said:
+        for n in range(max(LONG + 1, len(bare) - 2), len(bare) + 3):
+            out |= {f"{n} {i} {bare[x + d : y + d]}" for i, (x, y) in enumerate(_pieces(n)) for d in range(-2, 3) if x + d >= 0}
+    elif len(bare) > LONG:
+        out |= {f"{len(bare)} {i} {bare[x:y]}" for i, (x, y) in enumerate(_pieces(len(bare)))}
+    return out
+
+
+def alike_words(said: DataFrame, known: DataFrame) -> DataFrame:
+    """``said, known``: the distinct words (column ``word``) of either side whose likeness is above 0."""
+
+    def keyed(of_said: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(w, k) for w in batch["word"] for k in likeness_keys(w, of_said)]
+                yield pd.DataFrame(rows, columns=["w", "k"])
+
+        return run
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[word_likeness(s, k) > 0 for s, k in zip(batch["said"], batch["known"])]]
+
+    a = said.select("word").distinct().mapInPandas(keyed(True), "w string, k string").select(F.col("w").alias("said"), F.xxhash64("k").alias("k"))
+    b = known.select("word").distinct().mapInPandas(keyed(False), "w string, k string").select(F.col("w").alias("known"), F.xxhash64("k").alias("k"))
+    return stored(a.join(b, "k").select("said", "known").distinct().mapInPandas(like, "said string, known string"))
 
 
 def resolve_books(mentions: DataFrame, books: DataFrame, slug: str, title: str) -> DataFrame:
@@ -204,58 +255,59 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(found) if found.count() <= MOST else found
 
 
-def frequent_words(entities: DataFrame) -> DataFrame:
-    """``word, frequent`` (true): the words that more than ``BLOCK`` records have."""
-    word = entities.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.rtrim(w, F.lit("."))))).alias("word"))
-    return _sent(word.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("word", F.lit(True).alias("frequent")))
+def _rarest(words: DataFrame, reach: DataFrame) -> DataFrame:
+    """``id, category, designation, book, page, word``: of each name the word that reaches the fewest names of the other side (``word, n``); no row if one of its words reaches none."""
+    found = words.join(reach, "word", "left").groupBy("id", "category", "designation", "book", "page").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("b"))
+    return found.filter("b.n > 0").select("id", "category", "designation", "book", "page", "b.word")
 
 
-def name_words(df: DataFrame, frequent: DataFrame, around: tuple[int, ...]) -> DataFrame:
-    """``id, category, designation, book, word, frequent, others``: the words of each name that make blocks; ``others``: its other words, '#' and the third of the
-    pages that the page is in (and those ``around``), or '!' if there is no other word."""
-    bare = F.array_distinct(F.transform("words", lambda w: F.rtrim(w, F.lit("."))))
-    long = F.filter("bare", lambda w: F.length(w) > 3)
-    names = df.filter(F.size("words") > 0).select("id", "category", "designation", "book", "page", bare.alias("bare")).withColumn("used", F.when(F.size(long) > 0, long).otherwise(F.col("bare")))
-    words = names.withColumn("word", F.explode("used")).join(frequent, "word", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
-    third = F.floor(F.col("page") / (PAGES + 1))
-    thirds = F.array(*(F.concat(F.lit("#"), (third + d).cast("string")) for d in around))
-    none = F.array().cast("array<string>")
-    others = F.concat(F.filter("bare", lambda w: w != F.col("word")), F.when(F.col("page").isNotNull(), thirds).otherwise(none), F.when(F.size("bare") == 1, F.array(F.lit("!"))).otherwise(none))
-    return words.select("id", "category", "designation", "book", "word", "frequent", others.alias("others"))
+def block_keys(rows: DataFrame, places: list[Column], kind: str, parts: list[Column]) -> DataFrame:
+    """``id, key`` of rows (id, category, designation, word), once for each of ``places`` (null: none) and of ``parts``."""
+    place, part = F.filter(F.array(*places), lambda p: p.isNotNull()), F.array(*parts)
+    rows = rows.withColumn("place", F.explode(place)).withColumn("part", F.explode(part))
+    return rows.select("id", F.xxhash64("category", "designation", "place", F.lit(kind), "word", "part").alias("key"))
 
 
-def block_keys(rows: DataFrame, books: list[Column]) -> DataFrame:
-    """``id, key`` of rows (id, category, designation, book, k, s), once for each of ``books``."""
-    return rows.select("id", F.explode(F.array(*(F.xxhash64("category", "designation", b, "k", "s") for b in books))).alias("key"))
+def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """``m, e, w, rest``: the odds of each candidate pair of mention and entity classes; ``rest`` is 0.
 
+    ``log_odds`` can be above -3 in these ways only, and each has its blocks, of whatever size:
 
-def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """``m, e, w, rest``: the odds of each candidate pair of mention and entity classes, and the sum of the mention's odds too small to send messages.
+    - The pages are near: blocks of any word and the third of the pages.
+    - Every word of the mention is like one of the record (a word on either side that is like none costs 12.2 together, more than any pair gains whose pages aren't near):
+      blocks of the mention's rarest word, as it must be among the record's.
+    - Every word of the record is like one of the mention: blocks of the record's rarest word.
 
-    Records make blocks of their words that are not frequent; those without any make blocks of each word with each of its ``others``. Mentions, whose words may be
-    frequent ones misspelt, make blocks alone of what is not frequent, and those of two that some record makes.
+    Without a book, pages that are far apart leave odds under e^-3, so those mentions meet records on near pages and without a page.
     """
-    frequent = frequent_words(entities)
-    spelled = F.explode(_without_one_letter(F.col("word"))).alias("k")
-    known = name_words(entities, frequent, (0,))
-    known = stored(known.withColumn("only", F.min("frequent").over(Window.partitionBy("id"))).filter("only or not frequent"))
-    place = ["id", "category", "designation", "book"]
-    of_two = known.filter("only").select(*place, spelled, "others").select(*place, "k", F.explode("others").alias("s"))
-    near = _sent(of_two.select("k", "s").distinct())
-    near_words = _sent(near.select("k").distinct())
-    said = stored(name_words(mentions, frequent, (-1, 0, 1)))
-    said_of_two = said.select(*place, spelled, "others").join(near_words, "k", "left_semi").select(*place, "k", F.explode("others").alias("s")).join(near, ["k", "s"], "left_semi")
-
-    def alone(rows: DataFrame) -> DataFrame:
-        return rows.filter("not frequent").select(*place, spelled, F.lit("").alias("s"))
-
-    anywhere = F.lit("*")
-    m_keys = block_keys(alone(said).unionByName(said_of_two.select(*place, "k", "s")), [F.coalesce("book", anywhere)]).withColumnRenamed("id", "m")
-    e_keys = block_keys(alone(known).unionByName(of_two), [F.coalesce("book", F.lit("")), anywhere]).withColumnRenamed("id", "e")
-    pairs = m_keys.join(e_keys, "key").select("m", "e").distinct()
+    place = ["id", "category", "designation", "book", "page"]
+    said = stored(mentions.select(*place, F.explode(F.array_distinct("words")).alias("word")))
+    known = stored(entities.select(*place, F.explode(F.array_distinct(F.transform("words", lambda w: F.rtrim(w, F.lit("."))))).alias("word")))
+    alike = alike_words(said, known)
+    of_said, of_known = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")), known.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    m_reach = _sent(alike.join(of_known.withColumnRenamed("word", "known"), "known").groupBy(F.col("said").alias("word")).agg(F.sum("n").alias("n")))
+    e_reach = _sent(alike.join(of_said.withColumnRenamed("word", "said"), "said").groupBy(F.col("known").alias("word")).agg(F.sum("n").alias("n")))
+    likes = _sent(alike)
+
+    def meant(words: DataFrame) -> DataFrame:
+        return words.join(likes, words["word"] == likes["said"]).select(*place, F.col("known").alias("word")).distinct()
+
+    known = known.join(e_reach.select("word"), "word", "left_semi")
+    anywhere, pageless, none = F.lit("*"), F.lit("*-"), F.lit("")
+    third = F.floor(F.col("page") / (PAGES + 1)).cast("string")
+    around = [(F.floor(F.col("page") / (PAGES + 1)) + d).cast("string") for d in (-1, 0, 1)]
+    m_far = [F.coalesce("book", F.when(F.col("page").isNull(), anywhere).otherwise(pageless))]
+    e_far = [F.col("book"), anywhere, F.when(F.col("page").isNull(), pageless)]
+    m_all, paged = stored(meant(said)), F.col("page").isNotNull()
+    m_keys = block_keys(m_all.filter(paged), [F.coalesce("book", anywhere)], "near", around)
+    m_keys = m_keys.unionByName(block_keys(meant(_rarest(said, m_reach)), m_far, "mention", [none])).unionByName(block_keys(m_all, m_far, "record", [none]))
+    e_keys = block_keys(known.filter(paged), [F.col("book"), anywhere], "near", [third])
+    whole = entities.select(*place, F.explode(F.array_distinct(F.transform("words", lambda w: F.rtrim(w, F.lit("."))))).alias("word"))
+    e_keys = e_keys.unionByName(block_keys(known, e_far, "mention", [none])).unionByName(block_keys(_rarest(whole, e_reach), e_far, "record", [none]))
+    pairs = m_keys.withColumnRenamed("id", "m").join(e_keys.withColumnRenamed("id", "e"), "key").select("m", "e").distinct()
     m = mentions.select(F.col("id").alias("m"), F.col("words").alias("mw"), F.col("book").alias("mb"), F.col("page").alias("mp"), F.col("designation").alias("md"), F.col("category").alias("mc"))
     e = entities.select(F.col("id").alias("e"), F.col("words").alias("ew"), F.col("book").alias("eb"), F.col("page").alias("ep"), F.col("designation").alias("ed"), F.col("category").alias("ec"))
-    rows = pairs.join(m, "m").join(e, "e").filter("md = ed and mc = ec")
+    rows = pairs.join(m, "m").join(e, "e").filter("md = ed and mc = ec and (mb is null or mb = eb)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -268,10 +320,7 @@ def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
     kinds = (mentions.schema["id"].dataType.simpleString(), entities.schema["id"].dataType.simpleString())
     scored = rows.select("m", "e", "mw", "ew", "mb", "eb", "mp", "ep").mapInPandas(run, f"m {kinds[0]}, e {kinds[1]}, o double")
-    odds = stored(scored.select("m", "e", F.exp(F.least(F.col("o"), F.lit(12.0))).alias("w")))
-    least = math.exp(-3)
-    rest = odds.filter(F.col("w") <= least).groupBy("m").agg(F.sum("w").alias("rest"))
-    return odds.filter(F.col("w") > least).join(rest, "m", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    return stored(scored.filter(F.col("o") > LEAST).select("m", "e", F.exp(F.least(F.col("o"), F.lit(12.0))).alias("w"))).withColumn("rest", F.lit(0.0))
 
 
 def belief_propagation(edges: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:

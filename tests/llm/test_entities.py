@@ -1,8 +1,11 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import entities
-from tessera.llm.entities import belief_propagation, book_variants, edits, match_entities, parse_name
+from tessera.llm.entities import belief_propagation, book_variants, candidate_odds, edits, likeness_keys, log_odds, match_entities, parse_name, word_likeness
 
 BOOKS = [("iron_book", "Iron Book Handbook"), ("salt_codex", "Salt Engineering Codex"), (None, "x")]
 ITEMS = [
@@ -101,3 +104,36 @@ def test_unsettled_messages_are_reported(spark):
     edges = spark.createDataFrame([(1, 1, 9.0), (1, 2, 5.0), (2, 1, 7.0), (2, 2, 8.0)], "m bigint, e bigint, w double")
     with pytest.warns(UserWarning, match="still change"):
         belief_propagation(edges, 0.0, rounds=1).collect()
+
+
+def test_candidates_are_all_pairs_of_such_odds(spark, monkeypatch):
+    """Against the scores of all pairs: no pair is lost, though each word is frequent, is short, stands on far or null pages, or only its likeness is shared."""
+    monkeypatch.setattr(entities, "BLOCK", 1)
+    rng = random.Random(11)
+    vocabulary = ["kestupan", "kestupn", "ksetupam", "drill", "drills", "drll", "nordhall", "nordh.", "nao", "vex", "molvarik", "molvraik", "bo", "x" * 30, "x" * 14 + "y" + "x" * 16, "sak."]
+    names = [rng.sample(vocabulary, rng.choice([1, 1, 2, 2, 3, 4])) for _ in range(260)]
+    made = [(i, rng.choice(["tools", "armor"]), rng.choice(["a", "b", None]), rng.choice([None, 3.0, 5.0, 6.0, 90.0]), w, rng.choice(["", "", "ii"])) for i, w in enumerate(names)]
+    kind = "id bigint, category string, book string, page double, words array<string>, designation string"
+    want = {}
+    for m, mc, mb, mp, mw, md in made[:130]:
+        for e, ec, eb, ep, ew, ed in made[130:]:
+            if (mc, md) == (ec, ed) and mb in (None, eb):
+                apart = None if mp is None or ep is None else abs(mp - ep)
+                odds = log_odds(mw, ew, None if mb is None or eb is None else True, apart)
+                if odds > -3:
+                    want[m, e] = pytest.approx(math.exp(min(odds, 12)))
+    got = candidate_odds(spark.createDataFrame(made[:130], kind), spark.createDataFrame(made[130:], kind)).collect()
+    assert len(got) == len(want) > 200 and {(x["m"], x["e"]): x["w"] for x in got} == want
+
+
+def test_a_frequent_word_alone_finds_its_record(spark):
+    """The record has a rare word too, which the mention leaves out; 250 others have the frequent one, or a short one, elsewhere."""
+    items = [(1, "tools", "Kestupan Drill", "iron_book", 10), (2, "tools", "Nao Molvarik", "salt_codex", 10)]
+    items += [(100 + i, "tools", f"Nao Drill {'abcdefghijklmnopqrstuvwxyz'[i % 26] * 5} {'abcdefghijklmnopqrstuvwxyz'[i // 26] * 6}", "iron_book", 100 + i) for i in range(250)]
+    assert run(spark, [(1, "tools", "Drill", "iron_book", 10), (2, "tools", "Nao", "salt_codex", None)], items) == {1: 1, 2: 2}
+
+
+def test_alike_words_share_a_key():
+    words = ["cat", "cats", "cates", "nordhall", "nordh.", "nordhlal", "nrdhal", "nordhalls", "abcde" * 5, "abcde" * 4 + "abdce", "abcde" * 5 + "ss", "abcde" * 7, "abcde" * 6 + "aybcdez"]
+    pairs = [(a, b) for a in words for b in words if word_likeness(a, b) > 0]
+    assert len(pairs) > 25 and all(likeness_keys(a, True) & likeness_keys(b.rstrip("."), False) for a, b in pairs)
