@@ -2,7 +2,7 @@
 
 Mentions (corrections) and records (items) are parsed into words and a designation (II, Mk 2, X4, ...). Candidate pairs share
 the category, the designation and the book where the mention names a known one, and their log-odds, from the words, book and page, are above ``LEAST``. All of them are
-found, however many records have a word: blocks are of words and pages that such odds need (see ``candidate_odds``), not bounded in size. Loopy belief
+found, however many records have a word: blocks are of words and pages that such odds need (see ``candidate_pairs``), not bounded in size. Loopy belief
 propagation then exchanges messages between mentions and records through joins until the marginals settle:
 a mention's factor allows at most one record; a record's factor weighs every further mention by ``SHARE``, since several
 corrections may speak of one item (0 would be a hard one-to-one factor). Marginal probabilities are reported. Mentions whose records nobody
@@ -24,7 +24,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,8 @@ MODEL = re.compile(r"[a-z]?\d+")
 
 def unmarked(text: str) -> str:
     """Without accents and the like."""
+    if text.isascii():
+        return text.replace("_", " ")
     return "".join(c for c in unicodedata.normalize("NFKD", text.translate(UNMARKED)) if not unicodedata.combining(c))
 
 
@@ -149,14 +152,17 @@ def word_likeness(said: str, known: str) -> float:
     return 0.0
 
 
-def log_odds(said: list[str], known: list[str], same_book: bool | None, pages_apart: int | None) -> float:
-    """Evidence that a mention speaks of a record of the same category and designation."""
+def log_odds(said: list[str], known: list[str], same_book: bool | None, pages_apart: int | None, like: Callable[[str, str], float] = word_likeness) -> float:
+    """Evidence that a mention speaks of a record of the same category and designation; ``like`` is ``word_likeness``, or it with a cache."""
     out = 2.0 + (0.0 if same_book is None else 4.0 if same_book else -8.0)
     out += 0.0 if pages_apart is None else 4.0 if pages_apart <= 2 else -7.0
     if said == known:
         return out + 1.0
-    best = [max((word_likeness(s, k) for k in known), default=0.0) for s in said]
-    back = [max((word_likeness(s, k) for s in said), default=0.0) for k in known]
+    best, back = [], [0.0] * len(known)
+    for w in said:
+        likes = [like(w, k) for k in known]
+        best.append(max(likes, default=0.0))
+        back = list(map(max, back, likes))
     extra, missing = best.count(0.0), back.count(0.0)
     if extra and missing:
         out -= 8.0
@@ -255,28 +261,27 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(found) if found.count() <= MOST else found
 
 
-def _rarest(words: DataFrame, reach: DataFrame) -> DataFrame:
-    """``id, category, designation, book, page, word``: of each name the word that reaches the fewest names of the other side (``word, n``); no row if one of its words reaches none."""
-    found = words.join(reach, "word", "left").groupBy("id", "category", "designation", "book", "page").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("b"))
-    return found.filter("b.n > 0").select("id", "category", "designation", "book", "page", "b.word")
+def _rarest(words: DataFrame, reach: DataFrame, most: int) -> DataFrame:
+    """Of each name the ``most`` words that reach the fewest names of the other side: ``id, category, designation, book, page, words``, an array of (n, word) in this order, n 0 for a word that reaches none."""
+    pairs = F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))
+    return words.join(reach, "word", "left").groupBy("id", "category", "designation", "book", "page").agg(F.slice(F.array_sort(pairs), 1, most).alias("words"))
 
 
-def block_keys(rows: DataFrame, places: list[Column], kind: str, parts: list[Column]) -> DataFrame:
-    """``id, key`` of rows (id, category, designation, word), once for each of ``places`` (null: none) and of ``parts``."""
-    place, part = F.filter(F.array(*places), lambda p: p.isNotNull()), F.array(*parts)
-    rows = rows.withColumn("place", F.explode(place)).withColumn("part", F.explode(part))
-    return rows.select("id", F.xxhash64("category", "designation", "place", F.lit(kind), "word", "part").alias("key"))
+def block_keys(rows: DataFrame, blocks: list[tuple[str, Column, Column]]) -> DataFrame:
+    """``id, key, at`` (a hash of the book) of rows (id, category, designation, book, word), once for each of ``blocks`` (kind, place, part), none where place or part is null."""
+    keys = [F.when(place.isNotNull() & part.isNotNull(), F.xxhash64("category", "designation", place, F.lit(kind), "word", part)) for kind, place, part in blocks]
+    return rows.select("id", F.when(F.col("book").isNotNull(), F.xxhash64("book")).alias("at"), F.explode(F.array(*keys)).alias("key")).filter("key is not null")
 
 
-def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """``m, e, w, rest``: the odds of each candidate pair of mention and entity classes; ``rest`` is 0.
+def candidate_pairs(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """``m, e``: pairs of mention and entity classes among which all are whose ``log_odds`` are above -3.
 
-    ``log_odds`` can be above -3 in these ways only, and each has its blocks, of whatever size:
+    That can be in these ways only, and each has its blocks, of whatever size:
 
-    - The pages are near: blocks of any word and the third of the pages.
-    - Every word of the mention is like one of the record (a word on either side that is like none costs 12.2 together, more than any pair gains whose pages aren't near):
-      blocks of the mention's rarest word, as it must be among the record's.
+    - Every word of the mention is like one of the record: blocks of the mention's rarest word, as it must be among the record's.
     - Every word of the record is like one of the mention: blocks of the record's rarest word.
+    - One word of either side is like none of the other. That costs 12.2 together, and 13 is all that a pair gains, by the same book and near pages (9 by either alone; a second
+      such word costs 1.2 more at least): blocks of the mention's two rarest words, as one of them is like one of the record's, on near pages.
 
     Without a book, pages that are far apart leave odds under e^-3, so those mentions meet records on near pages and without a page.
     """
@@ -290,32 +295,48 @@ def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     likes = _sent(alike)
 
     def meant(words: DataFrame) -> DataFrame:
-        return words.join(likes, words["word"] == likes["said"]).select(*place, F.col("known").alias("word")).distinct()
-
-    known = known.join(e_reach.select("word"), "word", "left_semi")
-    anywhere, pageless, none = F.lit("*"), F.lit("*-"), F.lit("")
-    third = F.floor(F.col("page") / (PAGES + 1)).cast("string")
-    around = [(F.floor(F.col("page") / (PAGES + 1)) + d).cast("string") for d in (-1, 0, 1)]
-    m_far = [F.coalesce("book", F.when(F.col("page").isNull(), anywhere).otherwise(pageless))]
-    e_far = [F.col("book"), anywhere, F.when(F.col("page").isNull(), pageless)]
-    m_all, paged = stored(meant(said)), F.col("page").isNotNull()
-    m_keys = block_keys(m_all.filter(paged), [F.coalesce("book", anywhere)], "near", around)
-    m_keys = m_keys.unionByName(block_keys(meant(_rarest(said, m_reach)), m_far, "mention", [none])).unionByName(block_keys(m_all, m_far, "record", [none]))
-    e_keys = block_keys(known.filter(paged), [F.col("book"), anywhere], "near", [third])
-    whole = entities.select(*place, F.explode(F.array_distinct(F.transform("words", lambda w: F.rtrim(w, F.lit("."))))).alias("word"))
-    e_keys = e_keys.unionByName(block_keys(known, e_far, "mention", [none])).unionByName(block_keys(_rarest(whole, e_reach), e_far, "record", [none]))
-    pairs = m_keys.withColumnRenamed("id", "m").join(e_keys.withColumnRenamed("id", "e"), "key").select("m", "e").distinct()
+        return words.join(likes, words["word"] == likes["said"]).drop("word", "said").withColumnRenamed("known", "word")
+
+    # blocks of pages are so long that pages near to one are in two of them at most
+    long, page, book, everywhere, none, pageless = 3 * PAGES, F.col("page"), F.col("book"), F.lit("*"), F.lit(""), F.lit("-")
+    low, high = (F.floor((page + d) / long).cast("string") for d in (-PAGES, PAGES))
+    near = [low, F.when(low != high, high)]
+    on_page = F.coalesce(F.floor(page / long).cast("string"), pageless)
+    bookless = F.when(book.isNull() & page.isNotNull(), everywhere)
+    loose = not mentions.filter("book is null and page is null").isEmpty()
+
+    def m_places(kind: str) -> list[tuple[str, Column, Column]]:
+        return [(kind, F.coalesce(book, F.when(page.isNull(), everywhere)), none), *((kind, bookless, p) for p in (*near, pageless))]
+
+    def e_places(kind: str) -> list[tuple[str, Column, Column]]:
+        return [(kind, book, none), (kind, everywhere, on_page), *([(kind, everywhere, none)] if loose else [])]
+
+    of_m = _rarest(said, m_reach, 2).withColumn("two", F.size("words") > 1).select(*place, "two", F.posexplode("words").alias("nth", "b"))
+    of_m = meant(of_m.filter("b.n > 0 and (nth = 0 or book is not null and page is not null)").select(*place, "two", "nth", "b.word"))
+    first, both = F.col("nth") == 0, F.when(F.col("two") & book.isNotNull(), everywhere)
+    m_keys = block_keys(of_m, [*((k, F.when(first, where), part) for k, where, part in m_places("mention")), *(("mention", both, p) for p in near)])
+    m_keys = m_keys.unionByName(block_keys(meant(said), m_places("record")))
+    of_e = _rarest(known, e_reach, 1).select(*place, F.col("words")[0].alias("b")).filter("b.n > 0").select(*place, "b.word")
+    e_keys = block_keys(known.join(e_reach.select("word"), "word", "left_semi"), e_places("mention"))
+    e_keys = e_keys.unionByName(block_keys(of_e, e_places("record")))
+    m_keys, e_keys = m_keys.select(F.col("id").alias("m"), "key", F.col("at").alias("mb")), e_keys.select(F.col("id").alias("e"), "key", F.col("at").alias("eb"))
+    return m_keys.join(e_keys, "key").filter("mb is null or mb = eb").select("m", "e").distinct()
+
+
+def candidate_odds(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """``m, e, w, rest``: the odds of each candidate pair of mention and entity classes; ``rest`` is 0."""
     m = mentions.select(F.col("id").alias("m"), F.col("words").alias("mw"), F.col("book").alias("mb"), F.col("page").alias("mp"), F.col("designation").alias("md"), F.col("category").alias("mc"))
     e = entities.select(F.col("id").alias("e"), F.col("words").alias("ew"), F.col("book").alias("eb"), F.col("page").alias("ep"), F.col("designation").alias("ed"), F.col("category").alias("ec"))
-    rows = pairs.join(m, "m").join(e, "e").filter("md = ed and mc = ec and (mb is null or mb = eb)")
+    rows = candidate_pairs(mentions, entities).join(m, "m").join(e, "e").filter("md = ed and mc = ec and (mb is null or mb = eb)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        like = lru_cache(maxsize=1 << 16)(word_likeness)
         for b in batches:
             odds = []
             for mw, ew, mb, eb, mp, ep in zip(b["mw"], b["ew"], b["mb"], b["eb"], b["mp"], b["ep"]):
                 same = None if mb is None or eb is None else mb == eb
                 apart = None if mp != mp or ep != ep or mp is None or ep is None else abs(mp - ep)
-                odds.append(log_odds(list(mw), list(ew), same, apart))
+                odds.append(log_odds(list(mw), list(ew), same, apart, like))
             yield pd.DataFrame({"m": b["m"], "e": b["e"], "o": odds})
 
     kinds = (mentions.schema["id"].dataType.simpleString(), entities.schema["id"].dataType.simpleString())

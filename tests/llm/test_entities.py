@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import entities
-from tessera.llm.entities import belief_propagation, book_variants, candidate_odds, edits, likeness_keys, log_odds, match_entities, parse_name, word_likeness
+from tessera.llm.entities import belief_propagation, book_variants, candidate_odds, candidate_pairs, edits, likeness_keys, log_odds, match_entities, parse_name, word_likeness
 
 BOOKS = [("iron_book", "Iron Book Handbook"), ("salt_codex", "Salt Engineering Codex"), (None, "x")]
 ITEMS = [
@@ -137,3 +137,16 @@ def test_alike_words_share_a_key():
     words = ["cat", "cats", "cates", "nordhall", "nordh.", "nordhlal", "nrdhal", "nordhalls", "abcde" * 5, "abcde" * 4 + "abdce", "abcde" * 5 + "ss", "abcde" * 7, "abcde" * 6 + "aybcdez"]
     pairs = [(a, b) for a in words for b in words if word_likeness(a, b) > 0]
     assert len(pairs) > 25 and all(likeness_keys(a, True) & likeness_keys(b.rstrip("."), False) for a, b in pairs)
+
+
+def test_a_word_that_all_share_makes_no_pairs_of_its_own(spark):
+    """Near pages and the one word in common leave odds of e^-3 at most, so these are no pairs; one unlike word on either side is, on near pages of the same book, whichever word it is."""
+    kind = "id bigint, category string, book string, page double, words array<string>, designation string"
+    other = "abcdefghij"
+    mentions = [(i, "tools", "a" if i % 2 else None, 10.0 + i % 3, ["zzz" + c * 5, "qqq" + c * 6, "drill"], "") for i, c in enumerate(other)]
+    entities = [(100 + i, "tools", "a", 10.0 + i % 2, ["vvv" + c * 5, "www" + c * 6, "drill"], "") for i, c in enumerate(other)]
+    near = [(50, "tools", "a", 5.0, ["kestupan", "molvarik", "drill"], ""), (51, "tools", None, 5.0, ["kestupan", "molvarik", "drill"], ""), (52, "tools", "a", 6.0, ["vvvaaaaa", "kestupan", "drill"], "")]
+    known = [(150, "tools", "a", 7.0, ["kestupan", "ferzudok", "drill"], ""), (151, "tools", "a", 3.0, ["ruvlimpo", "molvarik", "drill"], ""), (152, "tools", "b", 5.0, ["kestupan", "ferzudok", "drill"], ""), (153, "tools", "a", 8.0, ["kestupan", "molvarik", "x"], "")]
+    m, e = spark.createDataFrame(mentions + near, kind), spark.createDataFrame(entities + known, kind)
+    assert candidate_pairs(m, e).count() <= 12  # of 182
+    assert {(x["m"], x["e"]) for x in candidate_odds(m, e).collect()} == {(50, 150), (50, 151), (52, 150)}
